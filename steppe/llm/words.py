@@ -22,7 +22,10 @@ _BASE = _U(0x9E3779B97F4A7C15)
 _WORD_BYTE = np.zeros(256, dtype=bool)
 _WORD_BYTE[[*range(48, 58), *range(97, 123), *range(65, 91), 95]] = True
 _WORD_BYTE[128:] = True
-_BEYOND = r"[\x{A0}-\x{A9}\x{AB}-\x{B4}\x{B6}-\x{B9}\x{BB}-\x{BF}\x{D7}\x{F7}\x{2000}-\x{206F}\x{3000}-\x{303F}]+"
+#: Characters beyond ASCII that separate words, by their UTF-8 bytes: lead, second byte from, to.
+_GAPS2 = ((0xC2, 0xA0, 0xA9), (0xC2, 0xAB, 0xB4), (0xC2, 0xB6, 0xB9), (0xC2, 0xBB, 0xBF), (0xC3, 0x97, 0x97), (0xC3, 0xB7, 0xB7))
+#: lead, second byte, third byte from, to: U+2000 to U+206F and U+3000 to U+303F.
+_GAPS3 = ((0xE2, 0x80, 0x80, 0xBF), (0xE2, 0x81, 0x80, 0xAF), (0xE3, 0x80, 0x80, 0xBF))
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -56,18 +59,15 @@ class Words:
         if isinstance(texts, pa.ChunkedArray):
             texts = texts.combine_chunks()
         texts = pc.fill_null(texts.cast(pa.large_string()), "")
-        offsets, data = _buffers(texts)
         if lower:
-            # Lower-casing keeps the byte length of almost all texts; offsets are those of the lower-cased text.
+            # Words are the same runs in either case, so the n-th word here is the n-th of the text as it was.
             texts = pc.utf8_lower(texts)
-            if (data >= 128).any():
-                texts = pc.replace_substring_regex(texts, _BEYOND, " ")
-            offsets, data = _buffers(texts)
+        offsets, data = _buffers(texts)
         self.data, self.origin = data, offsets
         self._split(data, offsets)
 
     def _split(self, data: np.ndarray, offsets: np.ndarray) -> None:
-        inside = _WORD_BYTE[data]
+        inside = _word_bytes(data)
         begins = inside.copy()
         begins[1:] &= ~inside[:-1]
         cuts = offsets[1:-1]
@@ -110,6 +110,19 @@ class Words:
         return np.repeat(np.arange(len(self)), self.counts)
 
 
+def _word_bytes(data: np.ndarray) -> np.ndarray:
+    inside = _WORD_BYTE[data]
+    for lead, low, high in _GAPS2:
+        at = np.flatnonzero(data[:-1] == lead)
+        at = at[(data[at + 1] >= low) & (data[at + 1] <= high)]
+        inside[at] = inside[at + 1] = False
+    for lead, second, low, high in _GAPS3:
+        at = np.flatnonzero(data[:-2] == lead)
+        at = at[(data[at + 1] == second) & (data[at + 2] >= low) & (data[at + 2] <= high)]
+        inside[at] = inside[at + 1] = inside[at + 2] = False
+    return inside
+
+
 def _buffers(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     _, offs, data = texts.buffers()
     n = len(texts)
