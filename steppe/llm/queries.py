@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .decontaminate import decontaminate
 from .ngram_join import ngram_jaccard_join
 from .toxicity import toxicity
 
@@ -25,9 +26,14 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
     "op8_toxicity": op8_toxicity,
+    "op9_decontamination": op9_decontamination,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -42,4 +48,15 @@ ORACLE_SQL: dict[str, str] = {
               FROM p a JOIN p b ON a.x = b.x AND a.doc_id < b.doc_id GROUP BY ALL)
         SELECT doc_a, doc_b, shared / (total - shared) AS jaccard FROM o WHERE shared / (total - shared) >= 0.5
     """,
+    "op9_decontamination": rf"""
+        WITH d AS (SELECT doc_id, regexp_extract_all(lower(text), '{_WORD}') AS w FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL),
+        i AS (SELECT item_id, regexp_extract_all(lower(text), '{_WORD}') AS w FROM benchmark WHERE item_id IS NOT NULL AND text IS NOT NULL),
+        dg AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
+                 ELSE list_transform(range(1, len(w) - 1), lambda i: concat_ws(' ', w[i], w[i + 1], w[i + 2])) END) AS x FROM d WHERE len(w) > 0),
+        ig AS (SELECT DISTINCT item_id, unnest(CASE WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
+                 ELSE list_transform(range(1, len(w) - 1), lambda i: concat_ws(' ', w[i], w[i + 1], w[i + 2])) END) AS x FROM i WHERE len(w) > 0),
+        n AS (SELECT item_id, count(*) AS n FROM ig GROUP BY item_id)
+        SELECT doc_id, item_id, count(*) / any_value(n) AS containment
+        FROM dg JOIN ig USING (x) JOIN n USING (item_id) GROUP BY doc_id, item_id HAVING count(*) / any_value(n) >= 0.6
+    """,
 }
