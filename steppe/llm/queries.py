@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .decontaminate import decontaminate
 from .ngram_join import ngram_jaccard_join
+from .substring import repeats
 from .toxicity import toxicity
 
 #: A word in RE2: what :mod:`.words` takes for one.
@@ -22,6 +23,10 @@ def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_jaccard_join(_table(spark, sf_dir, "documents"))
 
 
+def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats(_table(spark, sf_dir, "documents"))
+
+
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
@@ -32,6 +37,7 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
+    "op5_substring_dedup": op5_substring_dedup,
     "op8_toxicity": op8_toxicity,
     "op9_decontamination": op9_decontamination,
 }
@@ -59,4 +65,16 @@ ORACLE_SQL: dict[str, str] = {
         SELECT doc_id, item_id, count(*) / any_value(n) AS containment
         FROM dg JOIN ig USING (x) JOIN n USING (item_id) GROUP BY doc_id, item_id HAVING count(*) / any_value(n) >= 0.6
     """,
+    "op5_substring_dedup": rf"""
+        WITH d AS (SELECT DISTINCT doc_id, regexp_extract_all(lower(text), '{_WORD}') AS w FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL),
+        p AS (SELECT doc_id, w, unnest(range(0, len(w) - 49)) AS pos FROM d WHERE len(w) >= 50),
+        r AS (SELECT doc_id, pos, md5(array_to_string(w[pos + 1 : pos + 50], ' ')) AS h FROM p),
+        f AS (SELECT doc_id, pos, first_value(doc_id) OVER o AS ref, first_value(pos) OVER o AS ref_pos,
+                     min(doc_id) OVER (PARTITION BY h) <> max(doc_id) OVER (PARTITION BY h) AS common
+              FROM r WINDOW o AS (PARTITION BY h ORDER BY doc_id, pos)),
+        m AS (SELECT doc_id, pos, ref, ref_pos - pos AS shift FROM f WHERE common AND (ref <> doc_id OR ref_pos <> pos)),
+        g AS (SELECT *, pos - row_number() OVER (PARTITION BY doc_id, ref, shift ORDER BY pos) AS island FROM m)
+        SELECT doc_id, min(pos) AS start_word, count(*) + 49 AS n_words, ref AS first_doc_id, min(pos) + shift AS first_start_word
+        FROM g GROUP BY doc_id, ref, shift, island
+    """,
 }
