@@ -12,8 +12,45 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 from steppe.llm.common import shared_folder
+from steppe.llm.decontaminate import drop_contaminated
+from steppe.llm.ngram_join import keep_one_of_each_group
+from steppe.llm.packing import pack_documents
+from steppe.llm.substring import drop_repeats
+from steppe.llm.toxicity import drop_toxic
 
-STAGES: list = []
+
+def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier doesn't hold to be toxic (operator 8)."""
+    return drop_toxic(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates, and all others (operator 1)."""
+    return keep_one_of_each_group(docs)
+
+
+def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without the passages that occur in an earlier one (operator 5)."""
+    return drop_repeats(docs)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no item of the benchmark (operator 9)."""
+    return drop_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The places of what is left in training sequences (operator 3)."""
+    return pack_documents(docs)
+
+
+STAGES = [
+    ("toxicity", toxicity),
+    ("ngram_jaccard_join", near_duplicates),
+    ("substring_dedup", substring_dedup),
+    ("decontamination", decontamination),
+    ("best_fit_packing", packing),
+]
 
 #: SQL can't express the trained classifier of the first stage nor the search of the last.
 ORACLE_SQL = None

@@ -299,3 +299,45 @@ def ngram_jaccard_join(docs: DataFrame, n: int = NGRAM, threshold: float = THRES
     near = pairs.join(a, "set_a").join(b, "set_b").select(F.explode("ids_a").alias("x"), "ids_b", "jaccard").select("x", F.explode("ids_b").alias("y"), "jaccard")
     near = near.where("x <> y").select(F.least("x", "y").alias("doc_a"), F.greatest("x", "y").alias("doc_b"), "jaccard")
     return equal.union(near)
+
+
+def keep_one_of_each_group(docs: DataFrame, n: int = NGRAM, threshold: float = THRESHOLD) -> DataFrame:
+    """The documents without near duplicates: of each group of matching documents one stays.
+
+    Groups are the connected components of the matches of :func:`ngram_jaccard_join`; the document of the least
+    doc_id stays, once if its row is repeated.  Rows with a null id or text and documents without words stay as they are.
+    All columns are kept.
+    """
+    sets, pairs = similar_sets(docs, n, threshold)
+    sets = checkpointed(sets.select("set_key", "doc_ids"))
+    group = components(pairs.select("set_a", "set_b"))
+    member = sets.join(group, "set_key", "left").select(F.coalesce("component", "set_key").alias("component"), F.explode("doc_ids").alias("doc_id"))
+    # A doc_id of several texts may link components; it then goes with the least of its documents everywhere.
+    least = member.groupBy("component").agg(F.min("doc_id").alias("least"))
+    gone = member.join(least, "component").where("doc_id <> least").select(F.col("doc_id").alias("__gone_id")).distinct()
+    once = F.col("doc_id").isNotNull() & F.col("text").isNotNull()
+    repeated = docs.where(once).groupBy(F.col("doc_id").cast("long").alias("__id"), F.xxhash64("text").alias("__h")).count().where("count > 1").select("__id").distinct()
+    left = docs.join(gone, F.col("doc_id").cast("long") == F.col("__gone_id"), "left_anti")
+    if repeated.isEmpty():
+        return left
+    same = F.col("doc_id").cast("long") == F.col("__id")
+    return left.join(repeated, same, "left_anti").unionByName(left.where(once).join(repeated, same, "left_semi").dropDuplicates(["doc_id", "text"])).unionByName(left.where(~once).join(repeated, same, "left_semi"))
+
+
+def components(pairs: DataFrame) -> DataFrame:
+    """(set_key, component) of all sets in the pairs (set_a, set_b): component is the least set of those connected.
+
+    Alternating large-star and small-star steps (Kiveris et al., 2014), each two shuffles of the
+    edges, until nothing changes: a logarithmic number of rounds.
+    """
+    edges = checkpointed(pairs.select(F.greatest("set_a", "set_b").alias("u"), F.least("set_a", "set_b").alias("v")).where("u <> v").distinct())
+    while True:
+        both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
+        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        small = large.join(least, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e"))
+        after = checkpointed(small.select("e.u", "e.v").where("u <> v").distinct())
+        if edges.count() == after.count() and edges.exceptAll(after).isEmpty():
+            return after.select(F.col("u").alias("set_key"), F.col("v").alias("component")).union(after.select(F.col("v").alias("set_key"), F.col("v").alias("component"))).distinct()
+        edges = after
