@@ -9,8 +9,10 @@ from pyspark.sql import DataFrame, SparkSession
 from .decontaminate import decontaminate
 from .ngram_join import ngram_jaccard_join
 from .packing import pack_documents
+from .sharding import interleave
 from .substring import repeats
 from .toxicity import toxicity
+from .warc import bundle_pages
 
 #: A word in RE2: what :mod:`.words` takes for one.
 _WORD = r"[0-9A-Za-z_\x{80}-\x{9F}\x{AA}\x{B5}\x{BA}\x{C0}-\x{D6}\x{D8}-\x{F6}\x{F8}-\x{1FFF}\x{2070}-\x{2FFF}\x{3040}-\x{10FFFF}]+"
@@ -24,10 +26,18 @@ def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_jaccard_join(_table(spark, sf_dir, "documents"))
 
 
+def op2_warc_bundles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bundle_pages(_table(spark, sf_dir, "pages"))
+
+
 def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(_table(spark, sf_dir, "documents"))
 
 
+def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return interleave(_table(spark, sf_dir, "documents"))
+
+
 def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats(_table(spark, sf_dir, "documents"))
 
@@ -42,7 +52,9 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
+    "op2_warc_bundles": op2_warc_bundles,
     "op3_best_fit_packing": op3_best_fit_packing,
+    "op4_sharding": op4_sharding,
     "op5_substring_dedup": op5_substring_dedup,
     "op8_toxicity": op8_toxicity,
     "op9_decontamination": op9_decontamination,
@@ -83,4 +95,12 @@ ORACLE_SQL: dict[str, str] = {
         SELECT doc_id, min(pos) AS start_word, count(*) + 49 AS n_words, ref AS first_doc_id, min(pos) + shift AS first_start_word
         FROM g GROUP BY doc_id, ref, shift, island
     """,
+    "op4_sharding": """
+        WITH r AS (SELECT doc_id, source, md5(concat_ws('|', 'interleave-1', coalesce(CAST(doc_id AS VARCHAR), 'null'))) AS h FROM documents),
+        k AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY h, doc_id NULLS FIRST) AS k, count(*) OVER (PARTITION BY source) AS n FROM r),
+        a AS (SELECT doc_id, source, row_number() OVER (ORDER BY (2 * k - 1) / (2 * n), source NULLS FIRST, h, doc_id NULLS FIRST) - 1 AS place,
+                     count(*) OVER () AS total FROM k),
+        s AS (SELECT *, place * 64 // total AS shard FROM a)
+        SELECT doc_id, source, shard, place - (shard * total + 63) // 64 AS position FROM s
+    """,
 }
