@@ -7,10 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .decontaminate import decontaminate
+from .fingerprint import fingerprints
 from .ngram_join import ngram_jaccard_join
 from .packing import pack_documents
+from .quality import quality
 from .sharding import interleave
 from .substring import repeats
+from .tokens import tokenized
 from .toxicity import toxicity
 from .warc import bundle_pages
 
@@ -42,6 +45,14 @@ def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats(_table(spark, sf_dir, "documents"))
 
 
+def op6_token_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokenized(_table(spark, sf_dir, "documents"))
+
+
+def op7_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints(_table(spark, sf_dir, "documents"))
+
+
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
@@ -50,14 +61,21 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
     "op2_warc_bundles": op2_warc_bundles,
     "op3_best_fit_packing": op3_best_fit_packing,
     "op4_sharding": op4_sharding,
     "op5_substring_dedup": op5_substring_dedup,
+    "op6_token_blocks": op6_token_blocks,
+    "op7_order_minhash": op7_order_minhash,
     "op8_toxicity": op8_toxicity,
     "op9_decontamination": op9_decontamination,
+    "op10_quality": op10_quality,
 }
 
 ORACLE_SQL: dict[str, str] = {

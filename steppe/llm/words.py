@@ -198,3 +198,14 @@ def rolling(words: np.ndarray, k: int) -> np.ndarray:
     np.cumsum(words * p[:-1], out=total[1:])
     inverse = powers(m, _U(pow(int(_BASE), -1, 2**64)))
     return mix((total[k:] - total[:-k]) * inverse)
+
+
+def runs_rank(*sorted_keys: np.ndarray) -> np.ndarray:
+    """0, 1, ... within each run of rows that are equal in all keys."""
+    n = len(sorted_keys[0])
+    new = np.zeros(n, dtype=bool)
+    new[:1] = True
+    for key in sorted_keys:
+        new[1:] |= key[1:] != key[:-1]
+    at = np.arange(n)
+    return at - np.maximum.accumulate(np.where(new, at, 0))
