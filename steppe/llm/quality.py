@@ -108,9 +108,9 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, bits: int =
             yield pa.record_batch([batch.column(0), batch.column(1), pa.array([a for a, _ in x], type=pa.binary()), pa.array([s for _, s in x], type=pa.binary())], names=["h", "y", "x", "s"])
 
     def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = pa.Table.from_batches(list(batches))
-        if table.num_rows:
-            table = table.sort_by([("h", "ascending"), ("x", "ascending")])
+        found = [b for b in batches if b.num_rows]
+        if found:
+            table = pa.Table.from_batches(found).sort_by([("h", "ascending"), ("x", "ascending")])
             x = [(np.frombuffer(a, np.int32), np.frombuffer(s, np.float32)) for a, s in zip(table.column("x").to_pylist(), table.column("s").to_pylist(), strict=True)]
             value, bias = train_vectors(x, np.asarray(table.column("y")), bits)
             yield pa.record_batch([pa.array([value.astype(np.float32).tobytes()]), pa.array([bias])], names=["value", "bias"])

@@ -3,7 +3,8 @@
 Rows are shuffled by a seeded hash within each source and ranked there; the k-th of a source's n
 rows has the fractional rank (2 k - 1) / (2 n).  Sorting all rows by fractional rank interleaves
 the sources in proportion, so that cutting this order into equal pieces gives shards that all have
-the mixture of the whole: a shard's share of a source is off by one row or so.
+the mixture of the whole: a shard's number of rows of a source is off by fewer rows than there are
+sources, however large the shard.
 
 No task ever holds a whole source.  Both sorts are bucketed by a uniform key (the leading digits of
 the hash, then the fractional rank itself), counted a bucket at a time, and completed with the running

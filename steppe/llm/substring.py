@@ -249,7 +249,7 @@ def _cutter(where: int, spans: int):
         for batch in chunks(batches):
             texts, cuts = batch.column(where), batch.column(spans).to_pylist()
             rows = np.array([i for i, c in enumerate(cuts) if c], dtype=np.int64)
-            out = texts
+            out, keep = texts, np.ones(batch.num_rows, dtype=bool)
             if len(rows):
                 some = texts.take(pa.array(rows))
                 w = Words(some, lower=False)
@@ -264,6 +264,7 @@ def _cutter(where: int, spans: int):
                             gone[c["s"]] += 1
                             gone[min(c["s"] + c["n"], len(start))] -= 1
                     gone = np.cumsum(gone)[:-1] > 0
+                    keep[row] = not gone.all()
                     edge, length = _spans(gone)
                     pieces, at = [], 0
                     for e, n in zip(edge, length, strict=True):
@@ -274,7 +275,7 @@ def _cutter(where: int, spans: int):
                     new[row] = b"".join(pieces).decode("utf-8", "replace")
                 out = pa.array(new, type=texts.type)
             arrays = [out if i == where else c for i, c in enumerate(batch.columns) if i != spans]
-            yield pa.record_batch(arrays, names=[x for i, x in enumerate(batch.schema.names) if i != spans])
+            yield pa.record_batch(arrays, names=[x for i, x in enumerate(batch.schema.names) if i != spans]).filter(pa.array(keep))
 
     return run
 
@@ -294,8 +295,7 @@ def drop_repeats(docs: DataFrame, min_words: int = MIN_WORDS, seed_words: int =
     found = repeats(docs, min_words, seed_words).groupBy(F.col("doc_id").alias("__cut_id")).agg(F.collect_list(F.struct(F.col("start_word").alias("s"), F.col("n_words").alias("n"))).alias("__cuts"))
     both = docs.join(found, F.col("doc_id").cast("long") == F.col("__cut_id"), "left").drop("__cut_id")
     schema = docs.schema
-    cut = both.mapInArrow(_cutter(both.columns.index("text"), both.columns.index("__cuts")), schema)
-    left = cut.where(F.col("text").isNull() | (F.col("text") == "") | F.col("text").rlike(r"[\p{L}\p{N}_]"))
+    left = both.mapInArrow(_cutter(both.columns.index("text"), both.columns.index("__cuts")), schema)
     if "n_chars" in docs.columns:
         left = left.withColumn("n_chars", F.when(F.col("text").isNull(), F.col("n_chars")).otherwise(F.length("text")).cast(schema["n_chars"].dataType))
     return left

@@ -99,9 +99,9 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, bits: int =
             yield pa.record_batch([batch.column(0), batch.column(1), pa.array(x, type=pa.binary())], names=["h", "y", "x"])
 
     def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = pa.Table.from_batches(list(batches))
-        if table.num_rows:
-            table = table.sort_by([("h", "ascending"), ("x", "ascending")])
+        found = [b for b in batches if b.num_rows]
+        if found:
+            table = pa.Table.from_batches(found).sort_by([("h", "ascending"), ("x", "ascending")])
             x = [np.frombuffer(b, np.int32) for b in table.column("x").to_pylist()]
             at, value, bias = ftrl(x, np.asarray(table.column("y")).astype(np.float64), bits)
             yield pa.record_batch([pa.array([at.tobytes()]), pa.array([value.tobytes()]), pa.array([bias])], names=["at", "value", "bias"])
