@@ -129,7 +129,8 @@ class Items:
                 values, items = per_band[k]
                 lo = np.searchsorted(values, domain)
                 hit = np.flatnonzero(values[np.minimum(lo, len(values) - 1)] == domain)
-                hit = hit[domain[hit] != _MAX]
+                # A domain that begins with a text's empty block would belong to the next text.
+                hit = hit[value[hit] != _MAX]
                 if len(hit):
                     lo, hi = lo[hit], np.searchsorted(values, domain[hit], side="right")
                     which = items[np.repeat(lo, hi - lo) + within(hi - lo)]
