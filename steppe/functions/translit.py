@@ -90,6 +90,11 @@ def _soft_e(text: Column, after: str) -> Column:
     return F.regexp_replace(small, rf"(?<![\p{{L}}{_SOFT}])Е|(?<=[{after}])Е" + (f"|(?<={_SOFT})Е" if "е" in after else ""), _CAPITAL_SOFT)
 
 
+def _e_as(soft: str) -> dict[str, str]:
+    """The readings of plain and marked e."""
+    return dict(zip(f"еЕ{_SOFT}{_CAPITAL_SOFT}", ("e", "E", soft, soft.capitalize()), strict=True))
+
+
 _AFTER_UZB = "аАеЕёЁиИйЙоОуУўЎыЫэЭюЮяЯьЬъЪ"
 _AFTER_TUK = "иИөӨүҮәӘъЪ"
 
@@ -189,10 +194,10 @@ def transliterate(text: Column, lang: str, source: str, target: str) -> Column:
     if lang == "uig" and (source, target) in _UYGHUR:
         return _UYGHUR[source, target](text)
     if (lang, source, target) == ("uzb", "Cyrl", "Latn"):
-        return rewrite(_soft_e(text, _AFTER_UZB), expanded(table) | {"е": "e", "Е": "E", _SOFT: "ye", _CAPITAL_SOFT: "Ye"})
+        return rewrite(_soft_e(text, _AFTER_UZB), expanded(table) | _e_as("ye"))
     if (lang, source, target) == ("tuk", "Cyrl", "Latn"):
         drop = dict.fromkeys("ъЪьЬ", "")
-        return rewrite(_soft_e(text, _AFTER_TUK), expanded(table) | drop | {"е": "e", "Е": "E", _SOFT: "ýe", _CAPITAL_SOFT: "Ýe"})
+        return rewrite(_soft_e(text, _AFTER_TUK), expanded(table) | drop | _e_as("ýe"))
     if (lang, source, target) == ("uzb", "Latn", "Cyrl"):
         variants = "‘’ʻʼʹ`"
         text = F.translate(text, variants, "'" * len(variants))

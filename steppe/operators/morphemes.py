@@ -26,6 +26,10 @@ SCHEMA = StructType(
 )
 
 
+#: (surface, label) of each morpheme.
+Morphemes = list[tuple[str, str]]
+
+
 @dataclass(frozen=True)
 class Sounds:
     """Vowels and consonants of a script; whatever isn't Latin is treated as Cyrillic."""
@@ -62,7 +66,7 @@ LABELS = dict(
 )
 #: Tags without a morpheme of their own, and those whose key isn't their name.
 _SILENT = frozenset("abbr adj adv cnjadv cnjcoo cnjsub det ij ind n nom np num part post prn sg v vaux".split())
-_KEYS = {"p1": "p1sg", "p2": "p2sg", "p3": "p3sg"}
+_KEYS = {f"p{n}": f"p{n}sg" for n in "123"}
 _TAGS = frozenset("abl acc aor attr caus cond coop cop dat equ evid fut gen ger ger_past gna_impf gna_perf imp inf ins loc ly lyk neces neg opt p1 p2 p3 pass past pl prc_fut prc_impf prc_perf pres px1pl px1sg px2pl px2sg px2sg_frm px3pl px3sg px3sp qst shi siz subst".split())
 #: Suffixes in the order in which they follow a noun or a verb, each with the features that call for it.
 _NOUN_ORDER = """pl Number=Plur
@@ -88,12 +92,13 @@ def _order(verb: bool) -> list[tuple[str, frozenset[str]]]:
 
 
 #: Final consonants that change before a vowel.
-_OGHUZ = {"p": "b", "ç": "c", "t": "d", "k": "g"}
-_KIPCHAK = {"п": "б", "к": "г"}
-ALTERNATIONS = {
-    "tur": _OGHUZ | {"k": "ğ"}, "aze": _OGHUZ | {"k": "y"}, "tuk": _OGHUZ, "crh": _OGHUZ, "gag": _OGHUZ, "kaz": _KIPCHAK | {"қ": "ғ"}, "kir": _KIPCHAK, "tat": _KIPCHAK, "bak": _KIPCHAK,
-    "uzb": {"p": "b", "k": "g"},
-}
+def _changes(x: str) -> dict[str, str]:
+    return dict(x.split())
+
+
+_OGHUZ, _KIPCHAK = _changes("pb td çc kg"), _changes("пб кг")
+ALTERNATIONS = dict.fromkeys(("crh", "gag", "tuk"), _OGHUZ) | dict.fromkeys(("bak", "kir", "tat"), _KIPCHAK)
+ALTERNATIONS |= dict(aze=_OGHUZ | _changes("ky"), tur=_OGHUZ | _changes("kğ"), kaz=_KIPCHAK | _changes("қғ"), uzb=_changes("kg pb"))
 _INFINITIVES = ("maq mək mak mek moq maa mää макъ мекъ уу үү ыу еү".split(), "у ү ю".split())
 _NEGATIVES = "маст мест meýar meýär бай бей пай пей бас бес пас пес май мей мәй мый may mey маз мез maz məz мір мир mir mır meer ма ме мо мө ma me mo mö mə".split()
 _APOSTROPHES = ("'", "’")
@@ -171,7 +176,7 @@ class Segmenter:
         common = next((i for i, (a, b) in enumerate(zip(surface, base, strict=False)) if a != b), min(len(surface), len(base)))
         return max(common, 1)
 
-    def by_tags(self, word: str, end: int, tags: list[str]) -> list[tuple[str, str]]:
+    def by_tags(self, word: str, end: int, tags: list[str]) -> Morphemes:
         """Consume the suffixes that transducer tags name; what is left is consumed greedily."""
         out, before, rest = [(word[:end], "STEM")], word[:end], word[end:]
         for tag in tags:
@@ -184,7 +189,7 @@ class Segmenter:
                     before, rest = before + found, rest[len(found) :]
         return out + self.greedy(rest)
 
-    def by_features(self, word: str, end: int, upos: str, feats: str) -> list[tuple[str, str]]:
+    def by_features(self, word: str, end: int, upos: str, feats: str) -> Morphemes:
         """Consume the suffixes that universal features call for; what is left is consumed greedily."""
         out, before, rest = [(word[:end], "STEM")], word[:end], word[end:]
         if not feats or feats == "_":
@@ -199,10 +204,10 @@ class Segmenter:
                 if found:
                     out.append((mark + found, LABELS.get(key, key.upper())))
                     mark, before, rest = "", before + found, rest[len(found) :]
-                    used |= {key, "neg", key.split("_", 1)[1]} if key.startswith("neg_") else {key}
+                    used |= {key, *key.split("_")} if key.startswith("neg_") else {key}
         return out + (self.greedy(mark + rest) if rest else [])
 
-    def greedy(self, rest: str) -> list[tuple[str, str]]:
+    def greedy(self, rest: str) -> Morphemes:
         """Longest suffix first, in table order among equals; a rest that nothing matches is one "?"."""
         out, mark = [], ""
         if rest and rest[0] in _APOSTROPHES:
@@ -222,7 +227,7 @@ class Segmenter:
             mark, rest = "", rest[len(best) :]
         return out
 
-    def segment(self, word: str, lemma: str | None, upos: str | None, feats: str | None, tags: list[str] | None) -> tuple[list[tuple[str, str]], str]:
+    def segment(self, word: str, lemma: str | None, upos: str | None, feats: str | None, tags: list[str] | None) -> tuple[Morphemes, str]:
         """(morphemes, source): from tags, else from features, else the word as one stem.
 
         A word of several parts is segmented in its first; the others are labelled as personal pronouns.
@@ -231,7 +236,7 @@ class Segmenter:
             first, *more = word.split()
             found, source = self.segment(first, lemma, upos, feats, tags)
             return found + [(p, _PRONOUNS.get(p, "?")) for p in more], source
-        if len(word) <= 1 or not any(c.isalpha() for c in word):
+        if len(word) < 2 or not sum(map(str.isalpha, word)):
             return [(word, "STEM")], "skip"
         if lemma is None:
             return [(word, "STEM")], "none"
@@ -240,7 +245,7 @@ class Segmenter:
             return relabel(self.by_tags(word, self.stem_end(word, lemma, pos), tags), pos, feats or "_"), "tags"
         found = self.by_features(word, self.stem_end(word, lemma, pos), pos, feats or "_")
         if pos in ("NOUN", "ADJ") and len(found) > 1:
-            unknown, infinitive = sum(b == "?" for _, b in found), lower(lemma).endswith(("mak", "mek", "maq", "mək", "moq", "maa", "mää"))
+            unknown, infinitive = sum(b == "?" for _, b in found), lower(lemma).endswith(tuple(_INFINITIVES[0][:7]))
             if unknown or infinitive:
                 other = self.by_features(word, self.stem_end(word, lemma, "VERB"), "VERB", feats or "_")
                 left = sum(b == "?" for _, b in other)
@@ -249,7 +254,7 @@ class Segmenter:
         return relabel(found, pos, feats or "_"), "features"
 
 
-_PRONOUNS = {"мен": "1SG", "бис": "1PL", "сен": "2SG", "силер": "2PL", "ол": "3SG", "олар": "3PL"}
+_PRONOUNS = dict(x.split("=") for x in "бис=1PL мен=1SG олар=3PL ол=3SG сен=2SG силер=2PL".split())
 _TENSES = frozenset("PST PRS AOR FUT EVID PROG NEG.AOR NEG.PRS NEG.PROG PTCP.PST PTCP.PRS PTCP.FUT CVB.PRF CVB.IPFV GER GER.PST".split())
 _PERSONS = frozenset("1SG 2SG 3SG 1PL 2PL 3PL".split())
 _CASE_OF = [(f"Case={c.title()}", c) for c in "DAT LOC ABL GEN ACC INS".split()]
@@ -264,11 +269,11 @@ def strip_infinitive(lemma: str) -> str:
     return lemma
 
 
-def relabel(found: list[tuple[str, str]], upos: str, feats: str) -> list[tuple[str, str]]:
+def relabel(found: Morphemes, upos: str, feats: str) -> Morphemes:
     """Correct labels by their neighbours and the features of the word."""
     if len(found) <= 1:
         return found
-    given = set(feats.split("|")) if feats and feats != "_" else set()
+    given = set((feats or "_").split("|")) - {"_", ""}
     surface, label = [s for s, _ in found], [b for _, b in found]
     verb = upos in ("VERB", "AUX")
     if verb:
@@ -294,14 +299,14 @@ def relabel(found: list[tuple[str, str]], upos: str, feats: str) -> list[tuple[s
         for i, b in enumerate(label):
             if b == "EVID":
                 after = label[i + 1] if i + 1 < len(label) else None
-                if "VerbForm=Part" in given or after is None or after in ("PLUR", "3PL", "1SG", "2SG", "1PL", "2PL"):
+                if "VerbForm=Part" in given or after is None or after in (_PERSONS | {"PLUR"}) - {"3SG"}:
                     label[i] = "PTCP.PST"
                     if after == "3PL" and "VerbForm=Part" not in given:
                         label[i + 1] = "PLUR"
     for i, b in enumerate(label):
         if b == "?" and surface[i][:1] in _APOSTROPHES:
             label[i] = next((c for f, c in _CASE_OF if f in given), b)
-    if not verb and (label[-1].startswith("POSS.") and label[-1] != "POSS.2SG.FRM" or label[-1] in ("ACC", "DAT", "LOC", "ABL", "GEN", "INS", "EQU", "COND")):
+    if not verb and (label[-1].startswith("POSS.") and label[-1] != "POSS.2SG.FRM" or label[-1] in "ABL ACC COND DAT EQU GEN INS LOC".split()):
         label[-1] = next((c for f, c in [("Case=Gen", "GEN"), *_CASE_OF] if f in given and c != label[-1]), label[-1])
     return list(zip(surface, label, strict=True))
 

@@ -14,10 +14,8 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 
-_POS = {
-    "adj": "ADJ", "adv": "ADV", "cnjcoo": "CCONJ", "cnjsub": "SCONJ", "det": "DET", "ij": "INTJ", "n": "NOUN", "np": "PROPN",
-    "num": "NUM", "part": "PART", "post": "ADP", "prn": "PRON", "punct": "PUNCT", "sym": "SYM", "v": "VERB", "vaux": "AUX",
-}
+_PARTS = "ADJ=adj ADP=post ADV=adv AUX=vaux CCONJ=cnjcoo DET=det INTJ=ij NOUN=n NUM=num PART=part PRON=prn PROPN=np PUNCT=punct SCONJ=cnjsub SYM=sym VERB=v"
+_POS = {tag: upos for upos, tag in (x.split("=") for x in _PARTS.split())}
 _FEATS = """Aspect: perf=Perf prog=Prog
 Case: abl=Abl acc=Acc dat=Dat equ=Equ gen=Gen ins=Ins loc=Loc nom=Nom
 Clusivity: excl=Excl incl=Incl
@@ -36,14 +34,12 @@ Voice: pass=Pass rcp=Rcp rfl=Rfl"""
 #: Further tags: of the languages whose evidential is "ifi", of the others, and of single ones.
 _IFI = "azb aze crh gag tuk tur uig uzb".split()
 _EVID = "alt bak chv kaa kaz kir kjh krc kum nog sah tat tyv".split()
-_OWN = {"chv": {"prl": "Case=Prol", "ter": "Case=Ter"}, "sah": {"par": "Case=Par"}}
+_OWN = {"chv": dict(ter="Case=Ter", prl="Case=Prol"), "sah": dict(par="Case=Par")}
 _VERB = "Aspect Clusivity Evident Mood Number Person Polarity Tense VerbForm Voice"
 _NOUN = "Case Gender Number Number[psor] Person[psor]"
 _PRON = "Case Number Person PronType Reflex"
-_ALLOWED = {
-    "ADJ": "Case Degree Gender Number", "ADP": "AdpType Case", "ADV": "AdvType Degree Polarity PronType", "AUX": _VERB, "CCONJ": "", "DET": _PRON, "INTJ": "", "NOUN": _NOUN,
-    "NUM": "Case Gender NumType Number", "PART": "PartType Polarity", "PRON": _PRON, "PROPN": _NOUN, "PUNCT": "", "SCONJ": "", "SYM": "", "VERB": _VERB, "X": "",
-}
+_ALLOWED = dict.fromkeys("CCONJ INTJ PUNCT SCONJ SYM X".split(), "") | dict.fromkeys(("AUX", "VERB"), _VERB) | dict.fromkeys(("NOUN", "PROPN"), _NOUN) | dict.fromkeys(("DET", "PRON"), _PRON)
+_ALLOWED |= dict(ADJ="Case Degree Gender Number", ADP="AdpType Case", ADV="AdvType Degree Polarity PronType", NUM="Case Gender NumType Number", PART="PartType Polarity")
 
 
 def tag_map(lang: str) -> dict[str, str]:
@@ -61,7 +57,7 @@ def tag_map(lang: str) -> dict[str, str]:
         for tag, number in (("sg", "Sing"), ("pl", "Plur")):
             out[f"px{person}{tag}"] = f"Number[psor]={number}|Person[psor]={person}"
     out["px3sp"] = out["px3sg"]
-    out |= {"ifi": "Evident=Nfh"} if lang in _IFI else {"evid": "Evident=Nfh", "cvb": "VerbForm=Conv"}
+    out |= {"ifi": "Evident=Nfh"} if lang in _IFI else dict(cvb="VerbForm=Conv", evid="Evident=Nfh")
     return out | _OWN.get(lang, {})
 
 
@@ -139,7 +135,7 @@ _FINITE = "aor fut ifi past pres".split()
 _MOODS = "cond imp ind neces opt".split()
 _VERBAL = [*_FINITE, *_MOODS, *"cvb ger inf part pass prog rcp".split()]
 _CASES = "abl acc dat equ gen ins loc nom".split()
-_ORDER = {"v": 0, "vaux": 1, "n": 2, "np": 3, "adj": 4, "adv": 5, "prn": 6, "det": 7}
+_ORDER = {tag: i for i, tag in enumerate("v vaux n np adj adv prn det".split())}
 
 
 def context_score(reading: Column, text: Column, final: Column, before_question: Column, lexicon_upos: Column) -> Column:
@@ -150,7 +146,7 @@ def context_score(reading: Column, text: Column, final: Column, before_question:
     verb, upper = pos.isin("v", "vaux"), T.starts_upper(text)
     return (
         F.when(final, points(verb, 3) + points(pos.isin("n", "np"), -2) + points(has(_FINITE), 1)).otherwise(points(verb & has(_FINITE + _MOODS) & ~before_question, -2))
-        + points(pos.isin("n", "np", "adj", "adv", "prn", "det", "num") & has(_VERBAL), -3)
+        + points(pos.isin(*"adj adv det n np num prn".split()) & has(_VERBAL), -3)
         + points(verb & has(_CASES) & ~F.array_contains(feats, "part"), -1)
         + points(upper & (pos == "np"), 1)
         + points(upper & verb & F.array_contains(feats, "imp"), -2)

@@ -15,7 +15,7 @@ from ..functions import let
 #: White space: Unicode's, and the four separators that Java leaves out.
 _S = r"[\s\x1C-\x1F]"
 _NOT_S = r"[^\s\x1C-\x1F]"
-_TRAILING = r"""^(.*?)([.,:;!?"'\)\]\}]+)$"""
+_TRAILING = r"""^(.*?)([")\]}'!,.:;?]+)$"""
 _MARKS = tuple(".,:;!?\"')]}")
 _ARABIC_PUNCT = "،؛؟!.()«»“”'\"" + r"\[\]"
 

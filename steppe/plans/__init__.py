@@ -15,6 +15,8 @@ from ..operators.segment import expand_multiword, tokenize_by_script
 from ..resources import rows, table
 
 ORDER = tuple("script_detect transliterate tokenize mwt morph morph_neural pos feats lemma depparse ner embeddings sentiment transliterate_back".split())
+#: Steps of the pipeline itself, which have no backend.
+_IMPLICIT = frozenset(x for x in ORDER if x.startswith(("script", "translit")))
 
 
 @dataclass(frozen=True)
@@ -138,7 +140,7 @@ class Pipeline:
         self.backends = {}
         self.stages = []
         for name in self.names:
-            if name in ("script_detect", "transliterate", "transliterate_back"):
+            if name in _IMPLICIT:
                 continue
             backend = choose_backend(name, self.model_script, options, catalog, self.registry)
             self.backends[name] = backend

@@ -63,7 +63,7 @@ _SENTENCES = r"""
     l AS (SELECT doc_id, list_filter(list_transform(string_split(regexp_replace(text, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)),
                  lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: x <> '') AS l FROM documents WHERE text IS NOT NULL),
     s AS (SELECT doc_id, CAST(unnest(range(len(l))) AS INTEGER) AS sent_id, unnest(l) AS s FROM l)"""
-_STEM = r"""'^(.*?)([.,:;!?"''\)\]\}]+)$'"""
+_STEM = r"""'^(.*?)([")\]}''!,.:;?]+)$'"""
 _PIECES = rf"""CASE WHEN regexp_extract(t, {_STEM}, 1) <> ''
     THEN list_concat([{{'t': regexp_extract(t, {_STEM}, 1), 'p': false}}], list_transform(string_split(regexp_extract(t, {_STEM}, 2), ''), lambda c: {{'t': c, 'p': true}}))
     ELSE [{{'t': t, 'p': false}}] END"""
@@ -353,7 +353,7 @@ def lexicon_antijoin(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _READINGS = [
-    (0, "мектеп<n><dat><sg>", 0.5, "мектеп", "n", "dat sg"),
+    (0, "қала<n><loc><pl>", 0.25, "қала", "n", "loc pl"),
     (1, "^geldi/gel<v><past><p3>$", 0.0, "gel", "v", "past p3"),
     (2, "x\tev@P.X@<n>", 1.0, "ev", "n", ""),
     (3, "plain", 0.0, None, None, None),
@@ -373,7 +373,7 @@ _TAGS = [
     (1, "tur", "ifi p3 sg", "Evident=Nfh|Number=Sing|Person=3"),
     (2, "kaz", "evid ind foo", "Evident=Nfh|PronType=Ind"),
     (3, "chv", "prl ter cvb", "Case=Prol|Case=Ter|VerbForm=Conv"),
-    (4, "sah", "par", "Case=Par"),
+    (4, "sah", "sg par", "Case=Par|Number=Sing"),
     (5, "ota", "dat sg", "_"),
     (6, "uzb", "cvb", "_"),
 ]

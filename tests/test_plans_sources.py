@@ -66,7 +66,7 @@ def test_pipeline(spark):
     p = Pipeline("tur", ["mwt", "tokenize"])
     out = {r.doc_id: r for r in p(docs).collect()}
     assert out[1].script == out[2].script == "Latn" and out[1].log == ["tokenize:regex", "mwt:rules"]
-    assert [w.text for w in out[1].sentences[0].words] == ["Korkut", "ata", "geldi", "."]
+    assert [w.text for w in out[1].sentences[0].words] == "Korkut ata geldi .".split()
     assert out[3].sentences is None
     assert p.process(docs).where("doc_id = 1").first().output.startswith("# lang = tur\n# script = Latn\n\n# text = Korkutata geldi.\n1-2\tKorkutata")
     assert json.loads(p.process(docs, "json").where("doc_id = 1").first().output)[0][0]["text"] == "Korkut"
@@ -80,10 +80,10 @@ def test_bridge_and_back(spark):
     reg = default_registry()
     lemma = lambda df: df.withColumn("sentences", F.transform("sentences", lambda s: s.withField("words", F.transform(s["words"], lambda w: w.withField("lemma", F.lower(w["text"]))))))
     reg.register("lemma", "low", Stage(lambda *a: lemma, requires=("tokenize",), license="MIT"))
-    docs = spark.createDataFrame([(1, "Мектеп ұлы.")], "doc_id long, text string")
+    docs = spark.createDataFrame([(1, "Қала ұлы.")], "doc_id long, text string")
     p = Pipeline("kaz", ["lemma"], script="Cyrl", transliterate_to="Latn", transliterate_back=True, registry=reg)
     r = p(docs).first()
-    assert r.text == "Мектеп ұлы." and [w.text for w in r.sentences[0].words][0] == "Mektep" and r.sentences[0].words[0].lemma == "мектеп"
+    assert r.text == "Қала ұлы." and [w.text for w in r.sentences[0].words][0] == "Qala" and r.sentences[0].words[0].lemma == "қала"
     assert p.license_info()["lemma"] == "MIT"
 
 
