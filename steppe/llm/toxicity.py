@@ -44,26 +44,25 @@ def features(w: Words, bits: int = BITS) -> list[tuple[np.ndarray, np.ndarray]]:
 
 
 def ftrl(examples: list[np.ndarray], labels: np.ndarray, bits: int = BITS, epochs: int = EPOCHS) -> tuple[np.ndarray, np.ndarray, float]:
-    """Train on the features of each example; returns places and values of the non-zero weights, and the bias."""
-    size = 2**bits + 1  # the last place is the bias
-    z, n = np.zeros(size), np.zeros(size)
-    data = []
-    for x in examples:
-        data.append(np.append(np.unique(x), size - 1))
+    """Train on the distinct features of each example; returns places and values of the non-zero weights, and the bias."""
+    z, n = np.zeros(2**bits), np.zeros(2**bits)
+    z_bias = n_bias = 0.0
 
     def weight(zs: np.ndarray, ns: np.ndarray) -> np.ndarray:
         return np.where(np.abs(zs) <= L1, 0.0, -(zs - np.sign(zs) * L1) / ((BETA + np.sqrt(ns)) / ALPHA + L2))
 
     for _ in range(epochs):
-        for at, y in zip(data, labels, strict=True):
+        for at, y in zip(examples, labels, strict=True):
             zs, ns = z[at], n[at]
-            w = weight(zs, ns)
-            g = _sigmoid(float(w.sum())) - y
+            w, w_bias = weight(zs, ns), float(weight(z_bias, n_bias))
+            g = _sigmoid(float(w.sum()) + w_bias) - y
             z[at] = zs + g - (np.sqrt(ns + g * g) - np.sqrt(ns)) / ALPHA * w
             n[at] = ns + g * g
+            z_bias += g - (np.sqrt(n_bias + g * g) - np.sqrt(n_bias)) / ALPHA * w_bias
+            n_bias += g * g
     w = weight(z, n)
-    at = np.flatnonzero(w[:-1])
-    return at.astype(np.int32), w[at].astype(np.float32), float(w[-1])
+    at = np.flatnonzero(w)
+    return at.astype(np.int32), w[at].astype(np.float32), float(weight(z_bias, n_bias))
 
 
 def _sigmoid(x):
@@ -95,15 +94,16 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, bits: int =
             owner = np.concatenate([o for _, o in kinds])
             at = at[np.argsort(owner, kind="stable")]
             bounds = np.cumsum(np.bincount(owner, minlength=len(w)))
-            x = [part.tobytes() for part in np.split(at, bounds[:-1])]
+            x = [np.unique(part).tobytes() for part in np.split(at, bounds[:-1])]
             yield pa.record_batch([batch.column(0), batch.column(1), pa.array(x, type=pa.binary())], names=["h", "y", "x"])
 
     def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found = [b for b in batches if b.num_rows]
         if found:
             table = pa.Table.from_batches(found).sort_by([("h", "ascending"), ("x", "ascending")])
-            x = [np.frombuffer(b, np.int32) for b in table.column("x").to_pylist()]
-            at, value, bias = ftrl(x, np.asarray(table.column("y")).astype(np.float64), bits)
+            y, x = np.asarray(table.column("y")).astype(np.float64), table.column("x").to_pylist()
+            del table, found  # one copy of the features is enough
+            at, value, bias = ftrl([np.frombuffer(b, np.int32) for b in x], y, bits)
             yield pa.record_batch([pa.array([at.tobytes()]), pa.array([value.tobytes()]), pa.array([bias])], names=["at", "value", "bias"])
 
     # The sample is bounded, so one task trains on all of it.
