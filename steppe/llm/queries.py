@@ -12,7 +12,7 @@ from .ngram_join import ngram_jaccard_join
 from .packing import pack_documents
 from .quality import quality
 from .sharding import interleave
-from .substring import repeats
+from .substring import maximal_repeats, repeats
 from .tokens import tokenized
 from .toxicity import toxicity
 from .warc import bundle_pages
@@ -45,6 +45,10 @@ def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats(_table(spark, sf_dir, "documents"))
 
 
+def op5_maximal_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return maximal_repeats(_table(spark, sf_dir, "documents"))
+
+
 def op6_token_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenized(_table(spark, sf_dir, "documents"))
 
@@ -78,6 +82,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_quality": op10_quality,
 }
 
+#: Further queries of the same operators.
+MORE: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op5_maximal_repeats": op5_maximal_repeats}
+
 ORACLE_SQL: dict[str, str] = {
     "op1_ngram_jaccard_join": rf"""
         WITH d AS (SELECT DISTINCT doc_id, regexp_extract_all(lower(text), '{_WORD}') AS w FROM documents

@@ -9,10 +9,15 @@ A *repeat* is a run of at least ``MIN_WORDS`` words that occurs in two documents
    words around it.  These runs, of the few documents with such seeds, are joined on their hash, and each
    is matched with its first occurrence, that of the least (doc_id, position).
 3. Runs that follow one another and match the same document at the same distance merge into one
-   maximal match.
+   first-occurrence match.
 
 Work and result grow with the number of occurrences, not with the number of pairs of them: a
 passage in ten thousand documents gives ten thousand rows.
+
+First-occurrence matches tell what to cut, but they end where the first occurrence changes.
+:func:`maximal_repeats` gives the repeats at their full length, each with all its places:  it may begin
+only at runs before which different words stand, and end only at runs after which different words stand.
+Every stretch from one to the other is a candidate, and those whose own places differ on both sides are kept.
 """
 
 from __future__ import annotations
@@ -25,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import checkpointed, chunks, joined, pack48, parts, runs, u64, unpack48
-from .words import Words, mix, rolling, within
+from .words import Words, mix, powers, rolling, within
 
 MIN_WORDS, SEED_WORDS = 50, 20
 
@@ -138,30 +143,35 @@ def _by_document(table: pa.Table) -> pa.Table:
     return pa.table({"doc_id": pa.array(doc[start]), "seeds": pa.array(seeds, type=pa.binary())})
 
 
+def _around(w: Words, seeds: list[bytes], k: int, least: int, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """All runs of ``least`` words around the texts' common seeds: hash, index of their first word, text, place in it."""
+    h, at, text = _seeds(w, k, least)
+    h = (h & np.uint64(2**48 - 1)) | _cls(h, n).astype(np.uint64) << np.uint64(48)
+    common = np.zeros(len(h), dtype=bool)
+    bounds = np.searchsorted(text, np.arange(len(w) + 1))
+    for i, raw in enumerate(seeds):
+        own = slice(bounds[i], bounds[i + 1])
+        common[own] = np.isin(h[own], np.frombuffer(raw, "<u8"))
+    at = at[common]
+    mark = np.zeros(len(w.hash) + 1, dtype=np.int64)
+    first = np.repeat(w.first[:-1], w.counts)
+    np.add.at(mark, np.maximum(at - (least - k), first[at]), 1)
+    np.add.at(mark, at + 1, -1)
+    inside = (np.cumsum(mark)[:-1] > 0) & _inside(w, least)
+    at = np.flatnonzero(inside)
+    g = rolling(w.hash, least)[at] if len(at) else np.zeros(0, np.uint64)
+    text = np.searchsorted(w.first, at, side="right") - 1
+    return g, at, text, (at - first[at]).astype("<u4") if len(at) else np.zeros(0, "<u4")
+
+
 def _run_rows(k: int, least: int, n: int):
     """Documents with their common seeds -> all runs of ``least`` words around these, by class."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in chunks(batches):
             w = Words(batch.column(1))
-            h, at, text = _seeds(w, k, least)
-            h = (h & np.uint64(2**48 - 1)) | _cls(h, n).astype(np.uint64) << np.uint64(48)
-            common = np.zeros(len(h), dtype=bool)
-            bounds = np.searchsorted(text, np.arange(len(w) + 1))
-            for i, raw in enumerate(batch.column(2).to_pylist()):
-                own = slice(bounds[i], bounds[i + 1])
-                common[own] = np.isin(h[own], np.frombuffer(raw, "<u8"))
-            at = at[common]
-            mark = np.zeros(len(w.hash) + 1, dtype=np.int64)
-            first = np.repeat(w.first[:-1], w.counts)
-            np.add.at(mark, np.maximum(at - (least - k), first[at]), 1)
-            np.add.at(mark, at + 1, -1)
-            inside = (np.cumsum(mark)[:-1] > 0) & _inside(w, least)
-            at = np.flatnonzero(inside)
-            g = rolling(w.hash, least)[at] if len(at) else np.zeros(0, np.uint64)
-            text = np.searchsorted(w.first, at, side="right") - 1
+            g, _, text, place = _around(w, batch.column(2).to_pylist(), k, least, n)
             doc = np.asarray(batch.column(0)).astype(np.int64)[text]
-            place = (at - first[at]).astype("<u4") if len(at) else np.zeros(0, "<u4")
             yield from _table(_packed(_cls(g, n), n, doc, hashes=g, at=place)).to_batches()
 
     return run
@@ -216,32 +226,226 @@ def _merge(least: int):
     return run
 
 
+def _source(docs: DataFrame) -> DataFrame:
+    return docs.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+
+
+def _marks(source: DataFrame, min_words: int, seed_words: int) -> DataFrame:
+    """The documents that share seeds with another, and these seeds."""
+    if not 0 < seed_words < min_words:
+        raise ValueError("seed_words must be less than min_words")
+    n = parts(source.sparkSession)
+    seeds = source.select("doc_id", "text").mapInArrow(_seed_rows(seed_words, min_words, n), _PACK)
+    common = seeds.groupBy("cls").applyInArrow(_common_seeds(n), _PACK)
+    return checkpointed(common.groupBy("cls").applyInArrow(_by_document, "doc_id long, seeds binary"))
+
+
 def repeats(docs: DataFrame, min_words: int = MIN_WORDS, seed_words: int = SEED_WORDS) -> DataFrame:
-    """The maximal matches of every document with earlier occurrences of the same words.
+    """The matches of every document with the first occurrences of the same words.
 
     A row (doc_id, start_word, n_words, first_doc_id, first_start_word), all bigint, says that the n_words
     words of doc_id from its word start_word (counted from 0) are also found from word
     first_start_word of first_doc_id, where each run of min_words of them occurs first: in the
     document of the least doc_id that has it, at its least position.  Only runs that two documents
-    have count; of those, repetitions within one document are reported too.
+    have count; of those, repetitions within one document are reported too.  A match ends where the
+    first occurrence changes, so these aren't maximal repeats: :func:`maximal_repeats` gives those.
 
     Words are as in :mod:`.words`.  Documents with a null id or text, or fewer than min_words
     words, are in no row.  A row repeated counts once; several texts under one id count as that document's text,
     each with positions of its own.  An empty table gives an empty result.  Other columns are ignored.
     """
-    if not 0 < seed_words < min_words:
-        raise ValueError("seed_words must be less than min_words")
     n = parts(docs.sparkSession)
-    source = docs.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    seeds = source.mapInArrow(_seed_rows(seed_words, min_words, n), _PACK)
-    common = seeds.groupBy("cls").applyInArrow(_common_seeds(n), _PACK)
-    marks = checkpointed(common.groupBy("cls").applyInArrow(_by_document, "doc_id long, seeds binary"))
-    marked = source.join(marks, "doc_id").select("doc_id", "text", "seeds")
+    source = _source(docs)
+    marked = source.join(_marks(source, min_words, seed_words), "doc_id").select("doc_id", "text", "seeds")
     runs_ = marked.mapInArrow(_run_rows(seed_words, min_words, n), _PACK)
     matched = runs_.groupBy("cls").applyInArrow(_match(n), _PACK)
     return matched.groupBy("cls").applyInArrow(_merge(min_words), "doc_id long, start_word long, n_words long, first_doc_id long, first_start_word long")
 
 
+_RUNS = "cls int, keys binary, counts binary, hashes binary, at binary, left binary, right binary"
+_SIDED = "cls int, keys binary, counts binary, hashes binary, at binary, size binary, left binary, right binary"
+_PLACES = "cls int, keys binary, counts binary, at binary, flags binary"
+#: Different words stand before a run; after it; no other document goes on from it with the same word.
+_BEGINS, _ENDS, _STOPS = 1, 2, 4
+#: Candidates packed at once.
+_AT_ONCE = 1 << 18
+
+
+def _wide(schema: str, part: np.ndarray, n: int, doc: np.ndarray, text: np.ndarray, **arrays: np.ndarray) -> pa.Table:
+    """As :func:`_packed`, with texts known by (document, key of the text); words are packed in 48 bits."""
+    order = np.argsort(part, kind="stable")
+    part, key = part[order], np.stack([doc, text], axis=1)[order]
+    arrays = {k: v[order] for k, v in arrays.items()}
+    bounds = np.searchsorted(part, np.arange(n + 1))
+    rows = []
+    for c in np.flatnonzero(bounds[1:] > bounds[:-1]):
+        at = slice(int(bounds[c]), int(bounds[c + 1]))
+        own = key[at]
+        start = np.flatnonzero(np.concatenate([[True], (own[1:] != own[:-1]).any(axis=1)]))
+        packed = [pack48(v[at]) if v.dtype == np.uint64 else v[at].tobytes() for v in arrays.values()]
+        rows.append((int(c), own[start].tobytes(), np.diff(np.append(start, len(own))).astype("<u4").tobytes(), *packed))
+    names = [f.split()[0] for f in schema.split(", ")]
+    types = [pa.int32(), *[pa.binary()] * (len(names) - 1)]
+    return pa.table([pa.array([r[i] for r in rows], type=t) for i, t in enumerate(types)], names=names)
+
+
+def _texts_of(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    key = np.repeat(joined(table.column("keys"), "<i8").reshape(-1, 2), joined(table.column("counts"), "<u4"), axis=0)
+    return key[:, 0], key[:, 1]
+
+
+def _beside(w: Words, text: np.ndarray, begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The words before and after stretches of words, in 48 bits; 0 where the text begins or ends."""
+    words = np.maximum(w.hash & np.uint64(2**48 - 1), np.uint64(1))
+    left = np.where(begin > w.first[text], words[begin - 1], np.uint64(0))
+    right = np.where(end < w.first[text + 1], words[np.minimum(end, len(words) - 1)], np.uint64(0))
+    return left, right
+
+
+def _differ(side: np.ndarray, start: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """For each entry, whether its group can't be extended on this side by one word that all of it has."""
+    least = np.minimum.reduceat(side, start)
+    return np.repeat((least == 0) | (least != np.maximum.reduceat(side, start)), length)
+
+
+def _sided_rows(k: int, least: int, n: int):
+    """Documents with their common seeds -> all runs of ``least`` words around these and the words beside them, by class."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in chunks(batches):
+            w = Words(batch.column(1))
+            g, at, text, place = _around(w, batch.column(2).to_pylist(), k, least, n)
+            if len(at):
+                left, right = _beside(w, text, at, at + least)
+                doc, key = (np.asarray(batch.column(c)).astype(np.int64)[text] for c in (0, 3))
+                yield from _wide(_RUNS, _cls(g, n), n, doc, key, hashes=g, at=place, left=left, right=right).to_batches()
+
+    return run
+
+
+def _places(n: int):
+    """Runs of a class -> those at which a maximal repeat may begin, end or must stop, by document block."""
+
+    def run(table: pa.Table) -> pa.Table:
+        doc, text = _texts_of(table)
+        at = joined(table.column("at"), "<u4")
+        h, left, right = (unpack48(joined(table.column(c), "u1")) for c in ("hashes", "left", "right"))
+        order = np.lexsort((at, text, doc, right, h))
+        doc, text, at, h, left, right = (x[order] for x in (doc, text, at, h, left, right))
+        # The documents that go on with the same word.
+        new = np.ones(len(h), dtype=bool)
+        new[1:] = (h[1:] != h[:-1]) | (right[1:] != right[:-1])
+        start = np.flatnonzero(new)
+        length = np.diff(np.append(start, len(h)))
+        alone = np.repeat(doc[start] == doc[start + length - 1], length) | (right == 0)
+        start, length = runs(h)
+        shared = np.repeat(np.minimum.reduceat(doc, start) != np.maximum.reduceat(doc, start), length)
+        flags = _BEGINS * _differ(left, start, length) + _ENDS * _differ(right, start, length) + _STOPS * alone
+        keep = shared & (flags > 0)
+        doc, text, at, flags = doc[keep], text[keep], at[keep], flags[keep].astype("u1")
+        order = np.lexsort((at, text, doc))
+        doc, text, at, flags = (x[order] for x in (doc, text, at, flags))
+        return _wide(_PLACES, _blk(doc, n), n, doc, text, at=at, flags=flags)
+
+    return run
+
+
+def _places_of_document(table: pa.Table) -> pa.Table:
+    doc, text = _texts_of(table)
+    at, flags = joined(table.column("at"), "<u4"), joined(table.column("flags"), "u1")
+    order = np.lexsort((at, text, doc))
+    doc, text, at, flags = (x[order] for x in (doc, text, at, flags))
+    start, length = runs(doc)
+    cut = [slice(a, a + b) for a, b in zip(start, length, strict=True)]
+    binary = [pa.array([x[c].tobytes() for c in cut], type=pa.binary()) for x in (text, at, flags)]
+    return pa.table([pa.array(doc[start]), *binary], names=["doc_id", "texts", "places", "flags"])
+
+
+def _candidates(least: int, n: int):
+    """Documents with their places -> the stretches from a beginning to an end that a repeat may fill, by class."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in chunks(batches):
+            w = Words(batch.column(1))
+            doc, key = (np.asarray(batch.column(c)).astype(np.int64) for c in (0, 2))
+            begins, low, counts, texts, ends = [], [], [], [], []
+            n_ends = 0
+            for i, (t, p, f) in enumerate(zip(*(batch.column(c).to_pylist() for c in (3, 4, 5)), strict=True)):
+                own = np.frombuffer(t, "<i8") == key[i]
+                place, flag = np.frombuffer(p, "<u4")[own].astype(np.int64), np.frombuffer(f, "u1")[own]
+                place, at = np.unique(place, return_index=True)  # repeated rows
+                flag = flag[at]
+                begin, end, stop = (place[flag & x > 0] for x in (_BEGINS, _ENDS, _STOPS))
+                stop = np.append(stop, w.counts[i])[np.searchsorted(stop, begin)]
+                a, b = np.searchsorted(end, begin), np.searchsorted(end, stop, side="right")
+                begins.append(begin + w.first[i])
+                low.append(a + n_ends)
+                counts.append(b - a)
+                texts.append(np.full(len(begin), i))
+                ends.append(end + w.first[i] + least)
+                n_ends += len(end)
+            begins, low, counts, texts, ends = (np.concatenate(x) for x in (begins, low, counts, texts, ends))
+            if not len(begins):
+                continue
+            power = powers(len(w.hash) + 1)
+            total = np.zeros(len(w.hash) + 1, dtype=np.uint64)
+            np.cumsum(w.hash * power[:-1], out=total[1:])
+            inverse = powers(len(w.hash) + 1, np.uint64(pow(int(power[1]), -1, 2**64)))
+            done = np.cumsum(counts)
+            i = 0
+            while i < len(begins):
+                j = max(i + 1, int(np.searchsorted(done, (done[i - 1] if i else 0) + _AT_ONCE, side="right")))
+                c = counts[i:j]
+                begin, text = np.repeat(begins[i:j], c), np.repeat(texts[i:j], c)
+                end = ends[np.repeat(low[i:j], c) + within(c)]
+                i = j
+                if not len(begin):
+                    continue
+                size = end - begin
+                g = mix((total[end] - total[begin]) * inverse[begin] + mix(size.view(np.uint64)))
+                left, right = _beside(w, text, begin, end)
+                yield from _wide(_SIDED, _cls(g, n), n, doc[text], key[text], hashes=g, at=(begin - w.first[text]).astype("<u4"), size=size.astype("<u4"), left=left, right=right).to_batches()
+
+    return run
+
+
+def _classes(table: pa.Table) -> pa.Table:
+    """Candidates of a class -> the maximal repeats of two documents or more, with their places."""
+    doc, _ = _texts_of(table)
+    at, size = joined(table.column("at"), "<u4"), joined(table.column("size"), "<u4")
+    h, left, right = (unpack48(joined(table.column(c), "u1")) for c in ("hashes", "left", "right"))
+    order = np.lexsort((at, doc, h))
+    doc, at, size, h, left, right = (x[order] for x in (doc, at, size, h, left, right))
+    start, length = runs(h)
+    shared = np.repeat(doc[start] != doc[start + length - 1], length)
+    keep = shared & _differ(left, start, length) & _differ(right, start, length)
+    keep[1:] &= (h[1:] != h[:-1]) | (doc[1:] != doc[:-1]) | (at[1:] != at[:-1])  # repeated rows
+    # The class fills the bits that 48 leave out.
+    repeat = h[keep] | np.uint64(table.column("cls")[0].as_py() << 48)
+    return pa.table({"repeat_id": pa.array(repeat.view(np.int64)), "n_words": pa.array(size[keep].astype(np.int64)), "doc_id": pa.array(doc[keep]), "start_word": pa.array(at[keep].astype(np.int64))})
+
+
+def maximal_repeats(docs: DataFrame, min_words: int = MIN_WORDS, seed_words: int = SEED_WORDS) -> DataFrame:
+    """The maximal repeats of at least min_words words, with all places that hold them.
+
+    A row (repeat_id, n_words, doc_id, start_word), all bigint, says that the run of n_words words known as
+    repeat_id stands from word start_word (counted from 0) of doc_id.  A run is a repeat if two documents have
+    it, and maximal if no word stands before all its places, and none after all of them.  So any two
+    places of different documents that hold the same words, taken as far as they agree on both sides, are
+    in one repeat of that very length; a repeat within a longer one has its own rows if it has other places too.
+
+    Words and the rows left out are as in :func:`repeats`.
+    """
+    n = parts(docs.sparkSession)
+    source = _source(docs).withColumn("key", F.xxhash64("text"))
+    marked = source.join(_marks(source, min_words, seed_words), "doc_id").select("doc_id", "text", "seeds", "key")
+    sided = marked.mapInArrow(_sided_rows(seed_words, min_words, n), _RUNS)
+    places = sided.groupBy("cls").applyInArrow(_places(n), _PLACES)
+    of_document = places.groupBy("cls").applyInArrow(_places_of_document, "doc_id long, texts binary, places binary, flags binary")
+    found = source.join(of_document, "doc_id").select("doc_id", "text", "key", "texts", "places", "flags").mapInArrow(_candidates(min_words, n), _SIDED)
+    return found.groupBy("cls").applyInArrow(_classes, "repeat_id long, n_words long, doc_id long, start_word long")
+
+
 def _cutter(where: int, spans: int):
     """Cut the word spans of a column of packed (start, length) pairs out of the text."""
 

@@ -1,6 +1,6 @@
 from collections import defaultdict
 
-from steppe.llm.substring import drop_repeats, repeats
+from steppe.llm.substring import drop_repeats, maximal_repeats, repeats
 
 from .conftest import words
 
@@ -66,3 +66,53 @@ def test_cutting_keeps_the_rest_of_the_text(spark):
     rows = [(1, f"İlk — {passage}. Son"), (2, f"“Ara” {passage}, İKİNCİ metin"), (3, passage.upper())]
     got = {r.doc_id: r.text for r in drop_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == {1: rows[0][1], 2: "“Ara” İKİNCİ metin"}
+
+
+def classes(rows, least):
+    """Maximal repeats by trying all lengths: (n_words, places) of each."""
+    docs = sorted({(i, x) for i, x, *_ in rows if i is not None and x})
+    docs = [(i, words(x)) for i, x in docs]
+    at, out, n = [(t, p) for t, (_, w) in enumerate(docs) for p in range(len(w) - least + 1)], set(), least
+    while at:
+        places = defaultdict(list)
+        for t, p in at:
+            if p + n <= len(docs[t][1]):
+                places[tuple(docs[t][1][p : p + n])].append((t, p))
+        places = [x for x in places.values() if len({docs[t][0] for t, _ in x}) > 1]
+        for own in places:
+            before = {docs[t][1][p - 1] if p else t for t, p in own}
+            after = {docs[t][1][p + n] if p + n < len(docs[t][1]) else t for t, p in own}
+            edge = any(isinstance(x, int) for x in before), any(isinstance(x, int) for x in after)
+            if (edge[0] or len(before) > 1) and (edge[1] or len(after) > 1):
+                out.add((n, frozenset((docs[t][0], p) for t, p in own)))
+        at, n = [x for own in places for x in own], n + 1
+    return out
+
+
+def found(df, least, seed):
+    by = defaultdict(set)
+    got = [tuple(r) for r in maximal_repeats(df, least, seed).collect()]
+    assert len(got) == len(set(got))
+    for k, n, i, p in got:
+        by[k, n].add((i, p))
+    assert len({k for k, _ in by}) == len(by)
+    return {(n, frozenset(x)) for (_, n), x in by.items()}
+
+
+def test_maximal_repeats_are_those_of_brute_force(spark, docs, rows):
+    for least, seed in ((50, 20), (12, 4)):
+        want = classes(rows, least)
+        assert len(want) > 3 and found(docs, least, seed) == want
+    two = [(1, "a b c d e f g"), (1, "x b c d e y"), (2, "a b c d e z"), (3, "q b c d e f"), (3, "q b c d e f")]
+    assert found(spark.createDataFrame(two, "doc_id long, text string"), 3, 2) == classes(two, 3)
+
+
+def test_a_passage_of_an_earlier_document_does_not_cut_a_repeat(spark):
+    w = [f"w{i}" for i in range(80)]
+    rows = [(1, " ".join(["a", *w[10:70], "b"])), (2, " ".join(["c", *w, "d"])), (3, " ".join(["e", *w, "f"]))]
+    got = found(spark.createDataFrame(rows, "doc_id long, text string"), 50, 20)
+    assert got == {(60, frozenset({(1, 1), (2, 11), (3, 11)})), (80, frozenset({(2, 1), (3, 1)}))}
+
+
+def test_no_maximal_repeats(empty):
+    assert maximal_repeats(empty).count() == 0
