@@ -9,7 +9,8 @@ branch and bound over bins (Korf, 2003; Fukunaga and Korf, 2007): the largest do
 must go somewhere, so the search branches on how the rest of its bin is filled.  Only undominated
 fillings are branched on; a filling is pruned when the waste so far exceeds what a solution with
 one bin less than the incumbent may waste.  The first incumbent is best-fit decreasing, and the search
-ends when it meets the lower bound, which it mostly does at once, or after ``NODES`` nodes: then the
+ends when it meets the lower bound, which it mostly does at once, when all fillings have been tried, or after ``NODES``
+nodes, each a filling placed or a further batch of steps in finding fillings: then the
 incumbent stands, which is complete and valid though perhaps not optimal.
 
 A group's last sequence is the only one left largely empty, which costs less than one in
@@ -19,6 +20,8 @@ GROUP * mean length / CAPACITY sequences.
 from __future__ import annotations
 
 from bisect import bisect_left, insort
+from collections.abc import Iterator
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -26,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 CAPACITY, GROUP, NODES = 2048, 4096, 2000
-#: Fillings tried at a node, and steps taken to find them.
+#: Fillings are found and ordered by waste in batches: of so many without waste, or so many steps.
 _WIDTH, _STEPS = 6, 300
 
 _OUT = "bin_id long, doc_id long, start_word long, n_words long, bin_offset long"
@@ -55,48 +58,56 @@ def best_fit_decreasing(lengths: np.ndarray, capacity: int) -> list[list[int]]:
     return bins
 
 
-def fillings(sizes: list[int], left: list[int], room: int, most_waste: int, width: int = _WIDTH, steps: int = _STEPS) -> list[tuple[int, list[int]]]:
-    """Undominated ways to fill the room with the sizes (longest first) of which so many are left.
-
-    Each is (waste, places in sizes), by waste, none above most_waste.
-    """
+def _batches(sizes: list[int], left: list[int], room: int, most_waste: int) -> Iterator[list[tuple[int, list[int]]]]:
+    """All fillings as :func:`fillings` has them, by and by: those of the next ``_STEPS`` steps, by waste, which may be none."""
     n = len(sizes)
+    rest = [*accumulate((s * c for s, c in zip(reversed(sizes), reversed(left), strict=True)), initial=0)][::-1]
     found: list[tuple[int, list[int]]] = []
-    budget = steps
+    chosen: list[int] = []
+    used = [0] * n
+    at, steps = 0, 0
 
-    def undominated(chosen: list[int], waste: int) -> bool:
-        used: dict[int, int] = {}
-        for j in chosen:
-            used[j] = used.get(j, 0) + 1
-        fits = sorted({sizes[j] for j in range(n) if left[j] > used.get(j, 0)})
+    def undominated(waste: int) -> bool:
+        fits = sorted({sizes[j] for j in range(n) if left[j] > used[j]})
         if fits and fits[0] <= waste:
             return False  # something more goes in
-        sums = {sizes[j] for j in chosen} | {sizes[a] + sizes[b] for k, a in enumerate(chosen) for b in chosen[k + 1 :]}
+        own = sorted(set(chosen))
+        sums = {sizes[j] for j in own} | {sizes[a] + sizes[b] for k, a in enumerate(own) for b in own[k if used[a] > 1 else k + 1 :]}
         for s in sums:  # one larger item in place of one or two that are no larger together
             at = bisect_left(fits, s + 1)
             if at < len(fits) and fits[at] <= s + waste:
                 return False
         return True
 
-    def visit(at: int, room_left: int, chosen: list[int]) -> bool:
-        nonlocal budget
-        budget -= 1
-        if budget < 0 or sum(1 for w, _ in found if w == 0) >= width:
-            return False
-        while at < n and (sizes[at] > room_left or left[at] <= chosen.count(at)):
+    while True:
+        if steps >= _STEPS or sum(1 for w, _ in found if w == 0) >= _WIDTH:
+            yield sorted(found, key=lambda x: x[0])
+            found, steps = [], 0
+        steps += 1
+        while at < n and (sizes[at] > room or left[at] <= used[at]):
             at += 1
-        if at == n:
-            if room_left <= most_waste and undominated(chosen, room_left):
-                found.append((room_left, list(chosen)))
-            return True
-        chosen.append(at)
-        go_on = visit(at, room_left - sizes[at], chosen)
-        chosen.pop()
-        return go_on and visit(at + 1, room_left, chosen)
+        if at < n and room - rest[at] <= most_waste:
+            chosen.append(at)
+            used[at] += 1
+            room -= sizes[at]
+            continue
+        if at == n and room <= most_waste and undominated(room):
+            found.append((room, list(chosen)))
+        if not chosen:
+            yield sorted(found, key=lambda x: x[0])
+            return
+        at = chosen.pop()
+        used[at] -= 1
+        room += sizes[at]
+        at += 1
 
-    visit(0, room, [])
-    found.sort(key=lambda x: x[0])
-    return found[:width]
+
+def fillings(sizes: list[int], left: list[int], room: int, most_waste: int) -> list[tuple[int, list[int]]]:
+    """All undominated ways to fill the room with the sizes (longest first) of which so many are left.
+
+    Each is (waste, places in sizes), by waste, none above most_waste.
+    """
+    return sorted((x for batch in _batches(sizes, left, room, most_waste) for x in batch), key=lambda x: x[0])
 
 
 def pack(lengths: np.ndarray, capacity: int, nodes: int = NODES) -> list[list[int]]:
@@ -111,30 +122,39 @@ def pack(lengths: np.ndarray, capacity: int, nodes: int = NODES) -> list[list[in
         items[x].append(i)
     left = [len(items[s]) for s in sizes]
 
-    def branches(wasted: int) -> list[tuple[int, list[int]]]:
+    def allowed(wasted: int) -> int:
+        return (len(best) - 1) * capacity - total - wasted
+
+    def branches(wasted: int) -> Iterator[list[tuple[int, list[int]]]]:
         top = next((j for j, c in enumerate(left) if c), None)
-        if top is None:
-            return []
-        left[top] -= 1
-        allowed = (len(best) - 1) * capacity - total - wasted
-        own = fillings(sizes, left, capacity - sizes[top], allowed) if allowed >= 0 else []
-        left[top] += 1
-        return [(w, [top, *chosen]) for w, chosen in own]
-
-    # Depth first, with an explicit stack of (fillings not yet tried, filling in place).
-    stack: list[tuple[list[tuple[int, list[int]]], tuple[int, list[int]] | None]] = [(branches(0)[::-1], None)]
+        if top is None or allowed(wasted) < 0:
+            return
+        own = list(left)
+        own[top] -= 1
+        for batch in _batches(sizes, own, capacity - sizes[top], allowed(wasted)):
+            yield [(w, [top, *chosen]) for w, chosen in batch]
+
+    # Depth first, with an explicit stack of (fillings not yet tried, those not yet found, filling in place).
+    rest = branches(0)
+    stack: list[tuple[list[tuple[int, list[int]]], Iterator[list[tuple[int, list[int]]]], tuple[int, list[int]] | None]] = [(next(rest, [])[::-1], rest, None)]
     wasted, used = 0, 0
     while stack and used < nodes and len(best) > bound:
-        todo, placed = stack.pop()
+        todo, rest, placed = stack.pop()
         if placed is not None:
             wasted -= placed[0]
             for j in placed[1]:
                 left[j] += 1
-            placed = None
         if not todo:
+            more = next(rest, None)
+            if more is not None:
+                used += 1
+                stack.append((more[::-1], rest, None))
             continue
         waste, chosen = todo.pop()
-        stack.append((todo, (waste, chosen)))
+        if waste > allowed(wasted):  # the incumbent has become better since
+            stack.append((todo, rest, None))
+            continue
+        stack.append((todo, rest, (waste, chosen)))
         wasted += waste
         for j in chosen:
             left[j] -= 1
@@ -142,9 +162,10 @@ def pack(lengths: np.ndarray, capacity: int, nodes: int = NODES) -> list[list[in
         if not any(left):
             if len(stack) < len(best):
                 fresh = {s: list(x) for s, x in items.items()}
-                best = [[fresh[sizes[j]].pop() for j in own[1]] for _, own in stack if own is not None]
+                best = [[fresh[sizes[j]].pop() for j in own[1]] for _, _, own in stack if own is not None]
             continue
-        stack.append((branches(wasted)[::-1], None))
+        rest = branches(wasted)
+        stack.append((next(rest, [])[::-1], rest, None))
     return best
 
 

@@ -56,6 +56,22 @@ def test_fillings_are_undominated():
     assert (10, [0]) not in found and (20, [1, 3]) not in found
 
 
+def test_no_filling_is_left_out():
+    sizes, left = list(range(40, 10, -1)), [1] * 30
+    found = fillings(sizes, left, 100, 0)
+    exact = [(0, list(c)) for k in range(1, 9) for c in itertools.combinations(range(30), k) if sum(sizes[j] for j in c) == 100]
+    assert len(found) > 6 and set(map(str, found)) <= set(map(str, exact))
+    for _, c in exact:  # one that isn't found has a larger item in place of some of its own
+        assert (0, c) in found or any(sizes[a] + sizes[b] in sizes and sizes.index(sizes[a] + sizes[b]) not in c for a, b in itertools.combinations(c, 2))
+
+
+def test_a_bin_may_take_hundreds_of_documents():
+    x = np.array([7] * 8 + [5] * 808)
+    bins = pack(x, 2048)
+    assert sorted(sum(bins, [])) == list(range(len(x))) and all(x[b].sum() <= 2048 for b in bins)
+    assert len(best_fit_decreasing(x, 2048)) == 3 and len(bins) == 2
+
+
 @pytest.mark.parametrize("capacity", [2048, 64])
 def test_every_word_has_one_place(docs, rows, capacity):
     out = pack_documents(docs, capacity, group=20).collect()
