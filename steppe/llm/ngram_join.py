@@ -305,19 +305,22 @@ def keep_one_of_each_group(docs: DataFrame, n: int = NGRAM, threshold: float = T
     """The documents without near duplicates: of each group of matching documents one stays.
 
     Groups are the connected components of the matches of :func:`ngram_jaccard_join`; the document of the least
-    doc_id stays, once if its row is repeated.  Rows with a null id or text and documents without words stay as they are.
+    doc_id stays, once if its row is repeated.  Different texts under one doc_id are documents of their own.  Rows with a null id or text and documents without words stay as they are.
     All columns are kept.
     """
-    sets, pairs = similar_sets(docs, n, threshold)
+    # A row is known by its id and text, as one doc_id may stand for several texts.
+    key = F.when(F.col("doc_id").isNotNull() & F.col("text").isNotNull(), F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string")))
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), key.alias("key"))
+    sets, pairs = similar_sets(own.select(F.col("key").alias("doc_id"), "text"), n, threshold)
     sets = checkpointed(sets.select("set_key", "doc_ids"))
     group = components(pairs.select("set_a", "set_b"))
-    member = sets.join(group, "set_key", "left").select(F.coalesce("component", "set_key").alias("component"), F.explode("doc_ids").alias("doc_id"))
-    # A doc_id of several texts may link components; it then goes with the least of its documents everywhere.
-    least = member.groupBy("component").agg(F.min("doc_id").alias("least"))
-    gone = member.join(least, "component").where("doc_id <> least").select(F.col("doc_id").alias("__gone_id")).distinct()
+    member = sets.join(group, "set_key", "left").select(F.coalesce("component", "set_key").alias("component"), F.explode("doc_ids").alias("key"))
+    member = member.join(own.where("key is not null").select("key", "doc_id"), "key")
+    least = member.groupBy("component").agg(F.min(F.struct("doc_id", "key")).alias("least"))
+    gone = member.join(least, "component").where("key <> least.key").select(F.col("key").alias("__gone")).distinct()
     once = F.col("doc_id").isNotNull() & F.col("text").isNotNull()
     repeated = docs.where(once).groupBy(F.col("doc_id").cast("long").alias("__id"), F.xxhash64("text").alias("__h")).count().where("count > 1").select("__id").distinct()
-    left = docs.join(gone, F.col("doc_id").cast("long") == F.col("__gone_id"), "left_anti")
+    left = docs.join(gone, key == F.col("__gone"), "left_anti")
     if repeated.isEmpty():
         return left
     same = F.col("doc_id").cast("long") == F.col("__id")

@@ -171,8 +171,8 @@ def _run_rows(k: int, least: int, n: int):
         for batch in chunks(batches):
             w = Words(batch.column(1))
             g, _, text, place = _around(w, batch.column(2).to_pylist(), k, least, n)
-            doc = np.asarray(batch.column(0)).astype(np.int64)[text]
-            yield from _table(_packed(_cls(g, n), n, doc, hashes=g, at=place)).to_batches()
+            doc, key = (np.asarray(batch.column(c)).astype(np.int64)[text] for c in (0, 3))
+            yield from _wide(_KEYED, _cls(g, n), n, doc, key, hashes=g, at=place).to_batches()
 
     return run
 
@@ -181,34 +181,39 @@ def _match(n: int):
     """Runs of a class -> the first occurrence of each that two documents have, by document block."""
 
     def run(table: pa.Table) -> pa.Table:
-        doc, h, at = _docs_of(table), unpack48(joined(table.column("hashes"), "u1")), joined(table.column("at"), "<u4").astype(np.int64)
+        doc, text = _texts_of(table)
+        h, at = unpack48(joined(table.column("hashes"), "u1")), joined(table.column("at"), "<u4").astype(np.int64)
         order = np.lexsort((at, doc, h))
-        doc, h, at = doc[order], h[order], at[order]
+        doc, text, h, at = doc[order], text[order], h[order], at[order]
         start, length = runs(h)
         last = start + length - 1
         keep = np.repeat(doc[start] != doc[last], length)
         ref, shift = np.repeat(doc[start], length), np.repeat(at[start], length) - at
         # The first occurrence itself stays as it is and isn't reported.
         keep &= (ref != doc) | (shift != 0)
-        doc, at, ref, shift = doc[keep], at[keep], ref[keep], shift[keep]
-        order = np.lexsort((at, doc))
-        doc, at, ref, shift = doc[order], at[order], ref[order], shift[order]
-        return _table(_packed(_blk(doc, n), n, doc, at=at.astype("<u4"), ref=ref, shift=shift.astype("<i4")))
+        doc, text, at, ref, shift = doc[keep], text[keep], at[keep], ref[keep], shift[keep]
+        order = np.lexsort((at, text, doc))
+        doc, text, at, ref, shift = doc[order], text[order], at[order], ref[order], shift[order]
+        return _wide(_MATCHES, _blk(doc, n), n, doc, text, at=at.astype("<u4"), ref=ref, shift=shift.astype("<i4"))
 
     return run
 
 
-def _merge(least: int):
+def _merge(least: int, by_text: bool):
+    """Matches of a block -> those that follow one another as one, of each document or of each of its texts."""
+
     def run(table: pa.Table) -> pa.Table:
-        doc, at, ref, shift = _docs_of(table), joined(table.column("at"), "<u4").astype(np.int64), joined(table.column("ref"), "<i8"), joined(table.column("shift"), "<i4").astype(np.int64)
-        order = np.lexsort((at, shift, ref, doc))
-        doc, at, ref, shift = doc[order], at[order], ref[order], shift[order]
+        doc, text = _texts_of(table)
+        text = text if by_text else np.zeros_like(text)
+        at, ref, shift = joined(table.column("at"), "<u4").astype(np.int64), joined(table.column("ref"), "<i8"), joined(table.column("shift"), "<i4").astype(np.int64)
+        order = np.lexsort((at, shift, ref, text, doc))
+        doc, text, at, ref, shift = doc[order], text[order], at[order], ref[order], shift[order]
         if len(doc):
             keep = np.ones(len(doc), dtype=bool)  # repeated rows
-            keep[1:] = (doc[1:] != doc[:-1]) | (ref[1:] != ref[:-1]) | (shift[1:] != shift[:-1]) | (at[1:] != at[:-1])
-            doc, at, ref, shift = doc[keep], at[keep], ref[keep], shift[keep]
+            keep[1:] = (doc[1:] != doc[:-1]) | (text[1:] != text[:-1]) | (ref[1:] != ref[:-1]) | (shift[1:] != shift[:-1]) | (at[1:] != at[:-1])
+            doc, text, at, ref, shift = doc[keep], text[keep], at[keep], ref[keep], shift[keep]
             new = np.ones(len(doc), dtype=bool)
-            new[1:] = (doc[1:] != doc[:-1]) | (ref[1:] != ref[:-1]) | (shift[1:] != shift[:-1]) | (at[1:] != at[:-1] + 1)
+            new[1:] = (doc[1:] != doc[:-1]) | (text[1:] != text[:-1]) | (ref[1:] != ref[:-1]) | (shift[1:] != shift[:-1]) | (at[1:] != at[:-1] + 1)
             start = np.flatnonzero(new)
             length = np.diff(np.append(start, len(doc)))
         else:
@@ -220,6 +225,7 @@ def _merge(least: int):
                 "n_words": pa.array((length + least - 1).astype(np.int64)),
                 "first_doc_id": pa.array(ref[start]),
                 "first_start_word": pa.array((at + shift)[start]),
+                "key": pa.array(text[start]),
             }
         )
 
@@ -254,14 +260,21 @@ def repeats(docs: DataFrame, min_words: int = MIN_WORDS, seed_words: int = SEED_
     words, are in no row.  A row repeated counts once; several texts under one id count as that document's text,
     each with positions of its own.  An empty table gives an empty result.  Other columns are ignored.
     """
+    return _repeats(docs, min_words, seed_words, False).drop("key")
+
+
+def _repeats(docs: DataFrame, min_words: int, seed_words: int, by_text: bool) -> DataFrame:
+    """As :func:`repeats`; with ``by_text``, rows are of one text each and have its key, the hash of the text."""
     n = parts(docs.sparkSession)
-    source = _source(docs)
-    marked = source.join(_marks(source, min_words, seed_words), "doc_id").select("doc_id", "text", "seeds")
-    runs_ = marked.mapInArrow(_run_rows(seed_words, min_words, n), _PACK)
-    matched = runs_.groupBy("cls").applyInArrow(_match(n), _PACK)
-    return matched.groupBy("cls").applyInArrow(_merge(min_words), "doc_id long, start_word long, n_words long, first_doc_id long, first_start_word long")
+    source = _source(docs).withColumn("key", F.xxhash64("text"))
+    marked = source.join(_marks(source, min_words, seed_words), "doc_id").select("doc_id", "text", "seeds", "key")
+    runs_ = marked.mapInArrow(_run_rows(seed_words, min_words, n), _KEYED)
+    matched = runs_.groupBy("cls").applyInArrow(_match(n), _MATCHES)
+    return matched.groupBy("cls").applyInArrow(_merge(min_words, by_text), "doc_id long, start_word long, n_words long, first_doc_id long, first_start_word long, key long")
 
 
+_KEYED = "cls int, keys binary, counts binary, hashes binary, at binary"
+_MATCHES = "cls int, keys binary, counts binary, at binary, ref binary, shift binary"
 _RUNS = "cls int, keys binary, counts binary, hashes binary, at binary, left binary, right binary"
 _SIDED = "cls int, keys binary, counts binary, hashes binary, at binary, size binary, left binary, right binary"
 _PLACES = "cls int, keys binary, counts binary, at binary, flags binary"
@@ -494,10 +507,12 @@ def drop_repeats(docs: DataFrame, min_words: int = MIN_WORDS, seed_words: int =
 
     All rows and columns stay; a document all of whose words are cut is dropped, as nothing is left
     of it.  The column n_chars, if there is one, is set anew for the documents that were cut.
-    Rows that :func:`repeats` leaves out stay as they are, and so do empty texts.
+    Rows that :func:`repeats` leaves out stay as they are, and so do empty texts.  Of several texts under one id each is
+    cut where it has repeats itself.
     """
-    found = repeats(docs, min_words, seed_words).groupBy(F.col("doc_id").alias("__cut_id")).agg(F.collect_list(F.struct(F.col("start_word").alias("s"), F.col("n_words").alias("n"))).alias("__cuts"))
-    both = docs.join(found, F.col("doc_id").cast("long") == F.col("__cut_id"), "left").drop("__cut_id")
+    found = _repeats(docs, min_words, seed_words, True).groupBy(F.col("doc_id").alias("__cut_id"), F.col("key").alias("__cut_key")).agg(F.collect_list(F.struct(F.col("start_word").alias("s"), F.col("n_words").alias("n"))).alias("__cuts"))
+    same = (F.col("doc_id").cast("long") == F.col("__cut_id")) & (F.xxhash64(F.col("text").cast("string")) == F.col("__cut_key"))
+    both = docs.join(found, same, "left").drop("__cut_id", "__cut_key")
     schema = docs.schema
     left = both.mapInArrow(_cutter(both.columns.index("text"), both.columns.index("__cuts")), schema)
     if "n_chars" in docs.columns:

@@ -64,3 +64,10 @@ def test_components(spark):
     edges = [(i, i + 1) for i in range(0, 40)] + [(100, 7), (200, 201), (202, 201)]
     got = {r.set_key: r.component for r in components(spark.createDataFrame(edges, "set_a long, set_b long")).collect()}
     assert got == {**{i: 0 for i in range(41)}, 100: 0, 200: 200, 201: 200, 202: 200}
+
+
+def test_texts_under_one_id_go_one_by_one(spark):
+    texts = {x: " ".join(f"{x}{i}" for i in range(30)) for x in "abc"}
+    rows = [(1, texts["a"] + " end"), (3, texts["a"]), (3, texts["b"]), (3, texts["c"]), (5, texts["b"] + " end"), (5, texts["b"] + " end")]
+    kept = keep_one_of_each_group(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(tuple(r) for r in kept) == sorted([rows[0], rows[2], rows[3]])

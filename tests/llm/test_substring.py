@@ -116,3 +116,10 @@ def test_a_passage_of_an_earlier_document_does_not_cut_a_repeat(spark):
 
 def test_no_maximal_repeats(empty):
     assert maximal_repeats(empty).count() == 0
+
+
+def test_cuts_are_of_one_text(spark):
+    passage, other = " ".join(f"p{i}" for i in range(60)), " ".join(f"q{i}" for i in range(70))
+    rows = [(1, passage), (3, f"own {passage}"), (3, other)]
+    got = sorted(tuple(r) for r in drop_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == [(1, passage), (3, "own "), (3, other)]
