@@ -13,7 +13,7 @@ totals of the bucket counts, so a source with most of the rows is spread like an
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 SHARDS, SEED = 64, "interleave-1"
@@ -50,22 +50,34 @@ def interleave(docs: DataFrame, shards: int = SHARDS, seed: str = SEED, digits:
     An empty table gives an empty result.  Other columns are ignored: the result is the
     manifest by which :func:`with_shards` places the documents themselves.
     """
+    return _interleaved(docs, shards, seed, digits, [], [])
+
+
+def _interleaved(docs: DataFrame, shards: int, seed: str, digits: int, more: list[Column], ties: list[str]) -> DataFrame:
+    """The manifest with ``more`` columns of the rows; rows equal in id and source are ranked by the columns named in ``ties``."""
     buckets = 16**digits
     # Columns of our own from the start, as the table may have any names.
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), *more)
+    names = rows.columns[2:]
     rows = rows.withColumn("h", F.md5(F.concat_ws("|", F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")))))
     rows = rows.withColumn("bucket", F.substring("h", 1, digits))
-    ranked = _ranked(rows, ["source"], "bucket", ["h", F.col("doc_id").asc_nulls_first()]).select("doc_id", "source", "h", F.col("rank").alias("k"), F.col("total").alias("n"))
+    ranked = _ranked(rows, ["source"], "bucket", ["h", F.col("doc_id").asc_nulls_first(), *ties]).select("doc_id", "source", *names, "h", F.col("rank").alias("k"), F.col("total").alias("n"))
     # (2 k - 1) / (2 n), and the bucket that it falls in, in whole numbers.
     ranked = ranked.withColumn("part", F.expr(f"((2 * k - 1) * {buckets}) div (2 * n)")).withColumn("fraction", (2 * F.col("k") - 1) / (2 * F.col("n")))
     ranked = ranked.withColumn("all", F.lit(0))
-    placed = _ranked(ranked, ["all"], "part", ["fraction", F.col("source").asc_nulls_first(), "h", F.col("doc_id").asc_nulls_first()])
-    at = placed.select("doc_id", "source", (F.col("rank") - 1).alias("at"), "total").withColumn("shard", F.expr(f"(at * {shards}) div total"))
+    placed = _ranked(ranked, ["all"], "part", ["fraction", F.col("source").asc_nulls_first(), "h", F.col("doc_id").asc_nulls_first(), *ties])
+    at = placed.select("doc_id", "source", *names, (F.col("rank") - 1).alias("at"), "total").withColumn("shard", F.expr(f"(at * {shards}) div total"))
     # The first place of shard s is the least a with a * shards >= s * total.
-    return at.select("doc_id", "source", "shard", (F.col("at") - F.expr(f"(shard * total + {shards - 1}) div {shards}")).alias("position"))
+    return at.select("doc_id", "source", *names, "shard", (F.col("at") - F.expr(f"(shard * total + {shards - 1}) div {shards}")).alias("position"))
 
 
 def with_shards(docs: DataFrame, shards: int = SHARDS, seed: str = SEED) -> DataFrame:
-    """The documents with their shard, all columns kept; ids are taken to be unique and not null."""
-    manifest = interleave(docs, shards, seed).select(F.col("doc_id").alias("__id"), "shard", "position")
-    return docs.drop("shard", "position").join(manifest, F.col("doc_id").cast("long") == F.col("__id")).drop("__id")
+    """The documents with their shard and position, all columns kept.
+
+    Rows are ranked with all their columns, so that each has one place of the manifest, also those with a null id or
+    an id that repeats; rows equal in id and source are ranked by a hash of all columns.
+    """
+    kept = [c for c in docs.columns if c not in ("shard", "position")]
+    row = F.struct(*[F.col(c) for c in kept]).alias("row")
+    placed = _interleaved(docs, shards, seed, DIGITS, [row, F.xxhash64(*kept).alias("tie")], ["tie"])
+    return placed.select(*[F.col("row").getField(c).alias(c) for c in kept], "shard", "position")

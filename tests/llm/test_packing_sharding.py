@@ -139,3 +139,12 @@ def test_shards_match_the_mixture(spark):
 
 def test_no_rows(empty):
     assert interleave(empty).count() == 0
+
+
+def test_every_row_has_one_place(docs):
+    out = with_shards(docs, 5)
+    assert out.columns == [*[c for c in docs.columns if c != "shard"], "shard", "position"]
+    key = lambda df: sorted((str(r.doc_id), str(r.text), str(r.source)) for r in df.collect())
+    assert key(out) == key(docs)
+    place = lambda df: sorted((str(r.doc_id), str(r.source), r.shard, r.position) for r in df.collect())
+    assert place(out) == place(interleave(docs, 5))
