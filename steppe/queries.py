@@ -521,6 +521,7 @@ _UNIT = f"list_transform(embedding, lambda x: CAST(x AS DOUBLE) / {_NORM.replace
     FROM c QUALIFY rank <= 5"""
 )
 def cosine_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five nearest of all vectors for a given set of query vectors, those of vec_id below 20, as in the SQL."""
     e = _embeddings(spark, sf_dir)
     near = V.nearest(e.where("vec_id < 20"), e.withColumnRenamed("vec_id", "near_id"), 5, "vec_id", "near_id")
     return near.select("vec_id", "near_id", "rank", F.round("cosine", 4).alias("cosine"))
