@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 from collections.abc import Iterator
 
@@ -37,10 +38,22 @@ def parts(spark: SparkSession) -> int:
 def shared_folder(spark: SparkSession) -> str:
     """The folder that all executors share, as named in ``spark.checkpoint.dir``.
 
-    It is read from the session; a local one is made only where none is configured, as in tests.
+    It is read from the session.  Where none is named, a local session, as in tests, gets one of this machine; on a
+    cluster that is an error, as its machines would each write to a folder of their own.
     """
-    where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    return where or spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="steppe-")
+    sc = spark.sparkContext
+    where = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
+    if not where and not re.fullmatch(r"local(\[[^\]]*\])?", sc.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that the whole cluster shares")
+    return where or tempfile.mkdtemp(prefix="steppe-")
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name like this one that the table doesn't have."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
 
 
 def checkpointed(df: DataFrame) -> DataFrame:

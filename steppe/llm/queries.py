@@ -112,13 +112,14 @@ ORACLE_SQL: dict[str, str] = {
         WITH d AS (SELECT DISTINCT doc_id, regexp_extract_all(lower(text), '{_WORD}') AS w FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL),
         p AS (SELECT doc_id, w, unnest(range(0, len(w) - 49)) AS pos FROM d WHERE len(w) >= 50),
         r AS (SELECT doc_id, pos, md5(array_to_string(w[pos + 1 : pos + 50], ' ')) AS h FROM p),
-        f AS (SELECT doc_id, pos, first_value(doc_id) OVER o AS ref, first_value(pos) OVER o AS ref_pos,
-                     min(doc_id) OVER (PARTITION BY h) <> max(doc_id) OVER (PARTITION BY h) AS common
-              FROM r WINDOW o AS (PARTITION BY h ORDER BY doc_id, pos)),
-        m AS (SELECT doc_id, pos, ref, ref_pos - pos AS shift FROM f WHERE common AND (ref <> doc_id OR ref_pos <> pos)),
-        g AS (SELECT *, pos - row_number() OVER (PARTITION BY doc_id, ref, shift ORDER BY pos) AS island FROM m)
-        SELECT doc_id, min(pos) AS start_word, count(*) + 49 AS n_words, ref AS first_doc_id, min(pos) + shift AS first_start_word
-        FROM g GROUP BY doc_id, ref, shift, island
+        f AS (SELECT h, doc_id, min(pos) AS pos FROM r GROUP BY h, doc_id),
+        b AS (SELECT h, doc_id, lag(doc_id) OVER o AS other, lag(pos) OVER o AS other_pos FROM f WINDOW o AS (PARTITION BY h ORDER BY doc_id)),
+        l AS (SELECT r.doc_id, r.pos, other, other_pos - r.pos AS shift FROM r JOIN b USING (h, doc_id) WHERE other IS NOT NULL),
+        v AS (SELECT DISTINCT doc_id, other, shift FROM l),
+        e AS (SELECT v.doc_id, v.other, v.shift, x.pos, x.pos - row_number() OVER (PARTITION BY v.doc_id, v.other, v.shift ORDER BY x.pos) AS island
+              FROM v JOIN r x ON x.doc_id = v.doc_id JOIN r y ON y.doc_id = v.other AND y.pos = x.pos + v.shift AND y.h = x.h)
+        SELECT doc_id, min(e.pos) AS start_word, count(*) + 49 AS n_words, other AS other_doc_id, min(e.pos) + shift AS other_start_word
+        FROM e LEFT JOIN l USING (doc_id, other, shift, pos) GROUP BY doc_id, other, shift, island HAVING count(l.pos) > 0
     """,
     "op4_sharding": """
         WITH r AS (SELECT doc_id, source, md5(concat_ws('|', 'interleave-1', coalesce(CAST(doc_id AS VARCHAR), 'null'))) AS h FROM documents),

@@ -5,31 +5,33 @@ A *repeat* is a run of at least ``MIN_WORDS`` words that occurs in two documents
 1. Seeds: of every document the k-grams of words that winnowing selects (the least hash of each
    window of ``MIN_WORDS - k + 1`` neighbouring ones) are joined on their hash.  Any repeat holds
    a selected k-gram, in all its occurrences.
-2. Extension: a seed found in two documents is extended both ways to every run of ``MIN_WORDS``
-   words around it.  These runs, of the few documents with such seeds, are joined on their hash, and each
-   is matched with its first occurrence, that of the least (doc_id, position).
-3. Runs that follow one another and match the same document at the same distance merge into one
-   first-occurrence match.
+2. Links: around the seeds that two documents share, every run of ``MIN_WORDS`` words is listed with all
+   documents that have it, and each of these is linked with the one before it in the list, by doc_id.
+3. Extension: each pair of documents linked at some distance is laid word upon word at that distance,
+   and the match is extended both ways as far as the words themselves agree.  What is
+   reported has been compared as text; hashes only propose it.
 
 Work and result grow with the number of occurrences, not with the number of pairs of them: a
-passage in ten thousand documents gives ten thousand rows.
+passage in ten thousand documents gives ten thousand links, of which no document has more than two.
 
-First-occurrence matches tell what to cut, but they end where the first occurrence changes.
-:func:`maximal_repeats` gives the repeats at their full length, each with all its places:  it may begin
+A row is a maximal match of two documents.  :func:`maximal_repeats` also relates places that aren't
+neighbours in any list, as classes of all places that hold the same words:  a repeat may begin
 only at runs before which different words stand, and end only at runs after which different words stand.
 Every stretch from one to the other is a candidate, and those whose own places differ on both sides are kept.
+That result isn't linear in the input.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from operator import eq
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, chunks, joined, pack48, parts, runs, u64, unpack48
+from .common import checkpointed, chunks, fresh, joined, pack48, parts, runs, u64, unpack48
 from .words import Words, mix, powers, rolling, within
 
 MIN_WORDS, SEED_WORDS = 50, 20
@@ -177,61 +179,159 @@ def _run_rows(k: int, least: int, n: int):
     return run
 
 
-def _match(n: int):
-    """Runs of a class -> the first occurrence of each that two documents have, by document block."""
+def _links(n: int):
+    """Runs of a class -> the link of each occurrence with the document before that has the run, by document block."""
 
     def run(table: pa.Table) -> pa.Table:
         doc, text = _texts_of(table)
         h, at = unpack48(joined(table.column("hashes"), "u1")), joined(table.column("at"), "<u4").astype(np.int64)
-        order = np.lexsort((at, doc, h))
+        order = np.lexsort((at, text, doc, h))
         doc, text, h, at = doc[order], text[order], h[order], at[order]
-        start, length = runs(h)
-        last = start + length - 1
-        keep = np.repeat(doc[start] != doc[last], length)
-        ref, shift = np.repeat(doc[start], length), np.repeat(at[start], length) - at
-        # The first occurrence itself stays as it is and isn't reported.
-        keep &= (ref != doc) | (shift != 0)
-        doc, text, at, ref, shift = doc[keep], text[keep], at[keep], ref[keep], shift[keep]
+        new = np.ones(len(h), dtype=bool)
+        new[1:] = (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])
+        start = np.flatnonzero(new)
+        # Of a document that has the run several times, the first place stands for it.
+        before = np.concatenate([start[:1], start[:-1]])
+        linked = h[before] == h[start]
+        linked[:1] = False
+        own = np.cumsum(new) - 1
+        keep = linked[own]
+        ref = before[own][keep]
+        other, other_text, shift = doc[ref], text[ref], at[ref] - at[keep]
+        doc, text, at = doc[keep], text[keep], at[keep]
         order = np.lexsort((at, text, doc))
-        doc, text, at, ref, shift = doc[order], text[order], at[order], ref[order], shift[order]
-        return _wide(_MATCHES, _blk(doc, n), n, doc, text, at=at.astype("<u4"), ref=ref, shift=shift.astype("<i4"))
+        pair = np.stack([other, other_text], axis=1)[order]
+        return _wide(_MATCHES, _blk(doc[order], n), n, doc[order], text[order], at=at[order].astype("<u4"), ref=pair, shift=shift[order].astype("<i4"))
 
     return run
 
 
-def _merge(least: int, by_text: bool):
-    """Matches of a block -> those that follow one another as one, of each document or of each of its texts."""
+def _requests(least: int):
+    """Links of a block of documents -> the stretches of words to be compared, one row for either document.
+
+    Links that follow one another word by word form a stretch, which all matches of its runs with earlier
+    documents lie in.  For each document and distance linked in it the whole stretch is compared.
+    """
 
     def run(table: pa.Table) -> pa.Table:
         doc, text = _texts_of(table)
-        text = text if by_text else np.zeros_like(text)
-        at, ref, shift = joined(table.column("at"), "<u4").astype(np.int64), joined(table.column("ref"), "<i8"), joined(table.column("shift"), "<i4").astype(np.int64)
-        order = np.lexsort((at, shift, ref, text, doc))
-        doc, text, at, ref, shift = doc[order], text[order], at[order], ref[order], shift[order]
-        if len(doc):
-            keep = np.ones(len(doc), dtype=bool)  # repeated rows
-            keep[1:] = (doc[1:] != doc[:-1]) | (text[1:] != text[:-1]) | (ref[1:] != ref[:-1]) | (shift[1:] != shift[:-1]) | (at[1:] != at[:-1])
-            doc, text, at, ref, shift = doc[keep], text[keep], at[keep], ref[keep], shift[keep]
-            new = np.ones(len(doc), dtype=bool)
-            new[1:] = (doc[1:] != doc[:-1]) | (text[1:] != text[:-1]) | (ref[1:] != ref[:-1]) | (shift[1:] != shift[:-1]) | (at[1:] != at[:-1] + 1)
-            start = np.flatnonzero(new)
-            length = np.diff(np.append(start, len(doc)))
-        else:
-            start = length = np.zeros(0, np.int64)
+        at, shift = joined(table.column("at"), "<u4").astype(np.int64), joined(table.column("shift"), "<i4").astype(np.int64)
+        ref = joined(table.column("ref"), "<i8").reshape(-1, 2)
+        order = np.lexsort((at, text, doc))
+        doc, text, at, shift, ref = doc[order], text[order], at[order], shift[order], ref[order]
+        same = (doc[1:] == doc[:-1]) & (text[1:] == text[:-1])
+        keep = np.ones(len(doc), dtype=bool)  # repeated rows
+        keep[1:] = ~(same & (at[1:] == at[:-1]))
+        doc, text, at, shift, ref = doc[keep], text[keep], at[keep], shift[keep], ref[keep]
+        new = np.ones(len(doc), dtype=bool)
+        new[1:] = (doc[1:] != doc[:-1]) | (text[1:] != text[:-1]) | (at[1:] != at[:-1] + 1)
+        start = np.flatnonzero(new)
+        size = np.diff(np.append(start, len(doc)))
+        stretch = np.repeat(start, size)
+        last = np.repeat(start + size - 1, size)
+        order = np.lexsort((at, shift, ref[:, 1], ref[:, 0], stretch))
+        key = np.stack([stretch, ref[:, 0], ref[:, 1], shift], axis=1)[order]
+        first = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]).any(axis=1)])) if len(key) else np.zeros(0, np.int64)
+        count = np.diff(np.append(first, len(key)))
+        marks = at[order]
+        begin, end = at[stretch[order[first]]], at[last[order[first]]] + least
+        one = order[first]
+        asked = [(marks[a : a + c] - b).astype("<u4").tobytes() for a, c, b in zip(first, count, begin, strict=True)]
+        # Known by what it compares, so that a task that runs again gives it the same name.
+        name = mix(doc[one].view(np.uint64) + mix(text[one].view(np.uint64) + mix(ref[one, 0].view(np.uint64) + mix(ref[one, 1].view(np.uint64) + mix((begin << 32 ^ (shift[one] & 0xFFFFFFFF)).view(np.uint64))))))
+        two = lambda a, b: pa.array(np.concatenate([a, b]))
+        n = len(one)
         return pa.table(
             {
-                "doc_id": pa.array(doc[start]),
-                "start_word": pa.array(at[start]),
-                "n_words": pa.array((length + least - 1).astype(np.int64)),
-                "first_doc_id": pa.array(ref[start]),
-                "first_start_word": pa.array((at + shift)[start]),
-                "key": pa.array(text[start]),
+                "doc_id": two(doc[one], ref[one, 0]),
+                "key": two(text[one], ref[one, 1]),
+                "pair": two(name.view(np.int64), name.view(np.int64)),
+                "start": two(begin, begin + shift[one]),
+                "n": two(end - begin, end - begin),
+                "asked": pa.array([*asked, *[None] * n], type=pa.binary()),
             }
         )
 
     return run
 
 
+def _word_bytes(w: Words) -> tuple[np.ndarray, np.ndarray]:
+    """The words of all texts with a space after each, and where each of them begins."""
+    length = w.end - w.start
+    place = np.concatenate([[0], np.cumsum(length + 1)])
+    flat = np.full(int(place[-1]), 32, dtype=np.uint8)
+    inside = np.repeat(w.start, length) + within(length)
+    flat[np.repeat(place[:-1] - w.start, length) + inside] = w.data[inside]
+    return flat, place
+
+
+def _stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Documents with their requests -> the words asked for: what lies outside the text is left out and counted in ``skip``."""
+    names = ["pair", "doc_id", "key", "start", "skip", "asked", "words"]
+    for batch in chunks(batches):
+        w = Words(batch.column(1))
+        flat, place = _word_bytes(w)
+        rows, size = [], 0
+        for i, (doc, key, asked) in enumerate(zip(*(batch.column(c).to_pylist() for c in (0, 2, 3)), strict=True)):
+            first, count = int(w.first[i]), int(w.counts[i])
+            for x in asked:
+                low, high = max(0, x["start"]), min(count, x["start"] + x["n"])
+                if low >= high:
+                    low = high = max(0, min(count, low))
+                said = flat[place[first + low] : place[first + high]].tobytes()
+                rows.append((x["pair"], doc, key, x["start"], low - x["start"], x["asked"], said))
+                size += len(said)
+                if size > _SAID_BYTES:
+                    yield _said(rows, names)
+                    rows, size = [], 0
+        if rows:
+            yield _said(rows, names)
+
+
+def _said(rows: list[tuple], names: list[str]) -> pa.RecordBatch:
+    types = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary()]
+    return pa.record_batch([pa.array(c, type=t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=names)
+
+
+def agreements(a: bytes, b: bytes, skip_a: int, skip_b: int, least: int) -> list[tuple[int, int]]:
+    """Maximal runs of at least so many equal words: (first, end), counted from where neither is skipped."""
+    if skip_a == skip_b and a == b:
+        n = a.count(b" ")
+        return [(skip_a, skip_a + n)] if n >= least else []
+    x, y = a.split(b" ")[:-1], b.split(b" ")[:-1]
+    low = max(skip_a, skip_b)
+    x, y = x[low - skip_a :], y[low - skip_b :]
+    edge, length = _spans(np.fromiter(map(eq, x, y), dtype=bool, count=min(len(x), len(y))))
+    return [(low + int(e), low + int(e + n)) for e, n in zip(edge, length, strict=True) if n >= least]
+
+
+def _compare(least: int):
+    """Both sides of each request, in order of ``pair``, the asking one first -> the maximal matches that hold a linked run."""
+    names = ["doc_id", "start_word", "n_words", "other_doc_id", "other_start_word", "key"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pair, one, done = None, None, False
+        for batch in batches:
+            rows = []
+            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if row[0] != pair:
+                    pair, one, done = row[0], None, False
+                if row[5] is not None:
+                    one = row
+                elif one is not None and not done:  # of repeated rows one counts
+                    done = True
+                    _, doc, key, start, skip, asked, said = one
+                    linked = np.frombuffer(asked, "<u4")
+                    for a, b in agreements(said, row[6], skip, row[4], least):
+                        i = int(np.searchsorted(linked, a))
+                        if i < len(linked) and linked[i] + least <= b:
+                            rows.append((doc, start + a, b - a, row[1], row[3] + a, key))
+            cols = list(zip(*rows, strict=True)) if rows else [[]] * 6
+            yield pa.record_batch([pa.array(c, type=pa.int64()) for c in cols], names=names)
+
+    return run
+
+
 def _source(docs: DataFrame) -> DataFrame:
     return docs.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
@@ -247,32 +347,42 @@ def _marks(source: DataFrame, min_words: int, seed_words: int) -> DataFrame:
 
 
 def repeats(docs: DataFrame, min_words: int = MIN_WORDS, seed_words: int = SEED_WORDS) -> DataFrame:
-    """The matches of every document with the first occurrences of the same words.
+    """The maximal matches of every document with the documents before it that have the same words.
 
-    A row (doc_id, start_word, n_words, first_doc_id, first_start_word), all bigint, says that the n_words
+    A row (doc_id, start_word, n_words, other_doc_id, other_start_word), all bigint, says that the n_words
     words of doc_id from its word start_word (counted from 0) are also found from word
-    first_start_word of first_doc_id, where each run of min_words of them occurs first: in the
-    document of the least doc_id that has it, at its least position.  Only runs that two documents
-    have count; of those, repetitions within one document are reported too.  A match ends where the
-    first occurrence changes, so these aren't maximal repeats: :func:`maximal_repeats` gives those.
+    other_start_word of other_doc_id, and that the words before and after differ or one of the texts ends there.
+    The pairs compared are those linked by a run of min_words words, whose holders are ordered by
+    doc_id: each holder is linked, wherever it has the run, with the first place that the holder before it has the run at.
+    All matches of a pair at that distance that hold such a run are reported, at full length.  So every
+    place that an earlier document has too lies in a row; two documents with a holder of
+    every common run of theirs between them have no row of their own.
 
     Words are as in :mod:`.words`.  Documents with a null id or text, or fewer than min_words
-    words, are in no row.  A row repeated counts once; several texts under one id count as that document's text,
-    each with positions of its own.  An empty table gives an empty result.  Other columns are ignored.
+    words, are in no row; repetitions within one document aren't reported.  A row repeated counts once; several texts under one
+    id count as that document's text, each with positions of its own.  A text may be of any length: it is compared
+    where it has shared runs only.  An empty table gives an empty result.  Other columns are ignored.
     """
-    return _repeats(docs, min_words, seed_words, False).drop("key")
+    return _repeats(docs, min_words, seed_words).drop("key").distinct()
 
 
-def _repeats(docs: DataFrame, min_words: int, seed_words: int, by_text: bool) -> DataFrame:
-    """As :func:`repeats`; with ``by_text``, rows are of one text each and have its key, the hash of the text."""
+def _repeats(docs: DataFrame, min_words: int, seed_words: int) -> DataFrame:
+    """As :func:`repeats`, with the key of the text that has the match, the hash of the text."""
     n = parts(docs.sparkSession)
     source = _source(docs).withColumn("key", F.xxhash64("text"))
     marked = source.join(_marks(source, min_words, seed_words), "doc_id").select("doc_id", "text", "seeds", "key")
-    runs_ = marked.mapInArrow(_run_rows(seed_words, min_words, n), _KEYED)
-    matched = runs_.groupBy("cls").applyInArrow(_match(n), _MATCHES)
-    return matched.groupBy("cls").applyInArrow(_merge(min_words, by_text), "doc_id long, start_word long, n_words long, first_doc_id long, first_start_word long, key long")
-
-
+    linked = marked.mapInArrow(_run_rows(seed_words, min_words, n), _KEYED).groupBy("cls").applyInArrow(_links(n), _MATCHES)
+    requests = linked.groupBy("cls").applyInArrow(_requests(min_words), "doc_id long, key long, pair long, start long, n long, asked binary")
+    asked = requests.groupBy("doc_id", F.col("key").alias("asked_key")).agg(F.collect_list(F.struct("pair", "start", "n", "asked")).alias("asked"))
+    # The texts are laid out by doc_id once, for this join and the one above.
+    found = source.join(asked, "doc_id").where("key = asked_key").select("doc_id", "text", "key", "asked")
+    said = found.mapInArrow(_stretches, "pair long, doc_id long, key long, start long, skip long, asked binary, words binary")
+    sides = said.repartition("pair").sortWithinPartitions("pair", F.col("asked").desc_nulls_last())
+    return sides.mapInArrow(_compare(min_words), "doc_id long, start_word long, n_words long, other_doc_id long, other_start_word long, key long")
+
+
+#: Bytes of words packed at once.
+_SAID_BYTES = 4 << 20
 _KEYED = "cls int, keys binary, counts binary, hashes binary, at binary"
 _MATCHES = "cls int, keys binary, counts binary, at binary, ref binary, shift binary"
 _RUNS = "cls int, keys binary, counts binary, hashes binary, at binary, left binary, right binary"
@@ -503,18 +613,20 @@ def _spans(flag: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def drop_repeats(docs: DataFrame, min_words: int = MIN_WORDS, seed_words: int = SEED_WORDS) -> DataFrame:
-    """The documents without their repeats: each repeated run of words stays where it occurs first.
+    """The documents without their repeats: each repeated run of words stays in the first document that has it, by doc_id.
 
-    All rows and columns stay; a document all of whose words are cut is dropped, as nothing is left
-    of it.  The column n_chars, if there is one, is set anew for the documents that were cut.
+    What :func:`repeats` finds in an earlier document is cut.  All rows and columns stay, whatever their names; a document all of
+    whose words are cut is dropped, as nothing is left
+    of it.  The column n_chars, if there is one, is set anew to the length of the text.
     Rows that :func:`repeats` leaves out stay as they are, and so do empty texts.  Of several texts under one id each is
-    cut where it has repeats itself.
+    cut where it has repeats itself; of repeated rows each is cut.  An empty table gives an empty result.
     """
-    found = _repeats(docs, min_words, seed_words, True).groupBy(F.col("doc_id").alias("__cut_id"), F.col("key").alias("__cut_key")).agg(F.collect_list(F.struct(F.col("start_word").alias("s"), F.col("n_words").alias("n"))).alias("__cuts"))
-    same = (F.col("doc_id").cast("long") == F.col("__cut_id")) & (F.xxhash64(F.col("text").cast("string")) == F.col("__cut_key"))
-    both = docs.join(found, same, "left").drop("__cut_id", "__cut_key")
+    own, key, cuts = fresh(docs, "cut_id"), fresh(docs, "cut_key"), fresh(docs, "cuts")
+    found = _repeats(docs, min_words, seed_words).groupBy(F.col("doc_id").alias(own), F.col("key").alias(key)).agg(F.collect_list(F.struct(F.col("start_word").alias("s"), F.col("n_words").alias("n"))).alias(cuts))
+    same = (F.col("doc_id").cast("long") == F.col(own)) & (F.xxhash64(F.col("text").cast("string")) == F.col(key))
+    both = docs.join(found, same, "left").drop(own, key)
     schema = docs.schema
-    left = both.mapInArrow(_cutter(both.columns.index("text"), both.columns.index("__cuts")), schema)
+    left = both.mapInArrow(_cutter(both.columns.index("text"), both.columns.index(cuts)), schema)
     if "n_chars" in docs.columns:
         left = left.withColumn("n_chars", F.when(F.col("text").isNull(), F.col("n_chars")).otherwise(F.length("text")).cast(schema["n_chars"].dataType))
     return left

@@ -1,30 +1,45 @@
 from collections import defaultdict
 
-from steppe.llm.substring import drop_repeats, maximal_repeats, repeats
+import pytest
+
+from steppe.llm.substring import agreements, drop_repeats, maximal_repeats, repeats
 
 from .conftest import words
 
 
-def brute(rows, least):
-    docs = dict({i: words(x) for i, x, *_ in rows if i is not None and x})
+def texts_of(rows):
+    return sorted({(i, x) for i, x, *_ in rows if i is not None and x})
+
+
+def links(rows, least):
+    """(text, place, text before, place) for every run of words and the document before that has it."""
+    docs = [(i, words(x)) for i, x in texts_of(rows)]
     at = defaultdict(list)
-    for i in sorted(docs):
-        for p in range(len(docs[i]) - least + 1):
-            at[tuple(docs[i][p : p + least])].append((i, p))
-    found = defaultdict(set)
+    for t, (i, w) in enumerate(docs):
+        for p in range(len(w) - least + 1):
+            at[tuple(w[p : p + least])].append((i, t, p))
+    out = set()
     for places in at.values():
-        if len({i for i, _ in places}) > 1:
-            ref, first = places[0]
-            for i, p in places[1:]:
-                found[i, ref, first - p].add(p)
+        for i, t, p in places:
+            before = [x for x in places if x[0] < i]
+            if before:
+                last = max(x[0] for x in before)
+                out.add((t, p, *min((docs[x[1]][1] and x[1], x[2]) for x in before if x[0] == last)))
+    return docs, out
+
+
+def brute(rows, least):
+    """The matches of linked places, a word at a time."""
+    docs, linked = links(rows, least)
     out = set()
-    for (i, ref, shift), ps in found.items():
-        for p in ps:
-            if p - 1 not in ps:
-                end = p
-                while end + 1 in ps:
-                    end += 1
-                out.add((i, p, end - p + least, ref, p + shift))
+    for t, p, o, q in linked:
+        a, b = docs[t][1], docs[o][1]
+        n = least
+        while p and q and a[p - 1] == b[q - 1]:
+            p, q, n = p - 1, q - 1, n + 1
+        while p + n < len(a) and q + n < len(b) and a[p + n] == b[q + n]:
+            n += 1
+        out.add((docs[t][0], p, n, docs[o][0], q))
     return out
 
 
@@ -35,6 +50,21 @@ def test_repeats_are_those_of_brute_force(docs, rows):
         assert set(got) == brute(rows, least)
 
 
+def test_a_match_is_as_long_as_its_pair_agrees(spark):
+    """Neither a passage of an earlier document nor a holder between two documents cuts a match short."""
+    w = [f"w{i}" for i in range(100)]
+    rows = [(1, " ".join(["a", *w[:60], "b"])), (2, " ".join(["c", *w, "d"])), (3, " ".join(["e", *w, "f"])), (4, " ".join(["g", *w[20:75], "h"])), (5, " ".join(["i", *w, "j"]))]
+    got = {tuple(r) for r in repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert {(2, 1, 60, 1, 1), (3, 1, 100, 2, 1), (4, 1, 55, 3, 21), (5, 1, 100, 3, 1), (5, 21, 55, 4, 1)} == got == brute(rows, 50)
+
+
+def test_agreements():
+    words_ = b"a b c d "
+    assert agreements(words_, words_, 3, 3, 4) == [(3, 7)] and agreements(words_, words_, 0, 0, 5) == []
+    assert agreements(b"a b c d ", b"b c x ", 0, 1, 2) == [(1, 3)]
+    assert agreements(b"a b x c d ", b"a b y c d ", 0, 0, 2) == [(0, 2), (3, 5)] and agreements(b"", b"", 0, 2, 1) == []
+
+
 def test_passage_stays_only_where_it_is_first(docs, rows):
     cut = drop_repeats(docs)
     assert cut.schema == docs.schema
@@ -57,6 +87,14 @@ def test_passage_stays_only_where_it_is_first(docs, rows):
     assert sum(r.doc_id is None for r in cut.collect()) == 2
 
 
+@pytest.mark.parametrize("name", ["__cuts", "cuts", "CUT_ID", "__cut_id", "cut_key", "key", "asked", "seeds"])
+def test_columns_may_have_any_names(spark, name):
+    passage = " ".join(f"p{i}" for i in range(60))
+    rows = spark.createDataFrame([(1, passage, "x"), (2, f"own {passage}", "y")], f"doc_id long, text string, `{name}` string")
+    cut = drop_repeats(rows)
+    assert cut.columns == rows.columns and sorted(map(tuple, cut.collect())) == [(1, passage, "x"), (2, "own ", "y")]
+
+
 def test_nothing(empty):
     assert repeats(empty).count() == 0 and drop_repeats(empty).count() == 0
 
