@@ -7,7 +7,8 @@ therefore partitioned by size and the containment threshold is turned into a Jac
 for each partition; the domains indexed here are windows of the documents, of a length that
 follows the partition of the items:
 
-* items are partitioned by their number of words, (U/2, U] for U = 8, 16, 32, ...;
+* items are partitioned by their number q of distinct shingles of s words: q + s - 1, the words that an item without repetition has, is in (U/2, U]
+  for U = 8, 16, 32, ...;
 * for a partition a document is cut into blocks of U words and its domains are pairs of
   neighbouring blocks, so that any passage of up to U words lies within one of them;
 * a domain holds at most 2 U shingles.  An item of q shingles contained by the share t has a
@@ -15,6 +16,10 @@ follows the partition of the items:
   bands b, each of one row, is chosen so that a domain at j is missed with a probability of
   ``MISS`` at most: (1 - j) ** b <= MISS.
 
+Bands are bounded in this way whatever the items, as q is at least U/2 - s + 2.  Items for which a signature is no use are searched by
+their shingles themselves, all of which are looked up: those of ``TINY`` distinct shingles or fewer, and those that repeat
+themselves so much that their words don't fit in a domain of their partition.
+
 MinHash values are computed once, for the smallest blocks, and merged upwards by minimum.  Every
 pair of a document and an item that agree in a band is then verified by counting the item's
 shingles in the whole document.  The documents aren't shuffled: the items' bands are broadcast, in
@@ -35,6 +40,7 @@ from .common import chunks
 from .words import Words, gram_sets, ngrams, within
 
 SHINGLE, THRESHOLD, MISS = 3, 0.6, 0.002
+TINY = 4
 #: Size of the items' shingles and bands that is broadcast at once.
 BROADCAST_BYTES = 64 << 20
 _SMALLEST = 8
@@ -68,15 +74,23 @@ class Items:
         self.size = size[order]
         self.grams = [grams[first[i] : first[i + 1]] for i in order]
         words = w.counts[order]
-        upper = np.maximum(_SMALLEST, 2 ** np.ceil(np.log2(np.maximum(words, 1))).astype(np.int64))
+        upper = np.maximum(_SMALLEST, 2 ** np.ceil(np.log2(np.maximum(self.size + shingle - 1, 1))).astype(np.int64))
+        plain = (self.size > TINY) & (words <= upper)
+        # Shingles of the items without signatures, sorted, and the items that have them.
+        rest = np.flatnonzero(~plain)
+        value, owner = (np.concatenate(x) if len(rest) else np.zeros(0, t) for x, t in (([self.grams[i] for i in rest], np.uint64), ([np.full(self.size[i], i) for i in rest], np.int64)))
+        at = np.argsort(value, kind="stable")
+        self.direct = value[at], owner[at]
         #: For each partition: its upper bound and, for each band, sorted values and the items that have them.
         self.partitions: list[tuple[int, list[tuple[np.ndarray, np.ndarray]]]] = []
-        for u in np.unique(upper):
-            own = np.flatnonzero(upper == u)
+        for u in np.unique(upper[plain]):
+            own = np.flatnonzero(plain & (upper == u))
             b = bands(int(u), self.size[own], threshold, miss)
+            flat = np.concatenate([(self.grams[i] >> np.uint64(32)).astype(np.uint32) for i in own])
+            begin = np.cumsum(self.size[own]) - self.size[own]
             per_band = []
             for a in _multipliers(b):
-                value = np.array([_mixed32((self.grams[i] >> np.uint64(32)).astype(np.uint32), a).min() for i in own], dtype=np.uint32)
+                value = np.minimum.reduceat(_mixed32(flat, a), begin)
                 at = np.argsort(value, kind="stable")
                 per_band.append((value[at], own[at]))
             self.partitions.append((int(u), per_band))
@@ -86,10 +100,40 @@ class Items:
         w = Words(texts)
         n = len(w)
         none = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
-        if not self.partitions or not len(w.hash):
+        if not len(self.ids) or not len(w.hash):
             return none
         grams, at = ngrams(w.hash, w.first, self.shingle)
         owner = np.searchsorted(w.first, at, side="right") - 1
+        found = [*self._by_shingle(grams, owner), *self._by_signature(grams, owner, n)]
+        if not found:
+            return none
+        pairs = np.unique(np.concatenate(found))
+        doc, item = pairs // len(self.ids), pairs % len(self.ids)
+        bounds = np.searchsorted(owner, np.arange(n + 1))
+        share = np.empty(len(pairs))
+        last, own = -1, None
+        for i, (d, x) in enumerate(zip(doc, item, strict=True)):
+            if d != last:
+                last, own = d, np.sort(grams[bounds[d] : bounds[d + 1]])
+            spot = np.minimum(np.searchsorted(own, self.grams[x]), len(own) - 1)
+            share[i] = (own[spot] == self.grams[x]).sum() / self.size[x]
+        good = share >= self.threshold - 1e-12
+        return doc[good], item[good], share[good]
+
+    def _by_shingle(self, grams: np.ndarray, owner: np.ndarray) -> Iterator[np.ndarray]:
+        """Pairs (text * items + item) that share a shingle of an item without a signature."""
+        values, items = self.direct
+        if len(values):
+            lo = np.searchsorted(values, grams)
+            hit = np.flatnonzero(values[np.minimum(lo, len(values) - 1)] == grams)
+            lo, hi = lo[hit], np.searchsorted(values, grams[hit], side="right")
+            which = items[np.repeat(lo, hi - lo) + within(hi - lo)]
+            yield np.unique(np.repeat(owner[hit], hi - lo) * len(self.ids) + which)
+
+    def _by_signature(self, grams: np.ndarray, owner: np.ndarray, n: int) -> Iterator[np.ndarray]:
+        """Pairs (text * items + item) that agree in a band."""
+        if not self.partitions:
+            return
         count = np.bincount(owner, minlength=n)
         base = self.partitions[0][0]
         # Each text takes whole blocks and one empty block after them, so that no domain spans two texts.
@@ -102,7 +146,6 @@ class Items:
         filled[place] = True
         empty = ~filled
         n_bands = max(len(p) for _, p in self.partitions)
-        found: list[np.ndarray] = []
         for k, a in enumerate(_multipliers(n_bands)):
             value = _mixed32(h, a)
             value[empty] = _MAX
@@ -135,21 +178,7 @@ class Items:
                     lo, hi = lo[hit], np.searchsorted(values, domain[hit], side="right")
                     which = items[np.repeat(lo, hi - lo) + within(hi - lo)]
                     doc = np.repeat(np.searchsorted(bounds, hit, side="right") - 1, hi - lo)
-                    found.append(np.unique(doc * len(self.ids) + which))
-        if not found:
-            return none
-        pairs = np.unique(np.concatenate(found))
-        doc, item = pairs // len(self.ids), pairs % len(self.ids)
-        bounds = np.searchsorted(owner, np.arange(n + 1))
-        share = np.empty(len(pairs))
-        last, own = -1, None
-        for i, (d, x) in enumerate(zip(doc, item, strict=True)):
-            if d != last:
-                last, own = d, np.sort(grams[bounds[d] : bounds[d + 1]])
-            spot = np.minimum(np.searchsorted(own, self.grams[x]), len(own) - 1)
-            share[i] = (own[spot] == self.grams[x]).sum() / self.size[x]
-        good = share >= self.threshold - 1e-12
-        return doc[good], item[good], share[good]
+                    yield np.unique(doc * len(self.ids) + which)
 
 
 def _slices(benchmark: DataFrame, limit: int) -> list[DataFrame]:
@@ -173,7 +202,8 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, shingle: int = SHINGLE,
     Documents and items with a null id or text, or without words, are never in the result.  A row
     repeated gives its result once; several texts under one id each count, the largest containment
     being reported.  Empty tables give an empty result.  Other columns are ignored.  The search is approximate:
-    an item whose shingles are spread over a document rather than lying in one passage may be missed.
+    an item whose shingles are spread over a document rather than lying in one passage may be missed.  Texts and items of any length are
+    searched whole.  Items that are equal are found each, and so are all that tie.
     """
     source = docs.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     out = None
@@ -192,7 +222,12 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, shingle: int = SHINGLE,
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, shingle: int = SHINGLE, threshold: float = THRESHOLD, miss: float = MISS, limit: int = BROADCAST_BYTES) -> DataFrame:
-    """The rows of the documents, all columns as they are, whose text holds no test item."""
+    """The rows of the documents, all columns as they are, whose text holds no test item, as :func:`decontaminate` finds them.
+
+    Rows with a null or empty text or one without words stay, and so do all rows if there are no items.  The doc_id
+    doesn't matter: rows with a null one and repeated rows are searched each.  Texts of any length are searched whole, columns may have
+    any names.  An empty table gives an empty result.
+    """
     where = docs.columns.index("text")
     for part in _slices(benchmark, limit):
         index = docs.sparkSession.sparkContext.broadcast(_index(part, shingle, threshold, miss))

@@ -19,6 +19,8 @@ from .common import chunks
 from .words import Words, mix, ngrams, runs_rank
 
 KMER, TUPLE, SIZE = 3, 2, 32
+#: K-mers of a text that are hashed together: with 32 functions, 8 MB.
+AT_ONCE = 1 << 15
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -35,17 +37,24 @@ def occurrence_keys(kmer: np.ndarray, owner: np.ndarray) -> np.ndarray:
     return mix(kmer + occurrence.astype(np.uint64) * _STEP)
 
 
-def signature(kmer: np.ndarray, key: np.ndarray, factors: np.ndarray, length: int) -> np.ndarray:
-    """The signature of one text, from its k-mers in text order and their keys."""
-    value = key[None, :] * factors[:, None]
+def signature(kmer: np.ndarray, key: np.ndarray, factors: np.ndarray, length: int, at_once: int = AT_ONCE) -> np.ndarray:
+    """The signature of one text, from its k-mers in text order and their keys, of which so many are looked at together."""
     each = np.arange(len(factors))
-    chosen = []
-    for _ in range(min(length, len(kmer))):
-        at = value.argmin(axis=1)
-        chosen.append(at)
-        value[each, at] = np.uint64(0xFFFFFFFFFFFFFFFF)
-    places = np.sort(np.stack(chosen, axis=1), axis=1)
-    out = np.full(len(factors), np.uint64(len(chosen)))
+    best, where = np.zeros((len(factors), 0), np.uint64), np.zeros((len(factors), 0), np.int64)
+    for begin in range(0, len(key), at_once):
+        value = key[None, begin : begin + at_once] * factors[:, None]
+        least, places = [], []
+        for _ in range(min(length, value.shape[1])):
+            at = value.argmin(axis=1)
+            least.append(value[each, at])
+            places.append(at + begin)
+            value[each, at] = np.uint64(0xFFFFFFFFFFFFFFFF)
+        best, where = np.concatenate([best, np.stack(least, axis=1)], axis=1), np.concatenate([where, np.stack(places, axis=1)], axis=1)
+        if best.shape[1] > length:
+            order = np.lexsort((where, best), axis=1)[:, :length]
+            best, where = np.take_along_axis(best, order, axis=1), np.take_along_axis(where, order, axis=1)
+    places = np.sort(where, axis=1)
+    out = np.full(len(factors), np.uint64(places.shape[1]))
     for j in range(places.shape[1]):
         out = mix(out * _STEP + kmer[places[:, j]])
     return out
@@ -56,7 +65,8 @@ def fingerprints(docs: DataFrame, k: int = KMER, length: int = TUPLE, size: int
 
     Words are as in :mod:`.words`; a text of fewer than k words has one k-mer, all its words, and one of
     fewer k-mers than a tuple has tuples of all of them.  The signature of a null text or one without words is null.  Null
-    ids and repeated rows are treated like any other row.  An empty table gives an empty result.  Other columns are ignored.
+    ids and repeated rows are treated like any other row; of equal values the earlier place counts as less.  A text of any length is hashed
+    whole, in memory of a few times its size.  An empty table gives an empty result.  Other columns are ignored.
     """
     factors = multipliers(size)
 

@@ -17,6 +17,8 @@ from .tokens import tokenized
 from .toxicity import toxicity
 from .warc import bundle_pages
 
+#: The vocabulary of op6, where the session doesn't name another in steppe.tokenizer.
+TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: A word in RE2: what :mod:`.words` takes for one.
 _WORD = r"[0-9A-Za-z_\x{80}-\x{9F}\x{AA}\x{B5}\x{BA}\x{C0}-\x{D6}\x{D8}-\x{F6}\x{F8}-\x{1FFF}\x{2070}-\x{2FFF}\x{3040}-\x{10FFFF}]+"
 
@@ -50,7 +52,7 @@ def op5_maximal_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_token_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tokenized(_table(spark, sf_dir, "documents"))
+    return tokenized(_table(spark, sf_dir, "documents"), spark.conf.get("steppe.tokenizer", TOKENIZER))
 
 
 def op7_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:

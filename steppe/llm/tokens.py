@@ -16,6 +16,7 @@ The starts make any block readable by itself.
 from __future__ import annotations
 
 import base64
+import re
 import struct
 from collections.abc import Iterator
 from functools import lru_cache
@@ -27,10 +28,11 @@ from pyspark.sql import functions as F
 
 from .common import chunks
 
-TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: How the vocabulary's texts are cut before merging, as published with it.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 BLOCK, PERCENTILE = 128, 90
+#: White space as the pattern has it, in runs that its look-ahead would need too deep a stack for.
+_LONG_SPACE = re.compile(r"[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]{10000,}")
 _HEAD = np.dtype([("least", "<u4"), ("n", "u1"), ("width", "u1"), ("patched", "u1")])
 
 
@@ -119,22 +121,39 @@ def tokenizer(path: str, pattern: str = PATTERN):
     return tiktoken.Encoding("local", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
 
 
+def encode_text(encoder, text: str) -> list[int]:
+    """The ids of a text of any length.
+
+    A long run of white space is one piece of the pattern but for its last character where something follows, which goes with
+    that; so it is encoded as such a piece, and the text before and after it by itself, which gives the same ids.
+    """
+    ids, at = [], 0
+    for run in _LONG_SPACE.finditer(text):
+        end = run.end() if run.end() == len(text) else run.end() - 1
+        ids += encoder.encode_ordinary(text[at : run.start()])
+        ids += encoder._encode_single_piece(text[run.start() : end])
+        at = end
+    return ids + encoder.encode_ordinary(text[at:] if at else text)
+
+
 def token_ids(texts: list[str | None], path: str) -> tuple[np.ndarray, np.ndarray]:
     """All ids, one text after the other, and how many each text has."""
     encoder = tokenizer(path)
-    ids = [np.asarray(encoder.encode_ordinary(t), dtype=np.int64) if t else np.zeros(0, np.int64) for t in texts]
+    ids = [np.asarray(encode_text(encoder, t), dtype=np.int64) if t else np.zeros(0, np.int64) for t in texts]
     return (np.concatenate(ids) if ids else np.zeros(0, np.int64)), np.array([len(x) for x in ids], dtype=np.int64)
 
 
-def tokenized(docs: DataFrame, path: str = TOKENIZER, block: int = BLOCK, percentile: int = PERCENTILE) -> DataFrame:
+def tokenized(docs: DataFrame, path: str, block: int = BLOCK, percentile: int = PERCENTILE) -> DataFrame:
     """A row (doc_id bigint, n_tokens bigint, n_blocks bigint, data binary) for every row of the documents.
 
     ``data`` is the stream of the text's token ids (see the module).  A null text has null data and
     no tokens, an empty one a stream without blocks; null ids and repeated rows are encoded like any
-    other.  An empty table gives an empty result.  Other columns are ignored.  ``path`` must be readable on every executor.
+    other, and a text of any length is encoded whole.  An empty table gives an empty result.  Other columns are ignored.  ``path`` must be readable on every executor.
     """
     if not 0 < block <= 256:
         raise ValueError("a block holds 1 to 256 ids")
+    if not 0 < percentile <= 100:
+        raise ValueError("a percentile is 1 to 100")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in chunks(batches, limit=1 << 20):

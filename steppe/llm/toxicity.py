@@ -5,7 +5,7 @@ between it has, hashed to ``2 ** BITS`` places.  One pass of FTRL-proximal (McMa
 an epoch keeps a rate of its own for each coordinate, and its L1 term leaves most weights at
 exactly zero; what is broadcast for scoring is the list of the others.
 
-Training uses a bounded sample of the labelled documents, ``SAMPLE`` rows at most: those whose
+Training uses a bounded sample of the labelled documents, ``SAMPLE`` rows and ``SAMPLE_BYTES`` of text at most: those whose
 hashed doc_id is smallest.  Scoring is one pass without a shuffle over every document and its
 whole text.
 """
@@ -16,7 +16,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import chunks
@@ -24,6 +25,8 @@ from .words import Words, mix
 
 BITS = 20
 SAMPLE = 20_000
+#: Bounds of the text that training uses: of all of it together, and of each one.
+SAMPLE_BYTES, LONGEST = 64 << 20, 1 << 20
 EPOCHS = 4
 ALPHA, BETA, L1, L2 = 1.0, 1.0, 10.0, 0.1
 THRESHOLD = 0.5
@@ -69,18 +72,23 @@ def _sigmoid(x):
     return 1.0 / (1.0 + np.exp(-np.clip(x, -35, 35)))
 
 
-def labelled(docs: DataFrame, labels: DataFrame, label: str, sample: int) -> DataFrame:
-    """The sampled labelled documents: (h, y, text).
+def labelled(docs: DataFrame, labels: DataFrame, label: str, sample: int, limit: int = SAMPLE_BYTES, longest: int = LONGEST) -> DataFrame:
+    """The sampled labelled documents: (h, y, text), at most ``sample`` of them and ``limit`` bytes of text, each up to ``longest`` bytes.
 
-    Rows with a null id or label, or a label other than 0 and 1, are left out; an id with
-    contradicting labels counts with the larger one.
+    Taken are those of the least hash of doc_id and text.  Rows with a null id or label, or a label other than 0 and 1, are left out; an id with
+    contradicting labels counts with the larger one.  A row that repeats counts once, several texts under one id once each.
     """
     known = labels.where(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull())
-    known = known.groupBy(F.col("doc_id").cast("long").alias("__id")).agg(F.max(F.col(label).cast("int")).alias("y"))
-    known = known.select("__id", "y", F.xxhash64("__id", F.lit(17)).alias("h")).orderBy("h", "__id").limit(sample)
+    known = known.groupBy(F.col("doc_id").cast("long").alias("id")).agg(F.max(F.col(label).cast("int")).alias("y"))
+    known = known.select("id", "y", F.xxhash64("id", F.lit(17)).alias("h")).orderBy("h", "id").limit(sample)
     # At most `sample` rows of 24 bytes, whatever the input: safe to broadcast.
-    text = docs.where(F.col("text").isNotNull()).select(F.col("doc_id").cast("long").alias("__id"), F.col("text").cast("string").alias("text"))
-    return text.join(F.broadcast(known), "__id").select("h", "y", "text")
+    text = docs.where(F.col("text").isNotNull()).select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text")).where(F.octet_length("text") <= longest)
+    text = text.withColumn("t", F.xxhash64("text"))
+    found = text.join(F.broadcast(known), "id")
+    # Which texts: of any number of them under these ids, small rows decide.
+    small = found.select("h", "t", F.octet_length("text").cast("long").alias("size")).distinct().orderBy("h", "t").limit(sample)
+    chosen = small.withColumn("total", F.sum("size").over(Window.orderBy("h", "t").rowsBetween(Window.unboundedPreceding, 0))).where(F.col("total") <= limit).select("h", "t")
+    return found.join(F.broadcast(chosen), ["h", "t"]).groupBy("h", "t").agg(F.max("y").alias("y"), F.max("text").alias("text")).select("h", "y", "text")
 
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, bits: int = BITS) -> tuple[np.ndarray, np.ndarray, float]:
@@ -146,6 +154,11 @@ def scorer(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, bits: int =
 _DENSE: dict[int, np.ndarray] = {}
 
 
+def _blank(texts: pa.Array) -> np.ndarray:
+    """Whether each text is null or empty."""
+    return np.asarray(pc.fill_null(pc.equal(pc.binary_length(texts), 0), True))
+
+
 def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, sample: int = SAMPLE) -> DataFrame:
     """A row (doc_id bigint, toxicity double, toxic boolean) for every row of the documents.
 
@@ -159,21 +172,25 @@ def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, s
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in chunks(batches):
             p = score(batch.column(1))
-            some = np.array([bool(x) for x in batch.column(1).to_pylist()]) if len(p) else np.zeros(0, bool)
+            some = ~_blank(batch.column(1))
             yield pa.record_batch([batch.column(0), pa.array(p), pa.array((p > threshold) & some)], names=["doc_id", "toxicity", "toxic"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, toxicity double, toxic boolean")
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, sample: int = SAMPLE) -> DataFrame:
-    """The rows of the documents, all columns as they are, whose text isn't toxic."""
+    """The rows of the documents, all columns as they are, whose text isn't toxic.
+
+    Null and empty texts stay, and so does every row without usable labels to learn from.  Null ids and repeated rows are treated like any other
+    row, texts of any length are scored whole, and columns may have any names.  An empty table gives an empty result.
+    """
     score = scorer(docs, labels, sample)
     where = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in chunks(batches):
             texts = batch.column(where)
-            keep = ~(score(texts) > threshold) | (np.array([not x for x in texts.to_pylist()]))
+            keep = ~(score(texts) > threshold) | _blank(texts)
             yield batch.filter(pa.array(keep))
 
     return docs.mapInArrow(run, docs.schema)

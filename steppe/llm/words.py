@@ -55,7 +55,8 @@ class Words:
 
     __slots__ = ("data", "end", "first", "hash", "origin", "start")
 
-    def __init__(self, texts: pa.Array | pa.ChunkedArray, lower: bool = True) -> None:
+    def __init__(self, texts: pa.Array | pa.ChunkedArray, lower: bool = True, spaced: bool = False) -> None:
+        """With ``spaced``, words are all that stands between white space and control characters of ASCII, marks included."""
         if isinstance(texts, pa.ChunkedArray):
             texts = texts.combine_chunks()
         texts = pc.fill_null(texts.cast(pa.large_string()), "")
@@ -64,10 +65,9 @@ class Words:
             texts = pc.utf8_lower(texts)
         offsets, data = _buffers(texts)
         self.data, self.origin = data, offsets
-        self._split(data, offsets)
+        self._split(data, offsets, data > 32 if spaced else _word_bytes(data))
 
-    def _split(self, data: np.ndarray, offsets: np.ndarray) -> None:
-        inside = _word_bytes(data)
+    def _split(self, data: np.ndarray, offsets: np.ndarray, inside: np.ndarray) -> None:
         begins = inside.copy()
         begins[1:] &= ~inside[:-1]
         cuts = offsets[1:-1]
@@ -143,12 +143,10 @@ def ngrams(words: np.ndarray, first: np.ndarray, n: int) -> tuple[np.ndarray, np
         for j in range(1, n):
             g *= _BASE
             g += words[j : j + m]
-        ok = np.zeros(m, dtype=bool)
         long = counts >= n
         grams = np.where(long, counts - n + 1, 0)
         at = np.repeat(first[:-1], grams) + within(grams)
         g = mix(g[at] + _U(n))
-        del ok
     else:
         g, at = np.zeros(0, np.uint64), np.zeros(0, np.int64)
     short = np.flatnonzero((counts > 0) & (counts < n))
