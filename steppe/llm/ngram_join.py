@@ -11,11 +11,15 @@ threshold t.  The search is exact (up to collisions of 55-bit hashes) and every
    cluster (the rest, the longest lists, can hold at most T - 1 of the occurrences).  Every list
    names the least of its sets as leader, and each set joins the groups of its lists' leaders, so
    that any two matching sets meet in a group.
-4. Within a group DivideSkip runs on a local inverted index: the L longest lists are set
+4. Groups are bounded in memory: one of more than ``GROUP_BYTES`` of n-grams is dealt into blocks of sets, and every
+   pair of blocks is a group of its own that looks for the matches between the two.
+5. Within a group DivideSkip runs on a local inverted index: the L longest lists are set
    aside, the short ones merged and counted, and documents that reach T - L are looked up in the
    long lists by binary search; those whose whole overlap is enough are kept.
 
-Step 4 merges with a vectorised counting sort where the paper uses a heap: the outcome is the same.
+Step 5 merges by sorting where the paper uses a heap: the lists are sorted runs, and numpy's stable sort
+finds and merges such runs, in M log k steps for M entries of k lists as a heap does.  Where the entries are more than
+the sets of the group, it counts them by set, in M steps.  Neither takes more steps than a heap would.
 """
 
 from __future__ import annotations
@@ -25,15 +29,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import checkpointed, chunks, joined, pack48, parts, runs, u64, unpack48
+from .common import checkpointed, chunks, fresh, joined, pack48, parts, runs, u64, unpack48
 from .words import Words, gram_sets, mix, within
 
 NGRAM, THRESHOLD = 3, 0.5
 #: Weight of a binary probe against a merged entry in choosing the number of long lists.
 MU = 0.01
+#: N-grams of a group that are searched by one task.
+GROUP_BYTES = 32 << 20
 
 _POSTINGS = "cls int, blk int, keys binary, counts binary, grams binary, df binary, ids binary"
 _SETS = "set_key long, doc_ids array<long>, size int, grams binary, prefix int"
@@ -200,11 +206,22 @@ def _leaders(table: pa.Table) -> pa.Table:
     return pa.table({"set_key": pa.array(pair[:, 0].view(np.int64)), "leader": pa.array(pair[:, 1].view(np.int64))})
 
 
-def divide_skip(grams: list[np.ndarray], sizes: np.ndarray, t: float, mu: float = MU) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """All pairs i < j of sets whose Jaccard similarity is at least t, and their overlaps.
+def _merged(lists: np.ndarray, m: int, x: int) -> tuple[np.ndarray, np.ndarray]:
+    """The sets after x in the lists, and in how many of them each is."""
+    if len(lists) > m:
+        seen = np.bincount(lists, minlength=m)
+        seen[: x + 1] = 0
+        found = np.flatnonzero(seen)
+        return found, seen[found]
+    merged = np.sort(lists, kind="stable")
+    start, length = runs(merged[np.searchsorted(merged, x, side="right") :])
+    return merged[np.searchsorted(merged, x, side="right") + start], length
 
-    ``grams`` holds each set's n-grams, of which those in no other set may be missing; ``sizes``
-    the full sizes.  T-occurrence search with DivideSkip, one query a set.
+
+def matches(grams: list[np.ndarray], sizes: np.ndarray, t: float, mu: float = MU, side: np.ndarray | None = None) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """For each set x its matches among the sets after it, and their overlaps: see :func:`divide_skip`.
+
+    With ``side``, only matches of different sides are looked for.
     """
     m = len(grams)
     lengths = np.array([len(x) for x in grams], dtype=np.int64)
@@ -217,7 +234,6 @@ def divide_skip(grams: list[np.ndarray], sizes: np.ndarray, t: float, mu: float
     entries = owner[order]
     probes = np.repeat(np.arange(len(start)), count) * m + entries  # sorted: list, then set
     first = np.cumsum(lengths) - lengths
-    left, right, overlap = [], [], []
     need = _needed(t, sizes).astype(np.int64)
     for x in range(m):
         lists = gram_of[first[x] : first[x] + lengths[x]]
@@ -229,43 +245,78 @@ def divide_skip(grams: list[np.ndarray], sizes: np.ndarray, t: float, mu: float
         longest = int(count[lists[-1]])
         n_long = min(need_x - 1, int(need_x / (mu * math.log2(longest + 1) + 1)))
         short, long = lists[: len(lists) - n_long], lists[len(lists) - n_long :]
-        merged = entries[np.repeat(start[short], count[short]) + within(count[short])]
-        seen = np.bincount(merged, minlength=m)
-        seen[: x + 1] = 0
-        found = np.flatnonzero(seen >= max(need_x - n_long, 1))
-        found = found[(sizes[found] >= t * sizes[x] - 1e-9) & (sizes[x] >= t * sizes[found] - 1e-9)]
+        found, total = _merged(entries[np.repeat(start[short], count[short]) + within(count[short])], m, x)
+        keep = (total >= max(need_x - n_long, 1)) & (sizes[found] >= t * sizes[x] - 1e-9) & (sizes[x] >= t * sizes[found] - 1e-9)
+        if side is not None:
+            keep &= side[found] != side[x]
+        found, total = found[keep], total[keep]
         if not len(found):
             continue
-        total = seen[found]
         if n_long:
             wanted = (long[:, None] * m + found[None, :]).ravel()
             at = np.searchsorted(probes, wanted)
             at[at == len(probes)] = 0
             total = total + (probes[at] == wanted).reshape(len(long), len(found)).sum(axis=0)
         good = total * (1 + t) >= t * (sizes[found] + sizes[x]) - 1e-9
-        left.append(np.full(int(good.sum()), x))
-        right.append(found[good])
-        overlap.append(total[good])
-    if not left:
+        if good.any():
+            yield x, found[good], total[good]
+
+
+def divide_skip(grams: list[np.ndarray], sizes: np.ndarray, t: float, mu: float = MU) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """All pairs i < j of sets whose Jaccard similarity is at least t, and their overlaps.
+
+    ``grams`` holds each set's n-grams, of which those in no other set may be missing; ``sizes``
+    the full sizes.  T-occurrence search with DivideSkip, one query a set.
+    """
+    found = [(np.full(len(b), x), b, o) for x, b, o in matches(grams, sizes, t, mu)]
+    if not found:
         return (np.zeros(0, np.int64),) * 3
-    return np.concatenate(left), np.concatenate(right), np.concatenate(overlap)
+    return tuple(np.concatenate(c) for c in zip(*found, strict=True))
+
+
+def _joining(found: Iterator[tuple[int, np.ndarray, np.ndarray]], m: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """Of the matches of a group those that join what was apart: as few as connect the same sets."""
+    root = np.arange(m)
+
+    def top(x: int) -> int:
+        while root[x] != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
+
+    for x, other, overlap in found:
+        new = []
+        for i, y in enumerate(other.tolist()):
+            a, b = top(x), top(y)
+            if a != b:
+                root[max(a, b)] = min(a, b)
+                new.append(i)
+        if new:
+            yield x, other[new], overlap[new]
 
 
-def _search(t: float):
+def _search(t: float, links: bool):
     def run(table: pa.Table) -> pa.Table:
         table = table.sort_by("set_key")
         keys, sizes = np.asarray(table.column("set_key")), np.asarray(table.column("size")).astype(np.int64)
-        a, b, o = divide_skip([np.frombuffer(x, "<u8") for x in table.column("grams").to_pylist()], sizes, t)
+        low, high = table.column("low")[0].as_py(), table.column("high")[0].as_py()
+        side = np.asarray(table.column("block")) if low != high else None
+        found = matches([np.frombuffer(x, "<u8") for x in table.column("grams").to_pylist()], sizes, t, side=side)
+        if links:
+            found = _joining(found, len(keys))
+        parts_ = [(np.full(len(b), x), b, o) for x, b, o in found]
+        a, b, o = (np.concatenate(c) for c in zip(*parts_, strict=True)) if parts_ else (np.zeros(0, np.int64),) * 3
         return pa.table({"set_a": keys[a], "set_b": keys[b], "jaccard": o / (sizes[a] + sizes[b] - o)})
 
     return run
 
 
-def similar_sets(docs: DataFrame, n: int = NGRAM, threshold: float = THRESHOLD) -> tuple[DataFrame, DataFrame]:
+def similar_sets(docs: DataFrame, n: int = NGRAM, threshold: float = THRESHOLD, links: bool = False, group_bytes: int = GROUP_BYTES) -> tuple[DataFrame, DataFrame]:
     """Sets of equal documents, and pairs of sets whose similarity is at least the threshold.
 
     The first result has a row (set_key, doc_ids) for each set that has two documents or might have
-    a partner; the second a row (set_a, set_b, jaccard) for each pair of different sets that match.
+    a partner; the second a row (set_a, set_b, jaccard) for each pair of different sets that match, or, with ``links``,
+    for as many of them as connect the same sets: their number is in proportion to the sets, where that of pairs is not.
     """
     spark: SparkSession = docs.sparkSession
     classes = parts(spark)
@@ -276,8 +327,15 @@ def similar_sets(docs: DataFrame, n: int = NGRAM, threshold: float = THRESHOLD)
     alive = sets.where(F.col("grams").isNotNull())
     prefix = alive.select("set_key", "grams", "prefix").mapInArrow(_prefixes(classes), _POSTINGS)
     member = prefix.groupBy("cls").applyInArrow(_leaders, "set_key long, leader long").distinct()
-    groups = alive.select("set_key", "size", "grams").join(member, "set_key")
-    pairs = groups.groupBy("leader").applyInArrow(_search(threshold), "set_a long, set_b long, jaccard double")
+    member = checkpointed(member)
+    weighed = member.join(alive.select("set_key", F.octet_length("grams").alias("weight")), "set_key")
+    blocks = weighed.groupBy(F.col("leader").alias("of")).agg(F.ceil(F.sum("weight") / group_bytes).cast("int").alias("blocks"))
+    # The block of each set in its groups, and the pairs of blocks that it takes part in.
+    dealt = member.join(blocks, F.col("leader") == F.col("of")).withColumn("block", F.pmod(F.xxhash64("set_key"), F.col("blocks")).cast("int"))
+    dealt = dealt.select("set_key", "leader", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    dealt = dealt.select("set_key", "leader", "block", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"))
+    dealt = dealt.join(alive.select("set_key", "size", "grams"), "set_key")
+    pairs = dealt.groupBy("leader", "low", "high").applyInArrow(_search(threshold, links), "set_a long, set_b long, jaccard double")
     return sets.select("set_key", "doc_ids"), pairs.distinct()
 
 
@@ -305,26 +363,24 @@ def keep_one_of_each_group(docs: DataFrame, n: int = NGRAM, threshold: float = T
     """The documents without near duplicates: of each group of matching documents one stays.
 
     Groups are the connected components of the matches of :func:`ngram_jaccard_join`; the document of the least
-    doc_id stays, once if its row is repeated.  Different texts under one doc_id are documents of their own.  Rows with a null id or text and documents without words stay as they are.
-    All columns are kept.
+    doc_id stays, once if its row is repeated (of repeated rows that differ in other columns any one).  Different texts under one doc_id are documents of their
+    own.  Rows with a null id or text and documents without words stay as they are, repeated or not.
+    All columns are kept, whatever their names.  An empty table gives an empty result.
     """
     # A row is known by its id and text, as one doc_id may stand for several texts.
     key = F.when(F.col("doc_id").isNotNull() & F.col("text").isNotNull(), F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string")))
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), key.alias("key"))
-    sets, pairs = similar_sets(own.select(F.col("key").alias("doc_id"), "text"), n, threshold)
-    sets = checkpointed(sets.select("set_key", "doc_ids"))
-    group = components(pairs.select("set_a", "set_b"))
+    sets, links = similar_sets(own.select(F.col("key").alias("doc_id"), "text"), n, threshold, links=True)
+    group = components(links.select("set_a", "set_b"))
     member = sets.join(group, "set_key", "left").select(F.coalesce("component", "set_key").alias("component"), F.explode("doc_ids").alias("key"))
     member = member.join(own.where("key is not null").select("key", "doc_id"), "key")
     least = member.groupBy("component").agg(F.min(F.struct("doc_id", "key")).alias("least"))
-    gone = member.join(least, "component").where("key <> least.key").select(F.col("key").alias("__gone")).distinct()
-    once = F.col("doc_id").isNotNull() & F.col("text").isNotNull()
-    repeated = docs.where(once).groupBy(F.col("doc_id").cast("long").alias("__id"), F.xxhash64("text").alias("__h")).count().where("count > 1").select("__id").distinct()
-    left = docs.join(gone, key == F.col("__gone"), "left_anti")
-    if repeated.isEmpty():
-        return left
-    same = F.col("doc_id").cast("long") == F.col("__id")
-    return left.join(repeated, same, "left_anti").unionByName(left.where(once).join(repeated, same, "left_semi").dropDuplicates(["doc_id", "text"])).unionByName(left.where(~once).join(repeated, same, "left_semi"))
+    gone = member.join(least, "component").where("key <> least.key").select("key")
+    # One join marks what goes; rows of one id and text lie together then, and the first of them stays.
+    mark, gone_, place = fresh(docs, "mark"), fresh(docs, "gone"), fresh(docs, "place")
+    marked = docs.withColumn(mark, F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string"))).join(gone.select(F.col("key").alias(mark), F.lit(True).alias(gone_)), mark, "left")
+    placed = marked.where(F.col(gone_).isNull()).withColumn(place, F.row_number().over(Window.partitionBy(mark).orderBy(mark)))
+    return placed.where((F.col(place) == 1) | F.col("doc_id").isNull() | F.col("text").isNull()).select(docs.columns)
 
 
 def components(pairs: DataFrame) -> DataFrame:

@@ -64,3 +64,19 @@ def test_nothing(tables, empty):
     docs, items, *_ = tables
     assert decontaminate(empty, items).count() == 0 and decontaminate(docs, items.limit(0)).count() == 0
     assert drop_contaminated(docs, items.limit(0)).count() == docs.count() and drop_contaminated(empty, items).count() == 0
+
+
+def test_items_that_repeat_themselves_or_are_tiny(spark):
+    """They are found by their shingles, exactly, and don't add to the bands of the others."""
+    from steppe.llm.decontaminate import Items
+
+    rng = random.Random(9)
+    items = [(1, "la " * 600), (2, "one two three"), (3, "x y " * 80 + "z"), (4, prose(rng, 20, 3000)), (5, "one two")]
+    docs = [(1, f"{prose(rng, 300, 3000)} la la la {prose(rng, 50, 3000)}"), (2, "la la"), (3, f"{prose(rng, 50, 3000)} one two three"), (4, f"a x y x y z {prose(rng, 90, 3000)}"), (5, items[3][1]), (6, "one two"), (7, "one two four")]
+    rows = decontaminate(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert {(r.doc_id, r.item_id) for r in rows} == set(brute(docs, items)) and len(rows) >= 5
+    import numpy as np
+    import pyarrow as pa
+
+    index = Items(np.arange(5), pa.array([t for _, t in items]), 3, 0.6, 0.002)
+    assert max(len(b) for _, b in index.partitions) < 60

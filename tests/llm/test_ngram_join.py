@@ -4,7 +4,7 @@ from itertools import combinations
 import numpy as np
 import pytest
 
-from steppe.llm.ngram_join import components, divide_skip, keep_one_of_each_group, ngram_jaccard_join
+from steppe.llm.ngram_join import components, divide_skip, keep_one_of_each_group, ngram_jaccard_join, similar_sets
 
 from .conftest import words
 
@@ -71,3 +71,31 @@ def test_texts_under_one_id_go_one_by_one(spark):
     rows = [(1, texts["a"] + " end"), (3, texts["a"]), (3, texts["b"]), (3, texts["c"]), (5, texts["b"] + " end"), (5, texts["b"] + " end")]
     kept = keep_one_of_each_group(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert sorted(tuple(r) for r in kept) == sorted([rows[0], rows[2], rows[3]])
+
+
+def test_a_hot_group_is_dealt_into_blocks(spark):
+    """Two hundred near copies in groups of a few sets each: the same pairs, and links that connect them all."""
+    rng = random.Random(4)
+    base = [f"w{i}" for i in range(120)]
+    rows = []
+    for i in range(200):
+        w = list(base)
+        w[rng.randrange(120)] = f"x{i}"
+        rows.append((i, " ".join(w)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    whole = similar_sets(docs)[1].collect()
+    dealt = similar_sets(docs, group_bytes=20_000)[1].collect()
+    key = lambda found: sorted((min(r.set_a, r.set_b), max(r.set_a, r.set_b), round(r.jaccard, 9)) for r in found)
+    assert len(whole) == 200 * 199 // 2 and key(whole) == key(dealt)
+    for limit in (32 << 20, 20_000):
+        links = similar_sets(docs, links=True, group_bytes=limit)[1]
+        assert 199 <= links.count() < 40 * 200 and components(links).where("component is not null").select("component").distinct().count() == 1
+
+
+@pytest.mark.parametrize("name", ["__id", "__gone_id", "__gone", "mark", "_mark", "gone", "Place", "key", "component"])
+def test_columns_may_have_any_names(spark, name):
+    text = " ".join(f"w{i}" for i in range(30))
+    docs = spark.createDataFrame([(1, text, "x"), (2, text + " end", "y"), (3, "other", "z"), (3, "other", "z"), (None, text, "n"), (None, text, "n")], f"doc_id long, text string, `{name}` string")
+    kept = keep_one_of_each_group(docs)
+    assert kept.columns == docs.columns
+    assert sorted(map(str, kept.collect())) == sorted(map(str, docs.where("doc_id = 1 or doc_id is null").collect() + docs.where("doc_id = 3").limit(1).collect()))
