@@ -19,7 +19,7 @@ GROUP * mean length / CAPACITY sequences.
 
 from __future__ import annotations
 
-from bisect import bisect_left, insort
+from bisect import bisect_left, bisect_right, insort
 from collections.abc import Iterator
 from itertools import accumulate
 
@@ -29,8 +29,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 CAPACITY, GROUP, NODES = 2048, 4096, 2000
-#: Fillings are found and ordered by waste in batches: of so many without waste, or so many steps.
-_WIDTH, _STEPS = 6, 300
+#: Fillings are found and ordered in batches: of so many without waste, or so many steps; first those that waste a
+#: ``LITTLE``-th of the room at most.  None of the three leaves out a filling.
+WIDTH, STEPS, LITTLE = 6, 300, 32
 
 _OUT = "bin_id long, doc_id long, start_word long, n_words long, bin_offset long"
 
@@ -59,33 +60,57 @@ def best_fit_decreasing(lengths: np.ndarray, capacity: int) -> list[list[int]]:
 
 
 def _batches(sizes: list[int], left: list[int], room: int, most_waste: int) -> Iterator[list[tuple[int, list[int]]]]:
-    """All fillings as :func:`fillings` has them, by and by: those of the next ``_STEPS`` steps, by waste, which may be none."""
-    n = len(sizes)
+    """All fillings as :func:`fillings` has them, by and by: those of little waste first, then the others.
+
+    A batch has those found in the next ``STEPS`` steps and may have none.  Fillings of few documents come first, as
+    they leave the small ones, which fit anywhere, for later; then those of less waste.
+    """
+    little, done = min(most_waste, room // LITTLE), -1
     rest = [*accumulate((s * c for s, c in zip(reversed(sizes), reversed(left), strict=True)), initial=0)][::-1]
+    for limit in sorted({little, most_waste}) if most_waste >= 0 else ():
+        for batch in _of_waste(sizes, left, room, limit, rest):
+            # Those of less waste have been had.
+            yield sorted((x for x in batch if x[0] > done), key=lambda x: (len(x[1]), x[0]))
+        done = limit
+
+
+def _of_waste(sizes: list[int], left: list[int], room: int, most_waste: int, rest: list[int]) -> Iterator[list[tuple[int, list[int]]]]:
+    n = len(sizes)
+    rising = sizes[::-1]
+    least = next((s for s, c in zip(rising, reversed(left), strict=True) if c), room + 1)
     found: list[tuple[int, list[int]]] = []
     chosen: list[int] = []
     used = [0] * n
-    at, steps = 0, 0
+    at, steps, full = 0, 0, 0
+
+    def above(s: int) -> int:
+        """The least size above s of which something is left."""
+        k = bisect_right(rising, s)
+        while k < n and left[n - 1 - k] <= used[n - 1 - k]:
+            k += 1
+        return rising[k] if k < n else most_waste + room + s + 1
 
     def undominated(waste: int) -> bool:
-        fits = sorted({sizes[j] for j in range(n) if left[j] > used[j]})
-        if fits and fits[0] <= waste:
+        if waste == 0:
+            return True
+        if above(0) <= waste:
             return False  # something more goes in
         own = sorted(set(chosen))
         sums = {sizes[j] for j in own} | {sizes[a] + sizes[b] for k, a in enumerate(own) for b in own[k if used[a] > 1 else k + 1 :]}
-        for s in sums:  # one larger item in place of one or two that are no larger together
-            at = bisect_left(fits, s + 1)
-            if at < len(fits) and fits[at] <= s + waste:
-                return False
-        return True
+        return all(above(s) > s + waste for s in sums)  # no larger item in place of one or two that are no larger together
 
     while True:
-        if steps >= _STEPS or sum(1 for w, _ in found if w == 0) >= _WIDTH:
-            yield sorted(found, key=lambda x: x[0])
-            found, steps = [], 0
+        if steps >= STEPS or full >= WIDTH:
+            yield found
+            found, steps, full = [], 0, 0
         steps += 1
         while at < n and (sizes[at] > room or left[at] <= used[at]):
             at += 1
+        if at < n and most_waste < room - sizes[at] < least:
+            # Too small to be the last and too large for another beside it: on to the first that isn't.
+            at = max(at, n - bisect_right(rising, room - least))
+            while at < n and left[at] <= used[at]:
+                at += 1
         if at < n and room - rest[at] <= most_waste:
             chosen.append(at)
             used[at] += 1
@@ -93,8 +118,9 @@ def _batches(sizes: list[int], left: list[int], room: int, most_waste: int) -> I
             continue
         if at == n and room <= most_waste and undominated(room):
             found.append((room, list(chosen)))
+            full += room == 0
         if not chosen:
-            yield sorted(found, key=lambda x: x[0])
+            yield found
             return
         at = chosen.pop()
         used[at] -= 1
@@ -206,10 +232,13 @@ def pack_documents(docs: DataFrame, capacity: int = CAPACITY, group: int = GROUP
     doc_id from its word start_word (counted from 0) at bin_offset of the sequence bin_id.  Words are runs of
     characters other than white space, or what the integer column ``length`` counts.  Documents
     with a null text or length, or without words, take no place and have no row.  Rows with a null id are packed
-    under it, and repeated rows are packed each.  An empty table gives an empty result.  Other columns are ignored.
+    under it, and repeated rows are packed each, in one group of documents; of equal lengths the least doc_id is packed first.  A text of
+    any length is cut as the module says.  An empty table gives an empty result.  Other columns are ignored.
     """
     n_words = F.regexp_count(F.col("text"), F.lit(r"\S+")) if length is None else length
-    measured = docs.select(F.col("doc_id").cast("long").alias("doc_id"), n_words.cast("long").alias("n_words")).where("n_words > 0")
+    # Rows without an id are dealt by their texts, as they would else all lie in a few groups.
+    tie = F.when(F.col("doc_id").isNull(), F.xxhash64("text")).alias("tie")
+    measured = docs.select(F.col("doc_id").cast("long").alias("doc_id"), n_words.cast("long").alias("n_words"), tie).where("n_words > 0")
     groups = max(1, -(-docs.count() // group))
-    dealt = measured.withColumn("grp", F.pmod(F.xxhash64("doc_id", "n_words", F.lit(5)), F.lit(groups)))
+    dealt = measured.withColumn("grp", F.pmod(F.xxhash64("doc_id", "n_words", "tie", F.lit(5)), F.lit(groups)))
     return dealt.groupBy("grp").applyInArrow(_pack_group(capacity, nodes), _OUT)

@@ -28,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks
+from .common import checkpointed, chunks
 
 FRAME_BYTES, BUNDLE_BYTES, LEVEL = 256 << 10, 8 << 20, 3
 _SKIPPABLE, _SEEKABLE = 0x184D2A5E, 0x8F92EAB1
@@ -128,7 +128,7 @@ def bundle_pages(pages: DataFrame, date: str = "2024-01-01T00:00:00Z", frame_byt
 
     Every row gives one record, repeated rows one each (with the same identifier).  A null html is
     an empty block, a null url leaves out the target, a null page_id is null in the index.  A record
-    larger than a frame has a frame of its own.  An empty table gives an empty result.  Other columns are ignored.
+    larger than a frame has a frame of its own, of whatever length.  An empty table gives an empty result.  Other columns are ignored.
     """
     source = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("text"))
 
@@ -145,3 +145,67 @@ def bundle_pages(pages: DataFrame, date: str = "2024-01-01T00:00:00Z", frame_byt
             yield bundle.row(part << 32 | number)
 
     return source.mapInArrow(run, _SCHEMA)
+
+
+def write_bundles(bundles: DataFrame, folder: str) -> DataFrame:
+    """Write each bundle as ``<bundle_id>.warc.zst`` in a folder that the cluster shares; returns the table of its records.
+
+    Columns: file, bundle_id, page_id, record_id, frame, offset, length, frame_start, frame_bytes.  A file is written under
+    another name first, so that a task that runs again leaves no half of one.  No bundles give an empty table, and no files.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow import fs
+
+        at, home = fs.FileSystem.from_uri(folder) if "://" in folder or folder.startswith("file:") else (fs.LocalFileSystem(), folder)
+        at.create_dir(home)
+        for batch in batches:
+            for number, data, index in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                file = f"{number}.warc.zst"
+                part = f"{home}/.{file}.{uuid.uuid4().hex}"
+                with at.open_output_stream(part) as out:
+                    out.write(data)
+                at.move(part, f"{home}/{file}")
+                frames = read_seek_table(data)
+                for e in index:
+                    e |= {"file": file, "bundle_id": number, "frame_start": frames[e["frame"]][0], "frame_bytes": frames[e["frame"]][1]}
+                yield pa.RecordBatch.from_pylist(index, schema=_RECORDS)
+
+    names = ", ".join(f"{f.name} {_SQL[f.type]}" for f in _RECORDS)
+    return checkpointed(bundles.select("bundle_id", "data", "index").mapInArrow(run, names))
+
+
+_SQL = {pa.string(): "string", pa.int64(): "long", pa.int32(): "int"}
+_RECORDS = pa.schema(
+    [("file", pa.string()), ("bundle_id", pa.int64()), ("page_id", pa.int64()), ("record_id", pa.string()), ("frame", pa.int32())]
+    + [(n, pa.int64()) for n in ("offset", "length", "frame_start", "frame_bytes")]
+)
+
+
+def read_file_record(path: str, entry: dict) -> bytes:
+    """One record of a bundle file by its entry in the table of :func:`write_bundles`: only its frame is read."""
+    from pyarrow import fs
+
+    at, where = fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (fs.LocalFileSystem(), path)
+    with at.open_input_file(where) as f:
+        f.seek(entry["frame_start"])
+        frame = zstandard.ZstdDecompressor().decompress(f.read(entry["frame_bytes"]))
+    return frame[entry["offset"] : entry["offset"] + entry["length"]]
+
+
+def find_records(bundles: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(record_id, page_id, record binary) of the records of the bundles whose record_id is wanted.
+
+    An identifier that several records have gives each of them, one that no record has none, and a null none.
+    """
+    entries = bundles.select("bundle_id", F.inline("index"))
+    ids = wanted.where(F.col("record_id").isNotNull()).select("record_id").distinct()
+    asked = entries.join(ids, "record_id").groupBy("bundle_id").agg(F.collect_list(F.struct("record_id", "page_id", "frame", "offset", "length")).alias("asked"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for data, entries_ in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                rows = [(e["record_id"], e["page_id"], read_record(data, e["frame"], e["offset"], e["length"])) for e in entries_]
+                yield pa.record_batch([pa.array(c, type=t) for c, t in zip(zip(*rows, strict=True), (pa.string(), pa.int64(), pa.binary()), strict=True)], names=["record_id", "page_id", "record"])
+
+    return bundles.join(asked, "bundle_id").select("data", "asked").mapInArrow(run, "record_id string, page_id long, record binary")

@@ -49,6 +49,15 @@ def test_bin_completion_finds_the_optimum_of_small_cases():
     assert better
 
 
+def test_search_closes_in_on_the_bound_where_best_fit_does_not():
+    rng = np.random.default_rng(1)
+    for low, high, n, gap in ((400, 1100, 600, 0.03), (300, 1000, 600, 0.03)):
+        x = rng.integers(low, high, n)
+        bins, greedy, bound = pack(x, 2048), best_fit_decreasing(x, 2048), lower_bound(x, 2048)
+        assert sorted(sum(bins, [])) == list(range(n)) and all(x[b].sum() <= 2048 for b in bins)
+        assert bound < len(bins) < len(greedy) and len(bins) <= (1 + gap) * bound
+
+
 def test_fillings_are_undominated():
     found = fillings([50, 30, 20, 10], [1, 1, 1, 1], 60, 60)
     assert (0, [0, 3]) in found
