@@ -56,6 +56,12 @@ def fresh(df: DataFrame, name: str) -> str:
     return name
 
 
+def removed(spark: SparkSession, path: str) -> None:
+    """Delete a table that was written in the shared folder."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """Cut the lineage with a reliable checkpoint in the shared folder."""
     sc = df.sparkSession.sparkContext
