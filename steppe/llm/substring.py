@@ -28,6 +28,7 @@ from operator import eq
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -266,9 +267,10 @@ def _word_bytes(w: Words) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Documents with their requests -> the words asked for: what lies outside the text is left out and counted in ``skip``."""
+    """Documents with requests for one of their texts -> the words asked for: what lies outside the text is left out and counted in ``skip``."""
     names = ["pair", "doc_id", "key", "start", "skip", "asked", "words"]
     for batch in chunks(batches):
+        batch = batch.filter(pc.equal(batch.column(2), batch.column(4)))
         w = Words(batch.column(1))
         flat, place = _word_bytes(w)
         rows, size = [], 0
@@ -374,8 +376,8 @@ def _repeats(docs: DataFrame, min_words: int, seed_words: int) -> DataFrame:
     linked = marked.mapInArrow(_run_rows(seed_words, min_words, n), _KEYED).groupBy("cls").applyInArrow(_links(n), _MATCHES)
     requests = linked.groupBy("cls").applyInArrow(_requests(min_words), "doc_id long, key long, pair long, start long, n long, asked binary")
     asked = requests.groupBy("doc_id", F.col("key").alias("asked_key")).agg(F.collect_list(F.struct("pair", "start", "n", "asked")).alias("asked"))
-    # The texts are laid out by doc_id once, for this join and the one above.
-    found = source.join(asked, "doc_id").where("key = asked_key").select("doc_id", "text", "key", "asked")
+    # The texts are laid out by doc_id once, for this join and the one above; so it isn't by key too, which the workers look at.
+    found = source.join(asked, "doc_id").select("doc_id", "text", "key", "asked", "asked_key")
     said = found.mapInArrow(_stretches, "pair long, doc_id long, key long, start long, skip long, asked binary, words binary")
     sides = said.repartition("pair").sortWithinPartitions("pair", F.col("asked").desc_nulls_last())
     return sides.mapInArrow(_compare(min_words), "doc_id long, start_word long, n_words long, other_doc_id long, other_start_word long, key long")
