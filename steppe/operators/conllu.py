@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import let
 from .segment import strip
 
 _NAMES = ("form", "lemma", "upos", "xpos", "feats", "head", "deprel", "deps", "misc")
@@ -25,7 +26,8 @@ def sentence_conllu(s: Column) -> Column:
     span = lambda t: F.when(t["id_end"].isNotNull(), F.array(F.concat(t["id_start"].cast("string"), F.lit("-"), t["id_end"].cast("string"), F.lit("\t"), t["text"], F.lit("\t_" * 8))))
     own = lambda t: F.transform(F.slice(s["words"], t["id_start"], last(t) - t["id_start"] + 1), conllu_line)
     lines = F.flatten(F.transform(s["tokens"], lambda t: F.concat(F.coalesce(span(t), F.array().cast("array<string>")), own(t))))
-    return F.array_join(F.concat(F.array(F.concat(F.lit("# text = "), s["text"])), lines), "\n")
+    # A line end in the text would end the comment.
+    return F.array_join(F.concat(F.array(F.concat(F.lit("# text = "), F.regexp_replace(s["text"], r"[\r\n]+", " "))), lines), "\n")
 
 
 def to_conllu(sentences: Column, lang: Column | None = None, script: Column | None = None) -> Column:
@@ -50,84 +52,120 @@ def split_documents(content: Column) -> Column:
     return F.when(content.contains("# newdoc"), parts).otherwise(F.array(content))
 
 
-def conllu_lines(docs: DataFrame, content: str = "content", *, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """The word lines of CoNLL-U texts: keep, sent_id, line, and the columns of a word.
+_FIELDS = ("sent_id", "line", "id", *_NAMES, "mwt_start", "mwt_end", "mwt_text", "script", "known_text")
+
+
+def _block(block: Column) -> Column:
+    """struct<text,words array<struct<k,f>>,spans array<struct<k,a,b,t>>> of the lines between two blank ones: k is a line's place, f its fields."""
+    lines = F.filter(F.transform(F.split(block, "\n"), lambda x, k: F.struct(k.alias("k"), x.alias("x"))), lambda z: z["x"] != "")
+    texts = lambda ls: F.filter(ls, lambda z: z["x"].startswith("# text = "))
+    rows = lambda ls: F.filter(F.transform(F.filter(ls, lambda z: ~z["x"].startswith("#")), lambda z: F.struct(z["k"].alias("k"), F.split(z["x"], "\t").alias("f"))), lambda z: F.size(z["f"]) == 10)
+    number = lambda x, i: F.regexp_extract(x, r"^(\d+)-(\d+)$", i).cast("int")
+    opened = lambda rs: F.transform(F.filter(rs, lambda z: z["f"][0].rlike(r"^\d+-\d+$")), lambda z: F.struct(z["k"].alias("k"), number(z["f"][0], 1).alias("a"), number(z["f"][0], 2).alias("b"), z["f"][1].alias("t")))
+    parts = lambda ls, rs: F.struct(
+        F.when(F.size(texts(ls)) > 0, strip(F.regexp_extract(F.element_at(texts(ls), -1)["x"], "=(.*)$", 1))).alias("text"),
+        F.filter(rs, lambda z: z["f"][0].rlike(r"^\d+$")).alias("words"),
+        opened(rs).alias("spans"),
+    )
+    return let(lines, lambda ls: let(rows(ls), lambda rs: parts(ls, rs)))
+
+
+def _sentences(content: Column) -> Column:
+    """The blocks that have words, with the text that stands for each: array<struct<text,words,spans>>."""
+    blocks = F.transform(F.split(F.regexp_replace(content, "\r\n?", "\n"), "\n{2,}"), _block)
+    real = lambda bs: F.filter(bs, lambda b: F.size(b["words"]) > 0)
+
+    def carried(bs: Column) -> Column:
+        """A text whose block has no words stands for the next sentence that has none of its own."""
+        none = F.lit(None).cast("string")
+        zero = F.struct(none.alias("text"), F.slice(bs, 1, 0).alias("out"))
+        own = lambda acc, b: F.coalesce(b["text"], acc["text"])
+        step = lambda acc, b: F.when(F.size(b["words"]) > 0, F.struct(none.alias("text"), F.array_append(acc["out"], b.withField("text", own(acc, b))).alias("out"))).otherwise(F.struct(own(acc, b).alias("text"), acc["out"].alias("out")))
+        return F.aggregate(bs, zero, step, lambda acc: acc["out"])
+
+    loose = lambda bs: F.exists(bs, lambda b: (F.size(b["words"]) == 0) & b["text"].isNotNull())
+    return let(blocks, lambda bs: F.when(loose(bs), carried(bs)).otherwise(real(bs)))
+
+
+def _word_fields(s: Column, i: Column, w: Column) -> dict[str, Column]:
+    """The columns of :func:`conllu_lines` for a word of the i-th sentence."""
+    blank = lambda c: F.when(c != "_", c)
+    out = {n: blank(w["f"][k]) for k, n in enumerate(_NAMES, 1)}
+    out["form"] = w["f"][1]
+    out["head"] = F.when(w["f"][6].rlike(r"^[+-]?\d+$"), w["f"][6].cast("int"))
+    number = w["f"][0].cast("int")
+    # The last span opened before the word, if the word is in it.
+    last = F.element_at(F.filter(s["spans"], lambda o: o["k"] < w["k"]), -1)
+    span = F.when((F.size(s["spans"]) > 0) & F.exists(s["spans"], lambda o: o["k"] < w["k"]), F.when(number.between(last["a"], last["b"]), last))
+    script = F.regexp_extract(F.coalesce(out["misc"], F.lit("")), r"(?:^|\|)Script=([^|]*)", 1)
+    head = {"sent_id": i, "line": F.shiftleft(i.cast("long"), 32) + w["k"], "id": number}
+    return head | out | {"mwt_start": span["a"], "mwt_end": span["b"], "mwt_text": span["t"], "script": F.when(script != "", script), "known_text": s["text"]}
+
+
+def conllu_lines(docs: DataFrame, content: str = "content", *, keep: tuple[str, ...] = ("doc_id",), fields: tuple[str, ...] = _FIELDS) -> DataFrame:
+    """The word lines of CoNLL-U texts: keep, sent_id, line, and the columns of a word, or those of them named in ``fields``.
 
     Lines without ten fields, ids of empty nodes and other ids that aren't numbers are skipped.
-    A line a-b opens a multi-word token: words from a to b carry mwt_start, mwt_end and mwt_text.
+    A line a-b opens a multi-word token: words of its sentence from a to b carry mwt_start, mwt_end and mwt_text.
     An underscore is null; a head that isn't a number is null.  ``Script=`` is read from misc, which keeps it.
-    A sentence is what lies between blank lines, and is counted from 0 if it has words.
+    A sentence is what lies between blank lines, and is counted from 0 if it has words; its text is that of the last
+    comment in it, or of blocks without words before it.  ``line`` orders the lines of a text.
+    Each text is read within its row: nothing is shuffled.
     """
-    lines = docs.select(*keep, F.posexplode(F.split(F.regexp_replace(content, "\r\n?", "\n"), "\n")).alias("line", "__l"))
-    order = Window.partitionBy(*keep).orderBy("line")
-    fields = F.split("__l", "\t")
-    lines = lines.withColumn("__block", F.sum(F.when(F.col("__l") == "", 1).otherwise(0)).over(order)).withColumn("__f", F.when((F.size(fields) == 10) & ~F.col("__l").startswith("#"), fields))
-    text = F.when(F.col("__l").startswith("# text = "), strip(F.regexp_extract("__l", "=(.*)$", 1)))
-    lines = lines.withColumn("__id", F.when(F.col("__f")[0].rlike(r"^\d+$"), F.col("__f")[0].cast("int"))).withColumn("__text", text)
-    opened = F.when(F.col("__f")[0].rlike(r"^\d+-\d+$"), F.struct(F.regexp_extract(F.col("__f")[0], r"^(\d+)-", 1).cast("int").alias("a"), F.regexp_extract(F.col("__f")[0], r"-(\d+)$", 1).cast("int").alias("b"), F.col("__f")[1].alias("t")))
-    lines = lines.withColumn("__mwt", F.last(opened, ignorenulls=True).over(order)).where(F.col("__id").isNotNull() | F.col("__text").isNotNull())
-    # A text stands for the sentence of its block, or the next one if its block has no words.
-    so_far = Window.partitionBy(*keep).orderBy("__block")
-    text = F.max(F.when(F.col("__text").isNotNull(), F.struct("line", "__block", "__text"))).over(so_far.rangeBetween(Window.unboundedPreceding, 0))
-    before = F.max(F.when(F.col("__id").isNotNull(), F.col("__block"))).over(so_far.rangeBetween(Window.unboundedPreceding, -1))
-    lines = lines.withColumn("__known", F.when(F.coalesce(text["__block"] > before, F.lit(True)), text["__text"]))
-    found = lines.where(F.col("__id").isNotNull())
-    blank = lambda c: F.when(c != "_", c)
-    out = {n: blank(F.col("__f")[i]) for i, n in enumerate(_NAMES, 1)}
-    out["form"] = F.col("__f")[1]
-    out["head"] = F.when(F.col("__f")[6].rlike(r"^[+-]?\d+$"), F.col("__f")[6].cast("int"))
-    inside = F.col("__id").between(F.col("__mwt.a"), F.col("__mwt.b"))
-    script = F.regexp_extract(F.coalesce(out["misc"], F.lit("")), r"(?:^|\|)Script=([^|]*)", 1)
-    return found.select(
-        *keep,
-        (F.dense_rank().over(Window.partitionBy(*keep).orderBy("__block")) - 1).alias("sent_id"),
-        "line",
-        F.col("__id").alias("id"),
-        *[c.alias(n) for n, c in out.items()],
-        F.when(inside, F.col("__mwt.a")).alias("mwt_start"),
-        F.when(inside, F.col("__mwt.b")).alias("mwt_end"),
-        F.when(inside, F.col("__mwt.t")).alias("mwt_text"),
-        F.when(script != "", script).alias("script"),
-        F.col("__known").alias("known_text"),
-    )
+    each = lambda s, i: F.transform(s["words"], lambda w: F.struct(*[c.alias(n) for n, c in _word_fields(s, i, w).items() if n in fields]))
+    return docs.select(*keep, F.inline(F.flatten(F.transform(_sentences(F.col(content)), each)))).select(*keep, *fields)
 
 
 def parse_conllu(docs: DataFrame, content: str = "content", *, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """Documents of CoNLL-U texts: keep, sentences (as of the tokenizers, without offsets), text, lang and script.
 
     A sentence's text is its comment's, or else its words joined by spaces; a document's text is
-    that of its sentences, joined by blank lines.
+    that of its sentences, joined by blank lines.  Each text is read within its row.
     """
-    w = conllu_lines(docs, content, keep=keep)
     null = lambda t: F.lit(None).cast(t)
-    word = F.struct(
-        "id", F.col("form").alias("text"), "lemma", "upos", "xpos", "feats", "head", "deprel", "deps", "misc", null("string").alias("ner"), null("int").alias("start_char"), null("int").alias("end_char"), "script"
-    )
-    token = F.when(F.col("mwt_start").isNull() | (F.col("id") == F.col("mwt_end")), F.struct(F.coalesce("mwt_start", "id").alias("id_start"), F.col("mwt_end").alias("id_end"), F.coalesce("mwt_text", "form").alias("text"), null("int").alias("start_char"), null("int").alias("end_char")))
-    grouped = w.groupBy(*keep, "sent_id").agg(F.array_sort(F.collect_list(F.struct("line", word.alias("w"), token.alias("t")))).alias("__x"), F.max_by("known_text", "line").alias("__known"))
-    sentence = F.struct(
-        F.coalesce(F.when(F.col("__known") != "", F.col("__known")), F.array_join(F.transform("__x", lambda x: x["w"]["text"]), " ")).alias("text"),
-        F.filter(F.transform("__x", lambda x: x["t"]), lambda t: t.isNotNull()).alias("tokens"),
-        F.transform("__x", lambda x: x["w"]).alias("words"),
-    )
-    found = grouped.groupBy(*keep).agg(F.array_sort(F.collect_list(F.struct("sent_id", sentence.alias("s")))).alias("__s"))
-    found = found.select(*[F.col(k).alias(f"__{k}") for k in keep], F.transform("__s", lambda x: x["s"]).alias("sentences"))
+
+    def word(f: Column) -> Column:
+        own = {n: f[n] for n in ("id", "lemma", "upos", "xpos", "feats", "head", "deprel", "deps", "misc", "script")} | {"text": f["form"], "ner": null("string"), "start_char": null("int"), "end_char": null("int")}
+        return F.struct(*[own[n].alias(n) for n in "id text lemma upos xpos feats head deprel deps misc ner start_char end_char script".split()])
+
+    def token(f: Column) -> Column:
+        first = F.coalesce(f["mwt_start"], f["id"]).alias("id_start")
+        made = F.struct(first, f["mwt_end"].alias("id_end"), F.coalesce(f["mwt_text"], f["form"]).alias("text"), null("int").alias("start_char"), null("int").alias("end_char"))
+        return F.when(f["mwt_start"].isNull() | (f["id"] == f["mwt_end"]), made)
+
+    def sentence(s: Column, i: Column) -> Column:
+        rows = F.transform(s["words"], lambda w: F.struct(*[c.alias(n) for n, c in _word_fields(s, i, w).items()]))
+        text = lambda fs: F.coalesce(F.when(s["text"] != "", s["text"]), F.array_join(F.transform(fs, lambda f: f["form"]), " "))
+        return let(rows, lambda fs: F.struct(text(fs).alias("text"), F.filter(F.transform(fs, token), lambda t: t.isNotNull()).alias("tokens"), F.transform(fs, word).alias("words")))
+
     comment = lambda n: F.when(F.col(content).rlike(rf"(?m)^# {n} = "), F.trim(F.element_at(F.regexp_extract_all(content, F.lit(rf"(?m)^# {n} = (.*)$"), F.lit(1)), -1)))
-    on = [docs[k].eqNullSafe(found[f"__{k}"]) for k in keep]
-    joined = docs.join(found, on, "left").withColumn("sentences", F.coalesce("sentences", F.array().cast(found.schema["sentences"].dataType)))
-    return joined.select(*keep, F.array_join(F.transform("sentences", lambda s: s["text"]), "\n\n").alias("text"), comment("lang").alias("lang"), comment("script").alias("script"), "sentences")
+    found = F.coalesce(F.transform(_sentences(F.col(content)), sentence), F.array())
+    parsed = docs.select(*keep, content, found.alias("sentences"))
+    return parsed.select(*keep, F.array_join(F.transform("sentences", lambda s: s["text"]), "\n\n").alias("text"), comment("lang").alias("lang"), comment("script").alias("script"), "sentences")
 
 
 def dependencies(words: DataFrame, *keys: str) -> DataFrame:
-    """Rows (keys, sent_id, id, text, deprel, head, head_text); the root has a null head_text.
+    """Rows (keys, sent_id, id, text, deprel, head, head_text) of a table of words; the root has a null head_text.
 
-    Words without a head or relation are left out.  Heads are looked up by equality in a self join.
+    Words without a head or relation are left out.  Heads are looked up by equality in a self join: for
+    sentences that are still nested, :func:`dependency_rows` needs none.
     """
     own = words.where(F.col("head").isNotNull() & F.col("deprel").isNotNull()).select(*keys, "sent_id", "id", "text", "deprel", "head")
     heads = words.select(*keys, "sent_id", F.col("id").alias("head"), F.col("text").alias("head_text"))
     return own.join(heads, [*keys, "sent_id", "head"], "left").select(*keys, "sent_id", "id", "text", "deprel", "head", "head_text")
 
 
+def dependency_rows(docs: DataFrame, *keep: str, sentences: str = "sentences") -> DataFrame:
+    """The rows of :func:`dependencies` from nested sentences whose words are numbered from 1 in order, without a shuffle."""
+
+    def own(s: Column, i: Column) -> Column:
+        head = lambda w: F.when(w["head"] > 0, F.try_element_at(s["words"], w["head"])["text"])
+        row = lambda w: F.struct(i.alias("sent_id"), w["id"].alias("id"), w["text"].alias("text"), w["deprel"].alias("deprel"), w["head"].alias("head"), head(w).alias("head_text"))
+        return F.transform(F.filter(s["words"], lambda w: w["head"].isNotNull() & w["deprel"].isNotNull()), row)
+
+    return docs.select(*keep, F.inline(F.flatten(F.transform(sentences, own))))
+
+
 def sentence_dependencies(sentence: Column) -> Column:
     """The same within a nested sentence, without a join: array<struct<head_text,deprel,text>>."""
     own = F.filter(sentence["words"], lambda w: w["head"].isNotNull() & w["deprel"].isNotNull())

@@ -36,7 +36,7 @@ def split_sentences(text: Column, enders: str = ".!?") -> Column:
     return F.filter(F.transform(F.split(text, f"(?U)(?<=[{enders}]){_S}+"), strip), lambda s: s != "")
 
 
-def _starts(lengths: Column) -> Column:
+def running(lengths: Column) -> Column:
     """Running total of the lengths before each element."""
     zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("starts"))
     return F.aggregate(
@@ -73,6 +73,39 @@ def token_texts(sentence: Column) -> Column:
     return F.flatten(F.transform(F.regexp_extract_all(sentence, F.lit(f"(?U)({_NOT_S}+)"), F.lit(1)), _pieces))
 
 
+def placed_texts(sentence: Column, offset: Column) -> Column:
+    """Words of a sentence with their offsets: array<struct<id,text,punct,start_char>>, for when nothing else of a word is needed."""
+    one = lambda text, punct, at: F.struct(text.alias("text"), F.lit(punct).alias("punct"), at.alias("start_char"))
+
+    def pieces(token: Column, at: Column) -> Column:
+        """As :func:`_pieces`, with offsets."""
+
+        def split(stem: Column) -> Column:
+            marks = F.split(F.substring(token, F.length(stem) + 1, F.length(token)), "(?!$)")
+            return F.when(stem != "", F.concat(F.array(one(stem, False, at)), F.transform(marks, lambda c, k: one(c, True, at + F.length(stem) + k)))).otherwise(F.array(one(token, False, at)))
+
+        return F.when(F.substring(token, -1, 1).isin(*_MARKS), let(F.regexp_extract(token, _TRAILING, 1), split)).otherwise(F.array(one(token, False, at)))
+
+    def regular(tokens: Column) -> Column:
+        """One character of white space stands between any two tokens, as nearly everywhere."""
+        return F.flatten(F.zip_with(tokens, running(F.transform(tokens, lambda t: F.length(t) + 1)), lambda t, at: pieces(t, offset + at)))
+
+    def any_gaps(runs: Column) -> Column:
+        starts = running(F.transform(runs, F.length))
+        return F.flatten(F.zip_with(runs, starts, lambda r, at: F.when(~r.rlike(f"(?U)^{_S}"), pieces(r, offset + at)).otherwise(F.array())))
+
+    wide = sentence.rlike(f"(?U){_S}{{2}}")
+    placed = F.when(wide, let(F.regexp_extract_all(sentence, F.lit(f"(?U)({_S}+|{_NOT_S}+)"), F.lit(1)), any_gaps)).otherwise(let(F.split(sentence, f"(?U){_S}"), regular))
+    return F.transform(placed, lambda w, i: F.struct((i + 1).alias("id"), w["text"].alias("text"), w["punct"].alias("punct"), w["start_char"].alias("start_char")))
+
+
+def word_offsets(docs: DataFrame, *keep: str, text: str = "text") -> DataFrame:
+    """A row for each word: the kept columns, sent_id from 0, id, text, punct and start_char, as :func:`tokenize` and :func:`words` have them."""
+    sentences = docs.select(*keep, split_sentences(F.col(text)).alias("s"))
+    placed = sentences.select(*keep, F.posexplode(F.arrays_zip(F.col("s"), running(F.transform("s", lambda s: F.length(s) + 1)).alias("at"))).alias("sent_id", "z"))
+    return placed.select(*keep, "sent_id", F.inline(placed_texts(F.col("z.s"), F.col("z.at"))))
+
+
 def _word(i: Column, text: Column, punct: Column, start: Column) -> Column:
     # Nulls of the right type from the start: casting the struct would copy every word.
     null, number = F.lit(None).cast("string"), F.lit(None).cast("int")
@@ -91,7 +124,7 @@ def _sentence(text: Column, offset: Column, space: str, not_space: str, pieces)
     parts = F.flatten(F.transform(runs, lambda r: F.when(r.rlike(f"(?U)^{space}"), gap(r)).otherwise(pieces(r))))
 
     def placed(parts: Column) -> Column:
-        starts = _starts(F.transform(parts, lambda p: F.length(p["text"])))
+        starts = running(F.transform(parts, lambda p: F.length(p["text"])))
         real = F.filter(F.arrays_zip(parts.alias("p"), starts.alias("at")), lambda z: z["p"]["punct"].isNotNull())
         return F.transform(real, lambda z, i: _word(i, z["p"]["text"], z["p"]["punct"], offset + z["at"]))
 
@@ -104,7 +137,7 @@ def _sentence(text: Column, offset: Column, space: str, not_space: str, pieces)
 
 def _annotated(sentences: Column, space: str, not_space: str, pieces) -> Column:
     def build(sentences: Column) -> Column:
-        offsets = _starts(F.transform(sentences, lambda s: F.length(s) + 1))
+        offsets = running(F.transform(sentences, lambda s: F.length(s) + 1))
         return F.transform(F.arrays_zip(sentences.alias("s"), offsets.alias("at")), lambda z: _sentence(z["s"], z["at"], space, not_space, pieces))
 
     return F.when(sentences.isNotNull(), let(sentences, build))
@@ -134,7 +167,7 @@ def tokenize_by_script(docs: DataFrame, script: str, text: str = "text", out: st
 def true_sentence_starts(text: Column, enders: str = ".!?") -> Column:
     """Exact offsets of the sentences that :func:`split_sentences` finds, as array<int>."""
     runs = F.split(text, f"(?U)(?<=[{enders}])(?={_S})")
-    zipped = F.arrays_zip(runs.alias("r"), _starts(F.transform(runs, F.length)).alias("at"))
+    zipped = F.arrays_zip(runs.alias("r"), running(F.transform(runs, F.length)).alias("at"))
     lead = lambda r: F.length(r) - F.length(F.regexp_replace(r, f"(?U)^{_S}+", ""))
     return F.transform(F.filter(zipped, lambda z: strip(z["r"]) != ""), lambda z: z["at"] + lead(z["r"]))
 
@@ -164,7 +197,7 @@ def expand_multiword(docs: DataFrame, rules: DataFrame, sentences: str = "senten
         return let(F.transform(sentence["tokens"], lambda t: words_of(t, sentence["words"])), lambda parts: place(sentence, parts))
 
     def place(sentence: Column, parts: Column) -> Column:
-        placed = F.arrays_zip(parts.alias("p"), _starts(F.transform(parts, lambda p: F.size(p["words"]))).alias("at"))
+        placed = F.arrays_zip(parts.alias("p"), running(F.transform(parts, lambda p: F.size(p["words"]))).alias("at"))
         end = lambda z: F.when(z["p"]["rule"], z["at"] + F.size(z["p"]["words"]))
         tokens = F.transform(placed, lambda z: z["p"]["token"].withField("id_start", z["at"] + 1).withField("id_end", end(z)))
         words = F.transform(F.flatten(F.transform(parts, lambda p: p["words"])), lambda w, i: w.withField("id", i + 1))

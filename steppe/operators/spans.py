@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import let
+from .segment import running
+
 
 def bioes_to_bio(tag: Column) -> Column:
     """S becomes B, E becomes I; anything without a prefix and a label is O."""
@@ -34,3 +37,41 @@ def spans(words: DataFrame, *sentence: str, tag: str = "tag") -> DataFrame:
     )
     number = F.row_number().over(Window.partitionBy(*sentence).orderBy("__run"))
     return found.select(*sentence, number.alias("span"), "type", "text", "start_char", "end_char", "word_ids")
+
+
+def sentence_spans(words: Column, tag: str = "tag") -> Column:
+    """The spans of :func:`spans` within one sentence, without a shuffle: array<struct<type,text,start_char,end_char,word_ids>>.
+
+    ``words`` is an array of struct<id,text,start_char,end_char,tag> in order.
+    """
+    # A letter for each word: what follows a B up to the next B begins with the span.
+    letter = lambda w: F.when(w[tag].startswith("B-"), "B").when(w[tag].startswith("I-"), "I").otherwise("O")
+    codes = F.array_join(F.transform(words, letter), "", "O")
+    pieces = F.split(codes, "(?=B)")
+    placed = let(pieces, lambda ps: F.arrays_zip(ps.alias("p"), running(F.transform(ps, F.length)).alias("at")))
+
+    def span(z: Column) -> Column:
+        own = F.slice(words, z["at"] + 1, F.length(F.regexp_extract(z["p"], "^BI*", 0)))
+        ends = lambda ws: F.filter(F.transform(ws, lambda w: w["end_char"]), lambda e: F.coalesce(e, F.lit(0)) != 0)
+        made = lambda ws: F.struct(
+            F.substring(ws[0][tag], 3, 1 << 20).alias("type"),
+            F.array_join(F.transform(ws, lambda w: w["text"]), " ").alias("text"),
+            F.coalesce(ws[0]["start_char"], F.lit(0)).alias("start_char"),
+            F.coalesce(F.try_element_at(ends(ws), F.lit(-1)), F.lit(0)).alias("end_char"),
+            F.transform(ws, lambda w: w["id"]).alias("word_ids"),
+        )
+        return let(own, made)
+
+    return F.transform(F.filter(placed, lambda z: z["p"].startswith("B")), span)
+
+
+def span_rows(docs: DataFrame, *keep: str, sentences: str, tag: str = "tag") -> DataFrame:
+    """Rows (keep, sent_id, span from 1, type, text, start_char, end_char, word_ids) of documents whose ``sentences`` are arrays of tagged words."""
+    numbered = lambda ws, i: F.transform(sentence_spans(ws, tag), lambda x, k: F.struct(i.alias("sent_id"), (k + 1).alias("span"), *[x[n].alias(n) for n in ("type", "text", "start_char", "end_char", "word_ids")]))
+    return docs.select(*keep, F.inline(F.flatten(F.transform(sentences, numbered))))
+
+
+def entities(docs: DataFrame, *keep: str, sentences: str = "sentences") -> DataFrame:
+    """The entities of annotated documents: the spans of the BIO tags in ``ner`` of their words."""
+    tagged = F.transform(sentences, lambda s: F.transform(s["words"], lambda w: F.struct(w["id"].alias("id"), w["text"].alias("text"), w["start_char"].alias("start_char"), w["end_char"].alias("end_char"), w["ner"].alias("tag"))))
+    return span_rows(docs.select(*keep, tagged.alias("tagged_words")), *keep, sentences="tagged_words")

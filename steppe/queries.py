@@ -38,15 +38,11 @@ def _query(sql: str | None = None):
     return add
 
 
-#: Bytes of input for each core below which a table is dealt out first, as a small file is read by one task.
-_SMALL = 16 << 20
-
-
 def _docs(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select(*(columns or ("doc_id", "text")))
-    cores = spark.sparkContext.defaultParallelism
-    size = docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
-    return docs.repartition(cores) if int(str(size)) < cores * _SMALL else docs
+    # A session on one machine deals the rows to its cores, as it reads a file of one row group by one task; a cluster reads tables as they lie.
+    local = spark.sparkContext.master.startswith("local[")
+    return docs.repartition(spark.sparkContext.defaultParallelism) if local else docs
 
 
 def _quoted(x: object) -> str:
@@ -118,19 +114,19 @@ def punct_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _words(spark, sf_dir).where("punct").groupBy(F.col("text").alias("mark")).agg(F.count("*").alias("n"))
 
 
-@_query(
-    rf"""WITH {_SENTENCES},
+_PLACED = rf"""{_SENTENCES},
     o AS (SELECT *, coalesce(sum(length(s) + 1) OVER (PARTITION BY doc_id ORDER BY sent_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS base FROM s),
     r AS (SELECT doc_id, sent_id, base, unnest(range(len(x))) AS i, unnest(x) AS run FROM (SELECT *, regexp_extract_all(s, '\s+|\S+') AS x FROM o)),
     q AS (SELECT *, base + coalesce(sum(length(run)) OVER (PARTITION BY doc_id, sent_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS pos FROM r),
     z AS (SELECT doc_id, sent_id, i, pos, list_transform([run], lambda t: {_PIECES})[1] AS p FROM q WHERE NOT regexp_matches(run, '^\s')),
-    y AS (SELECT doc_id, sent_id, i, pos, unnest(range(len(p))) AS k, unnest(p) AS x FROM z)
-    SELECT doc_id, sent_id, CAST(row_number() OVER (PARTITION BY doc_id, sent_id ORDER BY i, k) AS INTEGER) AS id, x.t AS text,
-           CAST(pos + CASE WHEN k = 0 THEN 0 ELSE length(first_value(x.t) OVER (PARTITION BY doc_id, sent_id, i ORDER BY k)) + k - 1 END AS INTEGER) AS start_char
-    FROM y"""
-)
+    y AS (SELECT doc_id, sent_id, i, pos, unnest(range(len(p))) AS k, unnest(p) AS x FROM z),
+    w AS (SELECT doc_id, sent_id, CAST(row_number() OVER (PARTITION BY doc_id, sent_id ORDER BY i, k) AS INTEGER) AS id, x.t AS text, x.p AS punct,
+          CAST(pos + CASE WHEN k = 0 THEN 0 ELSE length(first_value(x.t) OVER (PARTITION BY doc_id, sent_id, i ORDER BY k)) + k - 1 END AS INTEGER) AS start_char FROM y)"""
+
+
+@_query(f"WITH {_PLACED} SELECT doc_id, sent_id, id, text, start_char FROM w")
 def word_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return S.words(S.tokenize(_docs(spark, sf_dir)), "doc_id").select("doc_id", "sent_id", "id", "text", "start_char")
+    return S.word_offsets(_docs(spark, sf_dir), "doc_id").select("doc_id", "sent_id", "id", "text", "start_char")
 
 
 @_query(f"SELECT doc_id, len(regexp_extract_all(text, '{_LATIN}')) AS latin, CAST(0 AS BIGINT) AS cyrillic FROM documents")
@@ -187,7 +183,7 @@ def normalize_nfc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @_query("SELECT doc_id, strip_accents(text) AS text FROM (SELECT doc_id, regexp_replace(text, '[^\\x{0}-\\x{24F}]', '', 'g') AS text FROM documents)")
-def strip_diacritics(spark: SparkSession, sf_dir: str) -> DataFrame:
+def strip_marks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _docs(spark, sf_dir).select("doc_id", T.strip_marks(F.regexp_replace("text", r"[^\x{0}-\x{24F}]", "")).alias("text"))
 
 
@@ -275,11 +271,10 @@ def translit_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
 def conllu_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents written as CoNLL-U and read again."""
     docs = S.tokenize(_docs(spark, sf_dir)).select("doc_id", C.to_conllu(F.col("sentences"), F.lit("en"), F.lit("Latn")).alias("content"))
-    lines = C.conllu_lines(docs)
-    return lines.select("doc_id", "sent_id", "id", "form", "upos")
+    return C.conllu_lines(docs, fields=("sent_id", "id", "form", "upos"))
 
 
-@_query(f"WITH {_SENTENCES} SELECT doc_id, string_agg(regexp_replace(regexp_extract(s, '^[^\n]*'), '^\\s+|\\s+$', '', 'g'), chr(10) || chr(10) ORDER BY sent_id) AS text, 'en' AS lang, 'Latn' AS script, count(*) AS sentences FROM s GROUP BY doc_id")
+@_query(f"WITH {_SENTENCES} SELECT doc_id, string_agg(regexp_replace(s, '[\\r\\n]+', ' ', 'g'), chr(10) || chr(10) ORDER BY sent_id) AS text, 'en' AS lang, 'Latn' AS script, count(*) AS sentences FROM s GROUP BY doc_id")
 def conllu_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = S.tokenize(_docs(spark, sf_dir)).where(F.size("sentences") > 0).select("doc_id", C.to_conllu(F.col("sentences"), F.lit("en"), F.lit("Latn")).alias("content"))
     return C.parse_conllu(docs).select("doc_id", "text", "lang", "script", F.size("sentences").cast("long").alias("sentences"))
@@ -294,9 +289,10 @@ def doc_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     return back.select("doc_id", F.size("s").cast("long").alias("sentences"), F.size(all_words).cast("long").alias("words"), F.size(F.filter(all_words, lambda w: w["upos"] == "PUNCT")).cast("long").alias("punct"))
 
 
-def _chained(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Words whose head is the word before."""
-    return _words(spark, sf_dir).withColumn("head", F.col("id") - 1).withColumn("deprel", F.when(F.col("id") > 1, F.lit("dep")).when(~F.col("punct"), F.lit("root")))
+def _nested(spark: SparkSession, sf_dir: str, word) -> DataFrame:
+    """(doc_id, sentences): arrays of what ``word`` makes of each word (struct<text,punct>) and its place."""
+    docs = _docs(spark, sf_dir).select("doc_id", S.split_sentences(F.col("text")).alias("s"))
+    return docs.select("doc_id", F.transform("s", lambda s: F.transform(S.token_texts(s), word)).alias("sentences"))
 
 
 @_query(
@@ -304,7 +300,10 @@ def _chained(spark: SparkSession, sf_dir: str) -> DataFrame:
     lag(text) OVER (PARTITION BY doc_id, sent_id ORDER BY id) AS head_text FROM w QUALIFY id > 1 OR NOT punct"""
 )
 def dependency_triples(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return C.dependencies(_chained(spark, sf_dir), "doc_id")
+    # The head of a word is the word before it.
+    deprel = lambda x, i: F.when(i > 0, F.lit("dep")).when(~x["punct"], F.lit("root"))
+    docs = _nested(spark, sf_dir, lambda x, i: F.struct((i + 1).alias("id"), x["text"].alias("text"), i.alias("head"), deprel(x, i).alias("deprel")))
+    return C.dependency_rows(docs.select("doc_id", F.transform("sentences", lambda ws: F.struct(ws.alias("words"))).alias("sentences")), "doc_id")
 
 
 _RULES = [("the", ["th", "e"]), ("der", ["d", "e", "r"]), ("Que", ["Q", "ue"])]
@@ -446,17 +445,21 @@ def unknown_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @_query(
-    f"""WITH {_WORDS},
+    f"""WITH {_PLACED},
     t AS (SELECT *, CASE WHEN punct THEN 'O' WHEN regexp_matches(text, '^[A-Z]') THEN 'B-CAP' WHEN length(text) > 8 THEN 'I-CAP' ELSE 'O' END AS tag FROM w),
     g AS (SELECT *, sum(CASE WHEN tag LIKE 'I-%' THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id, sent_id ORDER BY id) AS run FROM t),
-    k AS (SELECT doc_id, sent_id, run, string_agg(text, ' ' ORDER BY id) AS text, count(*) AS words FROM g GROUP BY ALL HAVING min_by(tag, id) LIKE 'B-%')
-    SELECT doc_id, sent_id, CAST(row_number() OVER (PARTITION BY doc_id, sent_id ORDER BY run) AS INTEGER) AS span, 'CAP' AS type, text, words FROM k"""
+    k AS (SELECT doc_id, sent_id, run, string_agg(text, ' ' ORDER BY id) AS text, min(start_char) AS start_char, max(start_char + length(text)) AS end_char,
+                 string_agg(CAST(id AS VARCHAR), ' ' ORDER BY id) AS word_ids FROM g GROUP BY ALL HAVING min_by(tag, id) LIKE 'B-%')
+    SELECT doc_id, sent_id, CAST(row_number() OVER (PARTITION BY doc_id, sent_id ORDER BY run) AS INTEGER) AS span, 'CAP' AS type, text, start_char, CAST(end_char AS INTEGER) AS end_char, word_ids FROM k"""
 )
 def bio_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Spans of a capitalised word and the long words after it, tagged as a BIOES tagger would."""
-    tag = F.when(F.col("punct"), F.lit("O")).when(F.col("text").rlike("^[A-Z]"), F.lit("S-CAP")).when(F.length("text") > 8, F.lit("E-CAP")).otherwise(F.lit("O"))
-    tagged = _words(spark, sf_dir).withColumn("tag", P.bioes_to_bio(tag)).withColumn("start_char", F.lit(0)).withColumn("end_char", F.lit(0))
-    return P.spans(tagged, "doc_id", "sent_id").select("doc_id", "sent_id", "span", "type", "text", F.size("word_ids").cast("long").alias("words"))
+    tag = lambda w: F.when(w["punct"], F.lit("O")).when(w["text"].rlike("^[A-Z]"), F.lit("S-CAP")).when(F.length(w["text"]) > 8, F.lit("E-CAP")).otherwise(F.lit("O"))
+    word = lambda w: F.struct(w["id"].alias("id"), w["text"].alias("text"), w["start_char"].alias("start_char"), (w["start_char"] + F.length(w["text"])).alias("end_char"), P.bioes_to_bio(tag(w)).alias("tag"))
+    docs = _docs(spark, sf_dir).select("doc_id", S.split_sentences(F.col("text")).alias("s"))
+    placed = F.transform(F.arrays_zip(F.col("s"), S.running(F.transform("s", lambda s: F.length(s) + 1)).alias("at")), lambda z: F.transform(S.placed_texts(z["s"], z["at"]), word))
+    found = P.span_rows(docs.select("doc_id", placed.alias("sentences")), "doc_id", sentences="sentences")
+    return found.withColumn("word_ids", F.array_join(F.transform("word_ids", lambda i: i.cast("string")), " "))
 
 
 _EDITS = [(0, "Geldim", "-3+mek", "gelmek"), (1, "EV", "0", "ev"), (2, "kitap", "-0+lar", "kitaplar"), (3, "ab", "<unk>", "ab"), (4, "abc", "-9+x", "x"), (5, "evler", "-3", "ev")]
