@@ -334,3 +334,25 @@ def segment(word: Column, lemma: Column, upos: Column, feats: Column, tags: Colu
         return pd.DataFrame({"morphemes": [None if m is None else [{"surface": s, "label": n} for s, n in m] for m, _ in found], "source": [s for _, s in found]})
 
     return F.when(word.isNotNull(), run(word, lemma, upos, feats, tags))
+
+
+def segment_sentences(words: Column, rows: str, lang: str, script: str) -> Column:
+    """Morphemes of nested words (array<array<struct<text,lemma,upos,feats>>>): array<array<array<struct<surface,label>>>>."""
+
+    @pandas_udf("array<array<array<struct<surface:string,label:string>>>>")
+    def run(docs: pd.Series) -> pd.Series:
+        own = _segmenter(rows, lang, script)
+        one = lambda w: [{"surface": s, "label": n} for s, n in own.segment(w["text"], w["lemma"], w["upos"], w["feats"], None)[0]]
+        return docs.map(lambda d: None if d is None else [[one(w) for w in s] for s in d])
+
+    return run(words)
+
+
+def segment_text(text: Column, rows: str, lang: str, script: str) -> Column:
+    """Morphemes of the words of a text that stand between white space, without annotation: each word as one stem."""
+    from .segment import strip
+
+    none = F.lit(None).cast("string")
+    words = F.filter(F.split(strip(text), r"(?U)\s+"), lambda w: w != "")
+    made = F.transform(words, lambda w: F.struct(w.alias("text"), none.alias("lemma"), none.alias("upos"), none.alias("feats")))
+    return F.get(segment_sentences(F.array(made), rows, lang, script), F.lit(0))

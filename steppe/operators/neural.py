@@ -49,7 +49,8 @@ def _worker(factory: Callable[[], Callable], result: T.DataType, batch: int):
             yield pd.Series(out, dtype=object)
 
     run.__annotations__ = {"parts": Iterator[pd.Series], "return": Iterator[pd.Series]}
-    return F.pandas_udf(run, result)
+    # So that its result is kept as a column of its own: merged into the lambdas that use it, it couldn't be evaluated.
+    return F.pandas_udf(run, result).asNondeterministic()
 
 
 def predict(x: Column, factory: Callable[[], Callable], result: T.DataType, batch: int = 32) -> Column:
@@ -108,20 +109,25 @@ def annotate_sentences(docs: DataFrame, factory: Callable[[], Callable], fields:
 
 def embed(docs: DataFrame, factory: Callable[[], Callable], text: str = "text", sentences: str = "sentences", normalize: bool = True) -> DataFrame:
     """Add doc_embedding, of the whole text, and sentence_embeddings; a document without sentences has one of its whole text."""
-    from .vectors import l2_normalize
-
     vector = T.ArrayType(T.DoubleType())
     texts = F.transform(sentences, lambda s: s["text"])
     texts = F.when(F.size(texts) > 0, texts).otherwise(F.array(F.col(text)))
 
-    def many():
+    def one():
         model = factory()
+        return lambda given: [_unit(v) if normalize else list(v) for v in model(list(given))]
+
+    def many():
+        model = one()
         return lambda documents: [model(list(d)) for d in documents]
 
-    out = docs.withColumn("doc_embedding", predict(F.col(text), factory, vector)).withColumn("sentence_embeddings", predict(texts, many, T.ArrayType(vector)))
-    if normalize:
-        out = out.withColumn("doc_embedding", l2_normalize(F.col("doc_embedding"))).withColumn("sentence_embeddings", F.transform("sentence_embeddings", l2_normalize))
-    return out
+    return docs.withColumn("doc_embedding", predict(F.col(text), one, vector)).withColumn("sentence_embeddings", predict(texts, many, T.ArrayType(vector)))
+
+
+def _unit(v) -> list[float]:
+    """As vectors.l2_normalize, in the worker: Spark doesn't evaluate the result of a worker within a lambda."""
+    norm = max(sum(float(x) ** 2 for x in v) ** 0.5, 1e-12)
+    return [float(x) / norm for x in v]
 
 
 def translate(docs: DataFrame, factory: Callable[[], Callable], sentences: str = "sentences") -> DataFrame:
@@ -144,3 +150,27 @@ def resolve_translation_code(value: Column, codes: DataFrame, docs: DataFrame, s
     if strict:
         code = F.coalesce(code, F.raise_error(F.concat(F.lit("no translation code for "), F.coalesce("__v", F.lit("null")))))
     return out.withColumn("translation_code", code).drop("__v", "__k", "__full", "__k2", "__short")
+
+
+def align_subwords(vectors: Column, word_ids: Column) -> Column:
+    """The vector of each word's first sub-word: ``word_ids`` has the place (from 0) of each sub-word's word, null for special ones.
+
+    A word without a sub-word of its own, as where the encoder cut the sentence, has a null vector.
+    """
+    n = F.coalesce(F.array_max(word_ids), F.lit(-1)) + 1
+    first = lambda i: F.array_position(word_ids, i).cast("int")
+    return F.when(n > 0, F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.when(first(i) > 0, F.try_element_at(vectors, first(i))))).otherwise(F.slice(vectors, 1, 0))
+
+
+def spread_tags(tags: Column, tokens: Column) -> Column:
+    """Tags of a sentence's words from those of its tokens (array<struct<id_start,id_end>>): a multi-word token's words share its tag.
+
+    Of a B tag the words after the first have the I tag; tokens beyond the tags are O, and so are those with a null tag.
+    """
+    def own(t: Column, k: Column) -> Column:
+        tag = F.coalesce(F.get(tags, k), F.lit("O"))
+        n = F.coalesce(t["id_end"], t["id_start"]) - t["id_start"] + 1
+        inside = F.when(tag.startswith("B-"), F.concat(F.lit("I-"), F.substring(tag, 3, 1 << 20))).otherwise(tag)
+        return F.concat(F.array(tag), F.array_repeat(inside, n - 1))
+
+    return F.flatten(F.transform(tokens, own))
