@@ -6,6 +6,8 @@ it is; here are the pieces around them.
 
 from __future__ import annotations
 
+import re
+import tempfile
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -37,8 +39,12 @@ def scripts_by_window(stream: DataFrame, time: str = "ts", window: str = "10 min
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that the whole cluster shares, from ``spark.checkpoint.dir``; a local one only where none is named, as in tests."""
-    import tempfile
+    """The folder that the whole cluster shares, from ``spark.checkpoint.dir``.
 
-    where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    return where or spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="steppe-")
+    Where none is named a session on one machine, as in tests, gets one of that machine; on a cluster that is an error.
+    """
+    sc = spark.sparkContext
+    where = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
+    if not where and not re.fullmatch(r"local(\[[^\]]*\])?", sc.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that the whole cluster shares")
+    return where or tempfile.mkdtemp(prefix="steppe-")

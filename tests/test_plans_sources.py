@@ -175,3 +175,18 @@ def test_nothing_is_shuffled(spark, tmp_path):
     written = tokenized.select("doc_id", C.to_conllu(F.col("sentences")).alias("content"))
     for df in (S.word_offsets(docs, "doc_id"), C.conllu_lines(written), C.parse_conllu(written), C.dependency_rows(tokenized, "doc_id")):
         assert "Exchange" not in df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_a_cluster_must_name_its_shared_folder():
+    from types import SimpleNamespace
+
+    from steppe import streaming
+
+    def session(master, where=None):
+        nothing = SimpleNamespace(get=lambda *a: None)
+        return SimpleNamespace(conf=SimpleNamespace(get=lambda *a: where), sparkContext=SimpleNamespace(getConf=lambda: nothing, getCheckpointDir=lambda: None, master=master))
+
+    assert streaming.shared_folder(session("local[4]")) and streaming.shared_folder(session("yarn", "hdfs:///x")) == "hdfs:///x"
+    for master in ("yarn", "local-cluster[2,1,1024]", "spark://host:7077"):
+        with pytest.raises(ValueError):
+            streaming.shared_folder(session(master))
