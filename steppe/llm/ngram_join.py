@@ -17,6 +17,10 @@ threshold t.  The search is exact (up to collisions of 55-bit hashes) and every
    aside, the short ones merged and counted, and documents that reach T - L are looked up in the
    long lists by binary search; those whose whole overlap is enough are kept.
 
+6. Groups of many sets that are much alike have long lists, whose merging takes steps with the square of the sets times
+   their n-grams.  Where it costs less, the lists that more than one set in ``WIDE`` is in are a bit matrix there,
+   and its product with itself adds their part to every overlap; the other lists are counted.
+
 Step 5 merges by sorting where the paper uses a heap: the lists are sorted runs, and numpy's stable sort
 finds and merges such runs, in M log k steps for M entries of k lists as a heap does.  Where the entries are more than
 the sets of the group, it counts them by set, in M steps.  Neither takes more steps than a heap would.
@@ -40,6 +44,12 @@ NGRAM, THRESHOLD = 3, 0.5
 MU = 0.01
 #: N-grams of a group that are searched by one task.
 GROUP_BYTES = 32 << 20
+#: A list is wide if more than one in so many sets of its group are in it.
+WIDE = 8
+#: Fewest sets for which the matrix product is thought of, and the overlaps it holds at once.
+PRODUCT_SETS, PRODUCT_CELLS = 64, 2 << 20
+#: Nanoseconds of an entry merged, a pair compared, a pair in a wide list and an entry counted, as measured roughly.
+_MERGED, _PAIR, _WIDE_PAIR, _COUNTED = 15, 20, 0.05, 10
 
 _POSTINGS = "cls int, blk int, keys binary, counts binary, grams binary, df binary, ids binary"
 _SETS = "set_key long, doc_ids array<long>, size int, grams binary, prefix int"
@@ -219,9 +229,9 @@ def _merged(lists: np.ndarray, m: int, x: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def matches(grams: list[np.ndarray], sizes: np.ndarray, t: float, mu: float = MU, side: np.ndarray | None = None) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """For each set x its matches among the sets after it, and their overlaps: see :func:`divide_skip`.
+    """For each set x its matches, each pair of sets once, and their overlaps: see :func:`divide_skip`.
 
-    With ``side``, only matches of different sides are looked for.
+    Without ``side`` the matches of x come after it; with it, only those of different sides are looked for.
     """
     m = len(grams)
     lengths = np.array([len(x) for x in grams], dtype=np.int64)
@@ -232,6 +242,13 @@ def matches(grams: list[np.ndarray], sizes: np.ndarray, t: float, mu: float = MU
     gram_of = np.empty(len(g), dtype=np.int64)
     gram_of[order] = np.repeat(np.arange(len(start)), count)
     entries = owner[order]
+    if m >= PRODUCT_SETS:
+        one = m if side is None else int((side == side[0]).sum())
+        compared = m * (m - 1) / 2 if side is None else one * (m - one)
+        squares, wide = np.square(count[count > 1], dtype=np.float64) / 2, count[count > 1] * WIDE > m
+        if compared * (_PAIR + _WIDE_PAIR * wide.sum()) + _COUNTED * squares[~wide].sum() < _MERGED * squares.sum():
+            yield from _by_product(start, count, entries, gram_of, first=np.append(0, np.cumsum(lengths)), sizes=sizes, t=t, side=side)
+            return
     probes = np.repeat(np.arange(len(start)), count) * m + entries  # sorted: list, then set
     first = np.cumsum(lengths) - lengths
     need = _needed(t, sizes).astype(np.int64)
@@ -262,6 +279,43 @@ def matches(grams: list[np.ndarray], sizes: np.ndarray, t: float, mu: float = MU
             yield x, found[good], total[good]
 
 
+def _by_product(start: np.ndarray, count: np.ndarray, entries: np.ndarray, gram_of: np.ndarray, first: np.ndarray, sizes: np.ndarray, t: float, side: np.ndarray | None) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """The same for sets much alike: wide lists by a product of matrices, the others counted entry by entry."""
+    m = len(sizes)
+    wide = count * WIDE > m
+    column = np.cumsum(wide) - 1
+    bits = np.zeros((m, int(wide.sum())), dtype=np.uint8)
+    gram = np.repeat(np.arange(len(start)), count)
+    at = wide[gram]
+    bits[entries[at], column[gram[at]]] = 1
+    rows, cols = (np.arange(m), np.arange(m)) if side is None else (np.flatnonzero(side == side[0]), np.flatnonzero(side != side[0]))
+    tile = max(1, PRODUCT_CELLS // max(1, bits.shape[1]))
+    step, begin = max(1, min(256, tile, PRODUCT_CELLS // max(1, len(cols)))), 0
+    while begin < len(rows):
+        block = rows[begin : begin + step]
+        others = cols[begin:] if side is None else cols
+        overlap = np.empty((len(block), len(others)), dtype=np.float32)  # whole numbers: exact
+        own = bits[block].astype(np.float32)
+        for c in range(0, len(others), tile):
+            overlap[:, c : c + tile] = own @ bits[others[c : c + tile]].astype(np.float32).T
+        for k, x in enumerate(block.tolist()):
+            lists = gram_of[first[x] : first[x + 1]]
+            lists = lists[(count[lists] > 1) & ~wide[lists]]
+            if len(lists):
+                overlap[k] += np.bincount(entries[np.repeat(start[lists], count[lists]) + within(count[lists])], minlength=m)[others]
+        # Rounded comparison first, with room for its error; what passes is compared exactly.
+        rough = overlap * np.float32(1 + t) >= np.float32(t * (1 - 1e-5)) * (sizes[block].astype(np.float32)[:, None] + sizes[others].astype(np.float32))
+        for k, x in enumerate(block.tolist()):
+            near = np.flatnonzero(rough[k])
+            found, total = others[near], overlap[k, near].astype(np.int64)
+            good = (total > 0) & (total * (1 + t) >= t * (sizes[found] + sizes[x]) - 1e-9)
+            if side is None:
+                good &= found > x
+            if good.any():
+                yield x, found[good], total[good]
+        begin += step
+
+
 def divide_skip(grams: list[np.ndarray], sizes: np.ndarray, t: float, mu: float = MU) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """All pairs i < j of sets whose Jaccard similarity is at least t, and their overlaps.
 
@@ -274,50 +328,64 @@ def divide_skip(grams: list[np.ndarray], sizes: np.ndarray, t: float, mu: float
     return tuple(np.concatenate(c) for c in zip(*found, strict=True))
 
 
-def _joining(found: Iterator[tuple[int, np.ndarray, np.ndarray]], m: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """Of the matches of a group those that join what was apart: as few as connect the same sets."""
-    root = np.arange(m)
+class _Joined:
+    """The sets of a group, and which of them matches connect so far."""
 
-    def top(x: int) -> int:
-        while root[x] != x:
-            root[x] = root[root[x]]
-            x = root[x]
-        return x
+    def __init__(self, m: int) -> None:
+        self.label, self.members, self.apart = np.arange(m), [[i] for i in range(m)], m
 
+    def join(self, x: int, other: np.ndarray) -> np.ndarray:
+        """Places of those matches of x that join what was apart: as few as connect the same sets."""
+        new = np.flatnonzero(self.label[other] != self.label[x])
+        if not len(new):
+            return new
+        labels, at = np.unique(self.label[other[new]], return_index=True)
+        all_ = [*labels.tolist(), int(self.label[x])]
+        most = max(all_, key=lambda i: len(self.members[i]))
+        for i in all_:
+            if i != most:
+                self.label[self.members[i]] = most
+                self.members[most] += self.members[i]
+                self.members[i] = []
+        self.apart -= len(labels)
+        return new[at]
+
+
+def _joining(found: Iterator[tuple[int, np.ndarray, np.ndarray]], m: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """Of the matches of a group those that join what was apart; once all are connected, no more are looked for."""
+    joined_ = _Joined(m)
     for x, other, overlap in found:
-        new = []
-        for i, y in enumerate(other.tolist()):
-            a, b = top(x), top(y)
-            if a != b:
-                root[max(a, b)] = min(a, b)
-                new.append(i)
-        if new:
+        new = joined_.join(x, other)
+        if len(new):
             yield x, other[new], overlap[new]
+        if joined_.apart == 1:
+            return
+
+
+def _group(table: pa.Table, t: float) -> tuple[pa.Table, Iterator[tuple[int, np.ndarray, np.ndarray]]]:
+    """The sets of a group in order, and their matches."""
+    table = table.sort_by("set_key")
+    sizes = np.asarray(table.column("size")).astype(np.int64)
+    low, high = table.column("low")[0].as_py(), table.column("high")[0].as_py()
+    side = np.asarray(table.column("block")) if low != high else None
+    return table, matches([np.frombuffer(x, "<u8") for x in table.column("grams").to_pylist()], sizes, t, side=side)
 
 
 def _search(t: float, links: bool):
     def run(table: pa.Table) -> pa.Table:
-        table = table.sort_by("set_key")
+        table, found = _group(table, t)
         keys, sizes = np.asarray(table.column("set_key")), np.asarray(table.column("size")).astype(np.int64)
-        low, high = table.column("low")[0].as_py(), table.column("high")[0].as_py()
-        side = np.asarray(table.column("block")) if low != high else None
-        found = matches([np.frombuffer(x, "<u8") for x in table.column("grams").to_pylist()], sizes, t, side=side)
         if links:
             found = _joining(found, len(keys))
         parts_ = [(np.full(len(b), x), b, o) for x, b, o in found]
         a, b, o = (np.concatenate(c) for c in zip(*parts_, strict=True)) if parts_ else (np.zeros(0, np.int64),) * 3
-        return pa.table({"set_a": keys[a], "set_b": keys[b], "jaccard": o / (sizes[a] + sizes[b] - o)})
+        return pa.table({"set_a": keys[np.minimum(a, b)], "set_b": keys[np.maximum(a, b)], "jaccard": o / (sizes[a] + sizes[b] - o)})
 
     return run
 
 
-def similar_sets(docs: DataFrame, n: int = NGRAM, threshold: float = THRESHOLD, links: bool = False, group_bytes: int = GROUP_BYTES) -> tuple[DataFrame, DataFrame]:
-    """Sets of equal documents, and pairs of sets whose similarity is at least the threshold.
-
-    The first result has a row (set_key, doc_ids) for each set that has two documents or might have
-    a partner; the second a row (set_a, set_b, jaccard) for each pair of different sets that match, or, with ``links``,
-    for as many of them as connect the same sets: their number is in proportion to the sets, where that of pairs is not.
-    """
+def _groups(docs: DataFrame, n: int, threshold: float, group_bytes: int) -> tuple[DataFrame, DataFrame]:
+    """Sets of equal documents, and the sets of each group and pair of blocks in which matches are looked for."""
     spark: SparkSession = docs.sparkSession
     classes = parts(spark)
     source = docs.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
@@ -334,7 +402,17 @@ def similar_sets(docs: DataFrame, n: int = NGRAM, threshold: float = THRESHOLD,
     dealt = member.join(blocks, F.col("leader") == F.col("of")).withColumn("block", F.pmod(F.xxhash64("set_key"), F.col("blocks")).cast("int"))
     dealt = dealt.select("set_key", "leader", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
     dealt = dealt.select("set_key", "leader", "block", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"))
-    dealt = dealt.join(alive.select("set_key", "size", "grams"), "set_key")
+    return sets, dealt.join(alive.select("set_key", "size", "grams"), "set_key")
+
+
+def similar_sets(docs: DataFrame, n: int = NGRAM, threshold: float = THRESHOLD, links: bool = False, group_bytes: int = GROUP_BYTES) -> tuple[DataFrame, DataFrame]:
+    """Sets of equal documents, and pairs of sets whose similarity is at least the threshold.
+
+    The first result has a row (set_key, doc_ids) for each set that has two documents or might have
+    a partner; the second a row (set_a, set_b, jaccard) for each pair of different sets that match, or, with ``links``,
+    for as many of them as connect the same sets: their number is in proportion to the sets, where that of pairs is not.
+    """
+    sets, dealt = _groups(docs, n, threshold, group_bytes)
     pairs = dealt.groupBy("leader", "low", "high").applyInArrow(_search(threshold, links), "set_a long, set_b long, jaccard double")
     return sets.select("set_key", "doc_ids"), pairs.distinct()
 

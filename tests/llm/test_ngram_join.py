@@ -4,7 +4,8 @@ from itertools import combinations
 import numpy as np
 import pytest
 
-from steppe.llm.ngram_join import components, divide_skip, keep_one_of_each_group, ngram_jaccard_join, similar_sets
+from steppe.llm import ngram_join
+from steppe.llm.ngram_join import components, divide_skip, keep_one_of_each_group, matches, ngram_jaccard_join, similar_sets
 
 from .conftest import words
 
@@ -99,3 +100,31 @@ def test_columns_may_have_any_names(spark, name):
     kept = keep_one_of_each_group(docs)
     assert kept.columns == docs.columns
     assert sorted(map(str, kept.collect())) == sorted(map(str, docs.where("doc_id = 1 or doc_id is null").collect() + docs.where("doc_id = 3").limit(1).collect()))
+
+
+@pytest.mark.parametrize("sided", [False, True])
+def test_product_finds_what_merging_finds(monkeypatch, sided):
+    rng = random.Random(6)
+    core = rng.sample(range(10**6), 80)
+    sets = [set(rng.sample(core, rng.randrange(30, 81))) | set(rng.sample(range(2000), 12)) for _ in range(300)] + [set(rng.sample(range(2000), 40)) for _ in range(100)]
+    rng.shuffle(sets)
+    grams_ = [np.array(sorted(s), dtype=np.uint64) for s in sets]
+    sizes, side = np.array([len(s) for s in sets]), np.array([i % 3 == 0 for i in range(400)])
+    for t in (0.3, 0.5, 0.7):
+        found = []
+        for pair, merged in ((0, 10**9), (10**9, 0)):
+            monkeypatch.setattr(ngram_join, "_PAIR", pair)
+            monkeypatch.setattr(ngram_join, "_MERGED", merged)
+            found.append({(min(x, int(y)), max(x, int(y)), int(o)) for x, other, overlap in matches(grams_, sizes, t, side=side if sided else None) for y, o in zip(other, overlap, strict=True)})
+        want = {(i, j, len(a & b)) for (i, a), (j, b) in combinations(enumerate(sets), 2) if len(a & b) >= t * len(a | b) - 1e-9 and (not sided or side[i] != side[j])}
+        assert found == [want, want] and want
+
+
+def test_sets_much_alike_are_not_merged_list_by_list(monkeypatch):
+    """Entries merged grow with the square of the sets times their n-grams: for near copies no list is merged."""
+    rng = random.Random(9)
+    sets = [np.array(sorted({*range(300)} - {rng.randrange(300)} | {1000 + i}), dtype=np.uint64) for i in range(400)]
+    merged = []
+    monkeypatch.setattr(ngram_join, "_merged", lambda lists, m, x: merged.append(len(lists)) or (np.zeros(0, np.int64), np.zeros(0, np.int64)))
+    a, _, _ = divide_skip(sets, np.full(400, 300), 0.5)
+    assert len(a) == 400 * 399 // 2 and not merged
