@@ -33,6 +33,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -84,8 +85,11 @@ def _by_owner(keys: np.ndarray) -> tuple[bytes, bytes]:
     return keys[start].tobytes(), length.astype("<u4").tobytes()
 
 
-def _explode_docs(n: int, classes: int):
-    """documents -> packed postings by n-gram class, and rows of (set, document, size) by set."""
+def _explode_docs(n: int, classes: int, every: bool = False):
+    """documents -> packed postings by n-gram class, and rows of (set, document, size) by set.
+
+    With ``every``, a document without words is a set of its own; else it is left out.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in chunks(batches):
@@ -103,8 +107,11 @@ def _explode_docs(n: int, classes: int):
             rows = []
             for c, at in _split(cls, classes):
                 rows.append((c, None, *_by_owner(owner[at]), pack48(g[at]), None, None))
-            some = size > 0
-            ids = u64(batch.column(0))[some]
+            ids = u64(batch.column(0))
+            if every:
+                key = np.where(size > 0, key, mix(ids ^ np.uint64(0x5A5A5A5A5A5A5A5A)))
+            some = (size > 0) | every
+            ids = ids[some]
             blk = (key[some] >> np.uint64(40)).astype(np.int64) % classes
             order = np.argsort(blk, kind="stable")
             k, s, ids, blk = key[some][order], size[some][order], ids[order], blk[order]
@@ -143,8 +150,8 @@ def _shared(classes: int):
     return run
 
 
-def _sets(t: float):
-    """Postings and members of a block of sets -> its sets that have copies or enough shared n-grams."""
+def _sets(t: float, every: bool = False):
+    """Postings and members of a block of sets -> its sets that have copies or enough shared n-grams, or every set."""
 
     def run(table: pa.Table) -> pa.Table:
         cls = np.asarray(table.column("cls"))
@@ -172,7 +179,7 @@ def _sets(t: float):
         order = np.lexsort((g, rank, owner))
         g = g[order]
         first = np.searchsorted(owner[order], np.arange(len(key) + 1))
-        out = np.flatnonzero(alive | (copies > 1))
+        out = np.flatnonzero(alive | (copies > 1) | every)
         return pa.table(
             {
                 "set_key": pa.array(key[out].view(np.int64)),
@@ -384,14 +391,58 @@ def _search(t: float, links: bool):
     return run
 
 
-def _groups(docs: DataFrame, n: int, threshold: float, group_bytes: int) -> tuple[DataFrame, DataFrame]:
+def _count(t: float):
+    """Sets of a group -> its links that connect them, as (set_a, set_b), and how many documents each set is linked to, as (set_a, null, links).
+
+    Two sets may meet in several groups; their link counts in the one of the least leader they have in common.
+    """
+
+    def run(table: pa.Table) -> pa.Table:
+        table, found = _group(table, t)
+        m, own = table.num_rows, table.column("leader")[0].as_py()
+        keys, copies = np.asarray(table.column("set_key")), np.asarray(table.column("copies")).astype(np.int64)
+        lead = table.column("leaders")
+        owner, leader = np.repeat(np.arange(m), np.asarray(pc.list_value_length(lead))), np.asarray(pc.list_flatten(lead))
+        owner, leader = owner[leader < own], leader[leader < own]
+        order = np.lexsort((owner, leader))
+        start, length = runs(leader[order])
+        list_of = np.empty(len(leader), dtype=np.int64)
+        list_of[order] = np.repeat(np.arange(len(start)), length)
+        bound, entries = np.searchsorted(owner, np.arange(m + 1)), owner[order]
+        linked, joined_, a, b = np.zeros(m, dtype=np.int64), _Joined(m), [], []
+        for x, other, _ in found:
+            lists = list_of[bound[x] : bound[x + 1]]
+            lists = lists[length[lists] > 1]
+            if len(lists):
+                before = np.zeros(m, dtype=bool)
+                before[entries[np.repeat(start[lists], length[lists]) + within(length[lists])]] = True
+                other = other[~before[other]]
+            linked[x] += copies[other].sum()
+            linked[other] += copies[x]
+            if joined_.apart > 1 and len(new := joined_.join(x, other)):
+                a.append(np.full(len(new), x))
+                b.append(other[new])
+        a, b = (np.concatenate(c) if c else np.zeros(0, np.int64) for c in (a, b))
+        some = np.flatnonzero(linked)
+        return pa.table(
+            {
+                "set_a": np.concatenate([keys[a], keys[some]]),
+                "set_b": pa.array(np.concatenate([keys[b], keys[some]]), mask=np.arange(len(a) + len(some)) >= len(a)),
+                "links": pa.array(np.concatenate([np.zeros(len(a), np.int64), linked[some]])),
+            }
+        )
+
+    return run
+
+
+def _groups(docs: DataFrame, n: int, threshold: float, group_bytes: int, every: bool = False) -> tuple[DataFrame, DataFrame]:
     """Sets of equal documents, and the sets of each group and pair of blocks in which matches are looked for."""
     spark: SparkSession = docs.sparkSession
     classes = parts(spark)
-    source = docs.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    posted = source.mapInArrow(_explode_docs(n, classes), _POSTINGS)
+    source = docs.where(F.col("doc_id").isNotNull() & (F.col("text").isNotNull() | F.lit(every))).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    posted = source.mapInArrow(_explode_docs(n, classes, every), _POSTINGS)
     shared = posted.groupBy("cls").applyInArrow(_shared(classes), _POSTINGS)
-    sets = checkpointed(shared.groupBy("blk").applyInArrow(_sets(threshold), _SETS))
+    sets = checkpointed(shared.groupBy("blk").applyInArrow(_sets(threshold, every), _SETS))
     alive = sets.where(F.col("grams").isNotNull())
     prefix = alive.select("set_key", "grams", "prefix").mapInArrow(_prefixes(classes), _POSTINGS)
     member = prefix.groupBy("cls").applyInArrow(_leaders, "set_key long, leader long").distinct()
@@ -402,7 +453,10 @@ def _groups(docs: DataFrame, n: int, threshold: float, group_bytes: int) -> tupl
     dealt = member.join(blocks, F.col("leader") == F.col("of")).withColumn("block", F.pmod(F.xxhash64("set_key"), F.col("blocks")).cast("int"))
     dealt = dealt.select("set_key", "leader", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
     dealt = dealt.select("set_key", "leader", "block", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"))
-    return sets, dealt.join(alive.select("set_key", "size", "grams"), "set_key")
+    kept = alive.select("set_key", "size", "grams", F.size("doc_ids").alias("copies"))
+    if every:
+        kept = kept.join(member.groupBy("set_key").agg(F.collect_list("leader").alias("leaders")), "set_key")
+    return sets, dealt.join(kept if every else kept.drop("copies"), "set_key")
 
 
 def similar_sets(docs: DataFrame, n: int = NGRAM, threshold: float = THRESHOLD, links: bool = False, group_bytes: int = GROUP_BYTES) -> tuple[DataFrame, DataFrame]:
@@ -437,6 +491,25 @@ def ngram_jaccard_join(docs: DataFrame, n: int = NGRAM, threshold: float = THRES
     return equal.union(near)
 
 
+def linked_documents(docs: DataFrame, n: int = NGRAM, threshold: float = THRESHOLD, group_bytes: int = GROUP_BYTES) -> DataFrame:
+    """A row for each document: the class it is in, and how many documents it matches.
+
+    Columns: doc_id, class_id and links (bigint).  Matches are those of :func:`ngram_jaccard_join`, all counted, copies among them;
+    classes are what they connect, known by the least doc_id in them.  A document that matches nothing, such as one without words
+    or with a null text, has 0 links and is its own class.  Rows with a null doc_id are left out.  Rows repeated
+    with one doc_id and the same n-grams are one document; several texts under one doc_id are documents of their own, with a row each.
+    An empty table gives an empty result.  Rows are as many as documents, and pairs are in no table.
+    """
+    sets, dealt = _groups(docs, n, threshold, group_bytes, every=True)
+    found = checkpointed(dealt.groupBy("leader", "low", "high").applyInArrow(_count(threshold), "set_a long, set_b long, links long"))
+    group = components(found.where("set_b is not null").select("set_a", "set_b"))
+    links = found.where("set_b is null").groupBy(F.col("set_a").alias("set_key")).agg(F.sum("links").alias("links"))
+    own = sets.select("set_key", "doc_ids").join(links, "set_key", "left").join(group, "set_key", "left")
+    own = own.select(F.coalesce("component", "set_key").alias("component"), "doc_ids", (F.coalesce("links", F.lit(0)) + F.size("doc_ids") - 1).alias("links"))
+    least = own.groupBy("component").agg(F.min(F.array_min("doc_ids")).alias("class_id"))
+    return own.join(least, "component").select(F.explode("doc_ids").alias("doc_id"), "class_id", "links")
+
+
 def keep_one_of_each_group(docs: DataFrame, n: int = NGRAM, threshold: float = THRESHOLD) -> DataFrame:
     """The documents without near duplicates: of each group of matching documents one stays.
 

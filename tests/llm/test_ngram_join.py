@@ -1,11 +1,12 @@
 import random
 from itertools import combinations
 
+import duckdb
 import numpy as np
 import pytest
 
-from steppe.llm import ngram_join
-from steppe.llm.ngram_join import components, divide_skip, keep_one_of_each_group, matches, ngram_jaccard_join, similar_sets
+from steppe.llm import ngram_join, queries
+from steppe.llm.ngram_join import components, divide_skip, keep_one_of_each_group, linked_documents, matches, ngram_jaccard_join, similar_sets
 
 from .conftest import words
 
@@ -102,6 +103,69 @@ def test_columns_may_have_any_names(spark, name):
     assert sorted(map(str, kept.collect())) == sorted(map(str, docs.where("doc_id = 1 or doc_id is null").collect() + docs.where("doc_id = 3").limit(1).collect()))
 
 
+def classes(rows, n, t):
+    """(doc_id, class_id, links) of each document with an id, one for each of its sets of n-grams."""
+    nodes = sorted({(i, tuple(sorted(grams(x, n)))) for i, x, *_ in rows if i is not None})
+    root, links = list(range(len(nodes))), [0] * len(nodes)
+    edges = [(a, b) for (a, (_, x)), (b, (_, y)) in combinations(enumerate(nodes), 2) if x and y and len({*x} & {*y}) >= t * len({*x} | {*y}) - 1e-9]
+    for a, b in edges:
+        links[a] += 1
+        links[b] += 1
+    for _ in nodes:
+        for a, b in edges:
+            root[a] = root[b] = min(root[a], root[b])
+    return sorted((i, nodes[root[k]][0], links[k]) for k, (i, _) in enumerate(nodes))
+
+
+def listed(df):
+    return sorted((r.doc_id, r.class_id, r.links) for r in df.collect())
+
+
+@pytest.mark.parametrize(("n", "t", "group_bytes"), [(3, 0.5, 32 << 20), (1, 0.3, 32 << 20), (1, 0.3, 2000), (3, 0.5, 2000)])
+def test_every_document_has_its_class_and_the_number_of_its_links(docs, rows, n, t, group_bytes):
+    got = linked_documents(docs, n, t, group_bytes)
+    assert got.dtypes == [("doc_id", "bigint"), ("class_id", "bigint"), ("links", "bigint")]
+    assert listed(got) == classes(rows, n, t)
+
+
+def test_rows_are_as_many_as_documents(spark, tmp_path):
+    """Copies, near copies, texts under one id, null and wordless texts: a row each, as in the SQL."""
+    rng = random.Random(11)
+    base = [f"w{i}" for i in range(60)]
+    rows = [(i, " ".join(base)) for i in range(40)]
+    for i in range(40, 80):
+        w = list(base)
+        for _ in range(rng.randrange(1, 9)):
+            w[rng.randrange(60)] = f"x{rng.randrange(10**6)}"
+        rows.append((i, " ".join(w)))
+    rows += [(-5, " ".join(base)), (3, "a b c d e"), (3, "a b c d e"), (90, "a b c d e f"), (91, ""), (92, None), (92, None), (93, "?!"), (None, " ".join(base)), (94, "one"), (95, "One!")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    got = listed(queries.op1_ngram_jaccard_join(spark, str(tmp_path)))
+    db = duckdb.connect()
+    db.sql(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    assert got == sorted(db.sql(queries.ORACLE_SQL["op1_ngram_jaccard_join"]).fetchall()) == classes(rows, 3, 0.5)
+    assert len(got) == 88
+    assert listed(linked_documents(docs, group_bytes=4000)) == got
+
+
+def test_link_counts_of_a_hot_group(spark):
+    """Near copies that meet in many groups and blocks: each link counts once."""
+    rng = random.Random(4)
+    base = [f"w{i}" for i in range(120)]
+    rows = []
+    for i in range(150):
+        w = list(base)
+        for _ in range(rng.choice([1, 3, 9, 14])):
+            w[rng.randrange(120)] = f"x{rng.randrange(10**6)}"
+        rows += [(1000 - 2 * i - k, " ".join(w)) for k in range(1 + i % 2)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    want = classes(rows, 3, 0.5)
+    assert len({x[2] for x in want}) > 5
+    for limit in (32 << 20, 30_000):
+        assert listed(linked_documents(docs, group_bytes=limit)) == want
+
+
 @pytest.mark.parametrize("sided", [False, True])
 def test_product_finds_what_merging_finds(monkeypatch, sided):
     rng = random.Random(6)
