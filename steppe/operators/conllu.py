@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyarrow.json import ParseOptions, ReadOptions, read_json
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import let
-from .segment import strip
+from . import batches as B
+from .segment import TOKEN, WORD
 
 _NAMES = ("form", "lemma", "upos", "xpos", "feats", "head", "deprel", "deps", "misc")
 
@@ -46,6 +50,46 @@ def to_json(sentences: Column) -> Column:
     return F.to_json(F.transform(sentences, lambda s: F.transform(s["words"], word)), {"ignoreNullFields": "false"})
 
 
+def _documents(docs: DataFrame, keep: tuple[str, ...], text: str, out: str, made, empty: bool) -> DataFrame:
+    def rows(texts: pa.Array) -> tuple[np.ndarray | None, list[pa.Array]]:
+        w = B.words(texts)
+        at = None if empty else np.unique(w.doc)
+        whole = made(texts, w)
+        return at, [whole if empty else whole.take(pa.array(at))]
+
+    return B.mapped(docs, keep, text, f"{out} string", rows)
+
+
+def conllu_documents(docs: DataFrame, *keep: str, text: str = "text", lang: str = "", script: str = "", rules: dict[str, list[str]] | None = None, empty: bool = True) -> DataFrame:
+    """The kept columns and ``content``: :func:`to_conllu` of texts as :func:`segment.tokenize` and, with rules, :func:`segment.expand_multiword` have them, without nested columns; ``empty`` keeps texts without words."""
+    made = lambda texts, w: B.written(texts, *(B.expanded(w, rules) if rules else (w, None)), lang, script)
+    return _documents(docs, keep, text, "content", made, empty)
+
+
+def json_documents(docs: DataFrame, *keep: str, text: str = "text", empty: bool = True) -> DataFrame:
+    """The kept columns and ``json``: :func:`to_json` of texts as :func:`segment.tokenize` has them, without nested columns."""
+    return _documents(docs, keep, text, "json", B.as_json, empty)
+
+
+def json_counts(docs: DataFrame, *keep: str, json: str = "json") -> DataFrame:
+    """The kept columns and the sentences, words and words with the part of speech PUNCT that are read in JSON of :func:`to_json`; nulls for null."""
+
+    kind = pa.schema([("s", pa.list_(pa.list_(pa.struct([("id", pa.int32()), ("text", pa.string()), ("upos", pa.string())]))))])
+
+    def rows(texts: pa.Array) -> tuple[None, list[pa.Array]]:
+        lines = [b'{"s":' + (b"null" if x is None else x.replace(b"\n", b" ")) + b"}\n" for x in texts.cast(pa.binary()).to_pylist()]
+        options = ReadOptions(use_threads=False, block_size=max(map(len, lines)) + (1 << 20))
+        s = read_json(pa.BufferReader(b"".join(lines)), options, ParseOptions(explicit_schema=kind, unexpected_field_behavior="ignore"))["s"].combine_chunks()
+        sentences = s.flatten()
+        words = sentences.flatten()
+        own = np.concatenate(([0], np.cumsum(np.asarray(pc.fill_null(pc.list_value_length(s), 0), dtype=np.int64))))
+        first = np.concatenate(([0], np.cumsum(np.asarray(pc.fill_null(pc.list_value_length(sentences), 0), dtype=np.int64))))[own]
+        punct = np.concatenate(([0], np.cumsum(np.asarray(pc.fill_null(pc.equal(pc.struct_field(words, "upos"), "PUNCT"), False), dtype=np.int64))))[first]
+        return None, [pa.array(np.diff(x), mask=np.asarray(pc.is_null(s))) for x in (own, first, punct)]
+
+    return B.mapped(docs, keep, json, "sentences bigint, words bigint, punct bigint", rows)
+
+
 def split_documents(content: Column) -> Column:
     """The documents of a file: parts between "# newdoc" marks, without blank ones; the whole without marks."""
     parts = F.filter(F.split(content, "# newdoc"), lambda p: p.rlike(r"(?U)\S"))
@@ -53,53 +97,7 @@ def split_documents(content: Column) -> Column:
 
 
 _FIELDS = ("sent_id", "line", "id", *_NAMES, "mwt_start", "mwt_end", "mwt_text", "script", "known_text")
-
-
-def _block(block: Column) -> Column:
-    """struct<text,words array<struct<k,f>>,spans array<struct<k,a,b,t>>> of the lines between two blank ones: k is a line's place, f its fields."""
-    lines = F.filter(F.transform(F.split(block, "\n"), lambda x, k: F.struct(k.alias("k"), x.alias("x"))), lambda z: z["x"] != "")
-    texts = lambda ls: F.filter(ls, lambda z: z["x"].startswith("# text = "))
-    rows = lambda ls: F.filter(F.transform(F.filter(ls, lambda z: ~z["x"].startswith("#")), lambda z: F.struct(z["k"].alias("k"), F.split(z["x"], "\t").alias("f"))), lambda z: F.size(z["f"]) == 10)
-    number = lambda x, i: F.regexp_extract(x, r"^(\d+)-(\d+)$", i).cast("int")
-    opened = lambda rs: F.transform(F.filter(rs, lambda z: z["f"][0].rlike(r"^\d+-\d+$")), lambda z: F.struct(z["k"].alias("k"), number(z["f"][0], 1).alias("a"), number(z["f"][0], 2).alias("b"), z["f"][1].alias("t")))
-    parts = lambda ls, rs: F.struct(
-        F.when(F.size(texts(ls)) > 0, strip(F.regexp_extract(F.element_at(texts(ls), -1)["x"], "=(.*)$", 1))).alias("text"),
-        F.filter(rs, lambda z: z["f"][0].rlike(r"^\d+$")).alias("words"),
-        opened(rs).alias("spans"),
-    )
-    return let(lines, lambda ls: let(rows(ls), lambda rs: parts(ls, rs)))
-
-
-def _sentences(content: Column) -> Column:
-    """The blocks that have words, with the text that stands for each: array<struct<text,words,spans>>."""
-    blocks = F.transform(F.split(F.regexp_replace(content, "\r\n?", "\n"), "\n{2,}"), _block)
-    real = lambda bs: F.filter(bs, lambda b: F.size(b["words"]) > 0)
-
-    def carried(bs: Column) -> Column:
-        """A text whose block has no words stands for the next sentence that has none of its own."""
-        none = F.lit(None).cast("string")
-        zero = F.struct(none.alias("text"), F.slice(bs, 1, 0).alias("out"))
-        own = lambda acc, b: F.coalesce(b["text"], acc["text"])
-        step = lambda acc, b: F.when(F.size(b["words"]) > 0, F.struct(none.alias("text"), F.array_append(acc["out"], b.withField("text", own(acc, b))).alias("out"))).otherwise(F.struct(own(acc, b).alias("text"), acc["out"].alias("out")))
-        return F.aggregate(bs, zero, step, lambda acc: acc["out"])
-
-    loose = lambda bs: F.exists(bs, lambda b: (F.size(b["words"]) == 0) & b["text"].isNotNull())
-    return let(blocks, lambda bs: F.when(loose(bs), carried(bs)).otherwise(real(bs)))
-
-
-def _word_fields(s: Column, i: Column, w: Column) -> dict[str, Column]:
-    """The columns of :func:`conllu_lines` for a word of the i-th sentence."""
-    blank = lambda c: F.when(c != "_", c)
-    out = {n: blank(w["f"][k]) for k, n in enumerate(_NAMES, 1)}
-    out["form"] = w["f"][1]
-    out["head"] = F.when(w["f"][6].rlike(r"^[+-]?\d+$"), w["f"][6].cast("int"))
-    number = w["f"][0].cast("int")
-    # The last span opened before the word, if the word is in it.
-    last = F.element_at(F.filter(s["spans"], lambda o: o["k"] < w["k"]), -1)
-    span = F.when((F.size(s["spans"]) > 0) & F.exists(s["spans"], lambda o: o["k"] < w["k"]), F.when(number.between(last["a"], last["b"]), last))
-    script = F.regexp_extract(F.coalesce(out["misc"], F.lit("")), r"(?:^|\|)Script=([^|]*)", 1)
-    head = {"sent_id": i, "line": F.shiftleft(i.cast("long"), 32) + w["k"], "id": number}
-    return head | out | {"mwt_start": span["a"], "mwt_end": span["b"], "mwt_text": span["t"], "script": F.when(script != "", script), "known_text": s["text"]}
+_TYPES = {n: "string" for n in _FIELDS} | dict.fromkeys(("sent_id", "id", "head", "mwt_start", "mwt_end"), "int") | {"line": "bigint"}
 
 
 def conllu_lines(docs: DataFrame, content: str = "content", *, keep: tuple[str, ...] = ("doc_id",), fields: tuple[str, ...] = _FIELDS) -> DataFrame:
@@ -112,8 +110,13 @@ def conllu_lines(docs: DataFrame, content: str = "content", *, keep: tuple[str,
     comment in it, or of blocks without words before it.  ``line`` orders the lines of a text.
     Each text is read within its row: nothing is shuffled.
     """
-    each = lambda s, i: F.transform(s["words"], lambda w: F.struct(*[c.alias(n) for n, c in _word_fields(s, i, w).items() if n in fields]))
-    return docs.select(*keep, F.inline(F.flatten(F.transform(_sentences(F.col(content)), each)))).select(*keep, *fields)
+
+    def rows(texts: pa.Array) -> tuple[np.ndarray, list[pa.Array]]:
+        r = B.read(texts)
+        own = r.names()
+        return r.at, [own[n]() for n in fields]
+
+    return B.mapped(docs, keep, content, ", ".join(f"{n} {_TYPES[n]}" for n in fields), rows)
 
 
 def parse_conllu(docs: DataFrame, content: str = "content", *, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
@@ -122,26 +125,33 @@ def parse_conllu(docs: DataFrame, content: str = "content", *, keep: tuple[str,
     A sentence's text is its comment's, or else its words joined by spaces; a document's text is
     that of its sentences, joined by blank lines.  Each text is read within its row.
     """
-    null = lambda t: F.lit(None).cast(t)
-
-    def word(f: Column) -> Column:
-        own = {n: f[n] for n in ("id", "lemma", "upos", "xpos", "feats", "head", "deprel", "deps", "misc", "script")} | {"text": f["form"], "ner": null("string"), "start_char": null("int"), "end_char": null("int")}
-        return F.struct(*[own[n].alias(n) for n in "id text lemma upos xpos feats head deprel deps misc ner start_char end_char script".split()])
-
-    def token(f: Column) -> Column:
-        first = F.coalesce(f["mwt_start"], f["id"]).alias("id_start")
-        made = F.struct(first, f["mwt_end"].alias("id_end"), F.coalesce(f["mwt_text"], f["form"]).alias("text"), null("int").alias("start_char"), null("int").alias("end_char"))
-        return F.when(f["mwt_start"].isNull() | (f["id"] == f["mwt_end"]), made)
-
-    def sentence(s: Column, i: Column) -> Column:
-        rows = F.transform(s["words"], lambda w: F.struct(*[c.alias(n) for n, c in _word_fields(s, i, w).items()]))
-        text = lambda fs: F.coalesce(F.when(s["text"] != "", s["text"]), F.array_join(F.transform(fs, lambda f: f["form"]), " "))
-        return let(rows, lambda fs: F.struct(text(fs).alias("text"), F.filter(F.transform(fs, token), lambda t: t.isNotNull()).alias("tokens"), F.transform(fs, word).alias("words")))
-
-    comment = lambda n: F.when(F.col(content).rlike(rf"(?m)^# {n} = "), F.trim(F.element_at(F.regexp_extract_all(content, F.lit(rf"(?m)^# {n} = (.*)$"), F.lit(1)), -1)))
-    found = F.coalesce(F.transform(_sentences(F.col(content)), sentence), F.array())
-    parsed = docs.select(*keep, content, found.alias("sentences"))
-    return parsed.select(*keep, F.array_join(F.transform("sentences", lambda s: s["text"]), "\n\n").alias("text"), comment("lang").alias("lang"), comment("script").alias("script"), "sentences")
+
+    def rows(texts: pa.Array) -> tuple[None, list[pa.Array]]:
+        r = B.read(texts)
+        f = {n: make() for n, make in r.names().items()}
+        m = len(r.sent)
+        null = {n: pa.nulls(m, pa.int32()) for n in ("start_char", "end_char")}
+        word = {n: f[n] for n in ("id", "lemma", "upos", "xpos", "feats", "head", "deprel", "deps", "misc", "script")} | {"text": f["form"], "ner": pa.nulls(m, pa.string())} | null
+        names = [x.split(":")[0] for x in WORD[7:-1].split(",")]
+        words = pa.ListArray.from_arrays(B.int32(r.first), pa.StructArray.from_arrays([word[n] for n in names], names))
+        # A token stands where its last word does.
+        real = pc.or_(pc.is_null(f["mwt_start"]), pc.fill_null(pc.equal(f["id"], f["mwt_end"]), False))
+        token = {"id_start": pc.coalesce(f["mwt_start"], f["id"]), "id_end": f["mwt_end"], "text": pc.coalesce(f["mwt_text"], f["form"])} | null
+        at = np.concatenate(([0], np.cumsum(np.asarray(real, dtype=np.int64))))[r.first]
+        tokens = pa.ListArray.from_arrays(B.int32(at), pa.StructArray.from_arrays([x.filter(real) for x in token.values()], list(token)))
+        text = pc.if_else(pc.fill_null(pc.not_equal(r.known, ""), False), r.known, B.joined(f["form"], r.first, " "))
+        first = np.searchsorted(r.doc, np.arange(len(texts) + 1))
+        sentences = pa.ListArray.from_arrays(B.int32(first), pa.StructArray.from_arrays([text, tokens, words], ["text", "tokens", "words"]))
+
+        def comment(name: str) -> pa.Array:
+            place, said = r.comments
+            own = np.asarray(pc.starts_with(said, f"# {name} = "))
+            last = dict(zip(place[own].tolist(), said.filter(pa.array(own)).to_pylist(), strict=True))
+            return pa.array([last[i].split(" = ", 1)[1].strip(" ") if i in last else None for i in range(len(texts))], pa.string())
+
+        return None, [B.joined(text, first, "\n\n"), comment("lang"), comment("script"), sentences]
+
+    return B.mapped(docs, keep, content, f"text string, lang string, script string, sentences array<struct<text:string,tokens:array<{TOKEN}>,words:array<{WORD}>>>", rows)
 
 
 def dependencies(words: DataFrame, *keys: str) -> DataFrame:

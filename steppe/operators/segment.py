@@ -7,10 +7,13 @@ white space or separates sentences by more; :func:`true_sentence_starts` gives e
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import let
+from . import batches as B
 
 #: White space: Unicode's, and the four separators that Java leaves out.
 _S = r"[\s\x1C-\x1F]"
@@ -101,9 +104,12 @@ def placed_texts(sentence: Column, offset: Column) -> Column:
 
 def word_offsets(docs: DataFrame, *keep: str, text: str = "text") -> DataFrame:
     """A row for each word: the kept columns, sent_id from 0, id, text, punct and start_char, as :func:`tokenize` and :func:`words` have them."""
-    sentences = docs.select(*keep, split_sentences(F.col(text)).alias("s"))
-    placed = sentences.select(*keep, F.posexplode(F.arrays_zip(F.col("s"), running(F.transform("s", lambda s: F.length(s) + 1)).alias("at"))).alias("sent_id", "z"))
-    return placed.select(*keep, "sent_id", F.inline(placed_texts(F.col("z.s"), F.col("z.at"))))
+
+    def rows(texts: pa.Array) -> tuple[np.ndarray, list[pa.Array]]:
+        w = B.words(texts)
+        return w.at, [B.int32(w.number[w.sent]), B.int32(w.id), w.text, pa.array(w.punct), B.int32(w.start)]
+
+    return B.mapped(docs, keep, text, "sent_id int, id int, text string, punct boolean, start_char int", rows)
 
 
 def _word(i: Column, text: Column, punct: Column, start: Column) -> Column:
@@ -172,6 +178,22 @@ def true_sentence_starts(text: Column, enders: str = ".!?") -> Column:
     return F.transform(F.filter(zipped, lambda z: strip(z["r"]) != ""), lambda z: z["at"] + lead(z["r"]))
 
 
+def rules_of(rules: DataFrame) -> dict[str, list[str]]:
+    """The words of each surface in a table of rules (surface, pieces array<string>); of two rows of a surface, the last in order of pieces wins."""
+    return {r["surface"]: r["pieces"] for r in rules.select("surface", "pieces").orderBy("surface", "pieces").collect()}
+
+
+def expanded_words(docs: DataFrame, rules: DataFrame, *keep: str, text: str = "text") -> DataFrame:
+    """The words of :func:`expand_multiword`, a row for each: the kept columns, sent_id from 0, id, text, punct and start_char."""
+    known = rules_of(rules)
+
+    def rows(texts: pa.Array) -> tuple[np.ndarray, list[pa.Array]]:
+        w, _ = B.expanded(B.words(texts), known)
+        return w.at, [B.int32(w.number[w.sent]), B.int32(w.id), w.text, pa.array(w.punct), B.int32(w.start)]
+
+    return B.mapped(docs, keep, text, "sent_id int, id int, text string, punct boolean, start_char int", rows)
+
+
 def expand_multiword(docs: DataFrame, rules: DataFrame, sentences: str = "sentences") -> DataFrame:
     """Replace tokens that have a rule by its words, renumbering the sentence.
 
@@ -180,7 +202,7 @@ def expand_multiword(docs: DataFrame, rules: DataFrame, sentences: str = "senten
     annotation; matching is exact and heeds case.  The rules of a language are few, and are
     looked up in a map that every row carries as a constant.
     """
-    known = {r["surface"]: r["pieces"] for r in rules.select("surface", "pieces").orderBy("surface", "pieces").collect()}
+    known = rules_of(rules)
     if not known:
         return docs
     lookup = F.create_map(*[x for k in sorted(known) for x in (F.lit(k), F.array(*map(F.lit, known[k])))])

@@ -6,6 +6,9 @@ import posixpath
 import uuid
 from collections.abc import Callable
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,6 +16,7 @@ from . import streaming
 from .functions import scripts as X
 from .functions import text as T
 from .functions import translit as R
+from .operators import batches as B
 from .operators import conllu as C
 from .operators import morphemes as H
 from .operators import morphology as M
@@ -276,7 +280,7 @@ def conllu_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query(f"WITH {_SENTENCES} SELECT doc_id, string_agg(regexp_replace(s, '[\\r\\n]+', ' ', 'g'), chr(10) || chr(10) ORDER BY sent_id) AS text, 'en' AS lang, 'Latn' AS script, count(*) AS sentences FROM s GROUP BY doc_id")
 def conllu_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = S.tokenize(_docs(spark, sf_dir)).where(F.size("sentences") > 0).select("doc_id", C.to_conllu(F.col("sentences"), F.lit("en"), F.lit("Latn")).alias("content"))
+    docs = C.conllu_documents(_docs(spark, sf_dir), "doc_id", lang="en", script="Latn", empty=False)
     return C.parse_conllu(docs).select("doc_id", "text", "lang", "script", F.size("sentences").cast("long").alias("sentences"))
 
 
@@ -314,6 +318,11 @@ def _expanded(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.expand_multiword(S.tokenize(_docs(spark, sf_dir)), spark.createDataFrame(_RULES, "surface string, pieces array<string>"))
 
 
+
+def _rules(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame(_RULES, "surface string, pieces array<string>")
+
+
 @_query(
     f"""WITH {_WORDS}, {_RULES_SQL},
     e AS (SELECT doc_id, sent_id, id, unnest(coalesce(pieces, [text])) AS text, unnest(range(coalesce(len(pieces), 1))) AS k FROM w LEFT JOIN r ON text = surface)
