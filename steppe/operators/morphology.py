@@ -9,10 +9,13 @@ A reading is struct<lemma,pos,feats array<string>,weight double,raw>.
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from . import batches as B
 
 _PARTS = "ADJ=adj ADP=post ADV=adv AUX=vaux CCONJ=cnjcoo DET=det INTJ=ij NOUN=n NUM=num PART=part PRON=prn PROPN=np PUNCT=punct SCONJ=cnjsub SYM=sym VERB=v"
 _POS = {tag: upos for upos, tag in (x.split("=") for x in _PARTS.split())}
@@ -131,6 +134,31 @@ def sentence_context(words: DataFrame, *sentence: str) -> DataFrame:
     return w.select("*", (F.max(real).over(whole) == F.col("id")).alias("final"), (F.min(real).over(whole) == F.col("id")).alias("initial"), F.coalesce(T.is_question_particle(following), F.lit(False)).alias("before_question"))
 
 
+def counted_forms(docs: DataFrame, text: str = "text") -> DataFrame:
+    """(text, initial, n): how often each word of the texts begins its sentence, as in :func:`sentence_context`, and how often it doesn't.
+
+    For parts of speech by :func:`fallback` without a lexicon.  It treats words of ASCII letters alone alike, but for the case of the
+    first: they are counted as A and a.  Each chunk of texts counts its words before they are shuffled, and no sentence is.
+    """
+
+    def rows(texts: pa.Array) -> tuple[np.ndarray, list[pa.Array]]:
+        w = B.words(texts, marks=True)
+        real = np.flatnonzero(w.marks < w.length)
+        sent = w.sent[real]
+        initial = np.zeros(len(w.sent), np.int64)
+        initial[real[np.concatenate(([True], sent[1:] != sent[:-1]))] if len(real) else real] = 1
+        kinds = np.bincount((w.code[w.plain] <= ord("Z")) * 2 + initial[w.plain], minlength=4)
+        forms = w.text.filter(pa.array(~w.plain)).dictionary_encode()
+        key, n = np.unique(np.asarray(forms.indices).astype(np.int64) * 2 + initial[~w.plain], return_counts=True)
+        text = pa.concat_arrays([pa.array(["a", "a", "A", "A"]), forms.dictionary.take(pa.array(key >> 1))])
+        n = np.concatenate((kinds, n)).astype(np.int64)
+        used = pa.array(n > 0)
+        out = [text, pa.array(np.concatenate(([0, 1, 0, 1], key % 2)) == 1), pa.array(n)]
+        return np.zeros(int((n > 0).sum()), np.int64), [x.filter(used) for x in out]
+
+    return B.mapped(docs, (), text, "text string, initial boolean, n bigint", rows).groupBy("text", "initial").agg(F.sum("n").alias("n"))
+
+
 _FINITE = "aor fut ifi past pres".split()
 _MOODS = "cond imp ind neces opt".split()
 _VERBAL = [*_FINITE, *_MOODS, *"cvb ger inf part pass prog rcp".split()]
@@ -166,19 +194,21 @@ def best_reading(readings: Column, text: Column, final: Column, before_question:
     return F.when(F.size(readings) > 0, F.get(readings, F.array_min(keyed)["i"]))
 
 
-def fallback(text: Column, initial: Column, lexicon: Column) -> Column:
+def fallback(text: Column, initial: Column, lexicon: Column, form: Column | None = None) -> Column:
     """struct<lemma,upos,feats> for a word without readings, or null.
 
     In this order: numbers; a capitalised word with a short ending after an apostrophe; a
     doubled word with a hyphen; a capitalised word that doesn't begin its sentence; the
-    first lexicon entry (array<struct<upos,feats>>).
+    first lexicon entry (array<struct<upos,feats>>).  ``form`` is a column with the word's lookup form, where
+    the caller has it: it is used in many places.
     """
     made = lambda lemma, upos, feats="_": F.struct(lemma.alias("lemma"), F.lit(upos).alias("upos"), F.lit(feats).alias("feats"))
-    form = T.lookup_form(text)
+    form = T.lookup_form(text) if form is None else form
     name = T.is_cased(text) & T.starts_upper(text)
     stem, ending = F.regexp_extract(form, "(?s)^([^']+)'(.*)$", 1), F.regexp_extract(form, "(?s)^([^']+)'(.*)$", 2)
     parts = F.filter(F.split(T.plain_hyphens(form), "-"), lambda p: p != "")
-    left, right = F.get(parts, F.lit(0)), F.get(parts, F.lit(1))
+    # Null where they aren't two: normal forms are found for every row, ahead of the choice.
+    left, right = (F.when(F.size(parts) == 2, F.get(parts, F.lit(k))) for k in (0, 1))
     entry = F.get(lexicon, F.lit(0))
     return (
         F.when(text.isNull() | (text == ""), None)

@@ -447,10 +447,10 @@ def disambiguate(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def unknown_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Part of speech of every word of the documents when no analysis is known."""
-    w = M.sentence_context(_words(spark, sf_dir).drop("punct"), "doc_id", "sent_id")
+    w = M.counted_forms(_docs(spark, sf_dir)).withColumns({"punct": T.is_punctuation(F.col("text")), "form": T.lookup_form(F.col("text"))})
     none = F.array().cast("array<struct<upos:string,feats:string>>")
-    upos = F.when(F.col("punct"), F.lit("PUNCT")).otherwise(F.coalesce(M.fallback(F.col("text"), F.coalesce("initial", F.lit(False)), none)["upos"], F.lit("X")))
-    return w.select(upos.alias("upos")).groupBy("upos").agg(F.count("*").alias("n"))
+    upos = F.when(F.col("punct"), F.lit("PUNCT")).otherwise(F.coalesce(M.fallback(F.col("text"), F.col("initial"), none, F.col("form"))["upos"], F.lit("X")))
+    return w.select(upos.alias("upos"), "n").groupBy("upos").agg(F.sum("n").alias("n"))
 
 
 @_query(

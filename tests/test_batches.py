@@ -30,7 +30,7 @@ def plan(spark, name):
     return Q.QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
 
 
-@pytest.mark.parametrize("name", ["conllu_parse"])
+@pytest.mark.parametrize("name", ["conllu_parse", "unknown_fallback"])
 def test_words_are_made_by_the_batch(spark, name):
     """Not an expression within lambdas for each word, whose running totals copy what they have so far."""
     text = plan(spark, name)
@@ -50,3 +50,16 @@ def test_conllu_texts_without_words_are_carried_on(spark):
     got = sorted((r.doc_id, r.sent_id, r.line, r.known_text) for r in C.conllu_lines(df).collect())
     assert got == [(1, 0, 0, "a = b"), (1, 1, 1 << 32, None), (1, 2, (2 << 32) + 2, "d"), (2, 0, 0, None)]
     assert [(r.doc_id, r.text, len(r.sentences)) for r in C.parse_conllu(df).orderBy("doc_id").collect()] == [(1, "a = b\n\nx\n\nd", 3), (2, "x", 1), (3, "", 0)]
+
+
+def test_forms_are_counted_without_a_window(spark, docs):
+    from steppe.functions import text as T
+
+    w = M.sentence_context(S.words(S.tokenize(docs), "doc_id"), "doc_id", "sent_id")
+    form = F.when(F.col("text").rlike("^[A-Z][A-Za-z]*$"), "A").when(F.col("text").rlike("^[a-z][A-Za-z]*$"), "a").otherwise(F.col("text"))
+    same(M.counted_forms(docs), w.groupBy(form, F.coalesce("initial", F.lit(False))).agg(F.count("*")))
+    none = F.array().cast("array<struct<upos:string,feats:string>>")
+    upos = lambda *form: F.coalesce(M.fallback(F.col("text"), F.col("initial"), none, *form)["upos"], F.lit("X"))
+    each = w.groupBy(upos()).agg(F.count("*"))
+    same(M.counted_forms(docs).withColumn("form", T.lookup_form(F.col("text"))).groupBy(upos(F.col("form"))).agg(F.sum("n")), each)
+    assert "Window" not in plan(spark, "unknown_fallback")
