@@ -335,8 +335,8 @@ def mwt_expand(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query(f"WITH {_WORDS}, {_RULES_SQL} SELECT surface, array_to_string(pieces, '+') AS pieces, count(*) AS n FROM w JOIN r ON text = surface GROUP BY ALL")
 def mwt_mine(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rules recovered from a treebank that was written with them."""
-    docs = _expanded(spark, sf_dir).select("doc_id", C.to_conllu(F.col("sentences")).alias("content"))
-    found = C.mine_multiword_rules(C.conllu_lines(docs), "doc_id")
+    docs = C.conllu_documents(_docs(spark, sf_dir), "doc_id", rules=S.rules_of(_rules(spark)))
+    found = C.mine_multiword_rules(C.conllu_lines(docs, fields=("sent_id", "line", "id", "form", "mwt_start", "mwt_end", "mwt_text")), "doc_id")
     return found.select("surface", F.array_join("pieces", "+").alias("pieces"), F.col("count").alias("n"))
 
 

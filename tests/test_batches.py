@@ -30,7 +30,7 @@ def plan(spark, name):
     return Q.QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
 
 
-@pytest.mark.parametrize("name", ["conllu_parse", "unknown_fallback"])
+@pytest.mark.parametrize("name", ["conllu_parse", "unknown_fallback", "mwt_mine"])
 def test_words_are_made_by_the_batch(spark, name):
     """Not an expression within lambdas for each word, whose running totals copy what they have so far."""
     text = plan(spark, name)
@@ -43,6 +43,15 @@ def test_documents_as_written_by_expressions(spark, docs):
     same(C.conllu_documents(docs, "doc_id", empty=False), nested.where(F.size("sentences") > 0).select("doc_id", C.to_conllu(F.col("sentences"))))
 
 
+def test_multiword_tokens_as_expanded_by_expressions(spark, docs):
+    rules = spark.createDataFrame(Q._RULES, "surface string, pieces array<string>")
+    nested = S.expand_multiword(S.tokenize(docs), rules)
+    same(C.conllu_documents(docs, "doc_id", rules=S.rules_of(rules)), nested.select("doc_id", C.to_conllu(F.col("sentences"))))
+    same(S.expanded_words(docs, rules, "doc_id").select("doc_id", "sent_id", "id", "text", "start_char"), S.words(nested, "doc_id").select("doc_id", "sent_id", "id", "text", "start_char"))
+    words = C.parse_conllu(nested.select("doc_id", C.to_conllu(F.col("sentences")).alias("content")))
+    same(S.tokens(words, "doc_id").where("is_mwt").select("doc_id", "sent_id", "id_start", "id_end", "text"), S.tokens(nested, "doc_id").where("is_mwt").select("doc_id", "sent_id", "id_start", "id_end", "text"))
+
+
 def test_conllu_texts_without_words_are_carried_on(spark):
     line = "1\tx" + "\t_" * 8
     content = f"\n# text = a = b\n\n\n{line}\n\n{line}\n\n# text = c\n# text =  d \n{line}\nshort\tline\n\n\n# text = lost"
