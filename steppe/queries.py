@@ -274,7 +274,7 @@ def translit_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query(f"WITH {_WORDS} SELECT doc_id, sent_id, id, text AS form, CASE WHEN punct THEN 'PUNCT' END AS upos FROM w")
 def conllu_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents written as CoNLL-U and read again."""
-    docs = S.tokenize(_docs(spark, sf_dir)).select("doc_id", C.to_conllu(F.col("sentences"), F.lit("en"), F.lit("Latn")).alias("content"))
+    docs = C.conllu_documents(_docs(spark, sf_dir), "doc_id", lang="en", script="Latn")
     return C.conllu_lines(docs, fields=("sent_id", "id", "form", "upos"))
 
 
