@@ -287,10 +287,8 @@ def conllu_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query(f"WITH {_WORDS} SELECT doc_id, count(DISTINCT sent_id) AS sentences, count(*) AS words, count(*) FILTER (punct) AS punct FROM w GROUP BY doc_id")
 def doc_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents written as JSON and read again."""
-    docs = S.tokenize(_docs(spark, sf_dir)).where(F.size("sentences") > 0).select("doc_id", C.to_json(F.col("sentences")).alias("j"))
-    back = docs.select("doc_id", F.from_json("j", "array<array<struct<id:int,text:string,upos:string>>>").alias("s"))
-    all_words = F.flatten("s")
-    return back.select("doc_id", F.size("s").cast("long").alias("sentences"), F.size(all_words).cast("long").alias("words"), F.size(F.filter(all_words, lambda w: w["upos"] == "PUNCT")).cast("long").alias("punct"))
+    docs = C.json_documents(_docs(spark, sf_dir), "doc_id", empty=False)
+    return C.json_counts(docs, "doc_id")
 
 
 def _nested(spark: SparkSession, sf_dir: str, word) -> DataFrame:

@@ -30,7 +30,7 @@ def plan(spark, name):
     return Q.QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
 
 
-@pytest.mark.parametrize("name", ["conllu_parse", "unknown_fallback", "mwt_mine", "conllu_lines"])
+@pytest.mark.parametrize("name", ["conllu_parse", "unknown_fallback", "mwt_mine", "conllu_lines", "doc_json"])
 def test_words_are_made_by_the_batch(spark, name):
     """Not an expression within lambdas for each word, whose running totals copy what they have so far."""
     text = plan(spark, name)
@@ -43,6 +43,15 @@ def test_documents_as_written_by_expressions(spark, docs):
     same(C.conllu_documents(docs, "doc_id", empty=False), nested.where(F.size("sentences") > 0).select("doc_id", C.to_conllu(F.col("sentences"))))
 
 
+def test_json_as_written_by_expressions(spark, docs):
+    nested = S.tokenize(docs).select("doc_id", C.to_json(F.col("sentences")).alias("json"))
+    same(C.json_documents(docs, "doc_id"), nested)
+    kind = "array<array<struct<id:int,text:string,upos:string>>>"
+    read = nested.select("doc_id", F.from_json("json", kind).alias("s")).withColumn("w", F.flatten("s"))
+    size = lambda c: F.when(F.col("s").isNotNull(), F.size(c).cast("long"))
+    same(C.json_counts(nested, "doc_id"), read.select("doc_id", size("s"), size("w"), size(F.filter("w", lambda w: w["upos"] == "PUNCT"))))
+
+
 def test_multiword_tokens_as_expanded_by_expressions(spark, docs):
     rules = spark.createDataFrame(Q._RULES, "surface string, pieces array<string>")
     nested = S.expand_multiword(S.tokenize(docs), rules)
