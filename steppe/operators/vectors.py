@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import let
 
 def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
@@ -12,8 +13,7 @@ def dot(a: Column, b: Column) -> Column:
 
 def l2_normalize(v: Column) -> Column:
     """The vector divided by its length, which counts as 1e-12 at least."""
-    norm = F.greatest(F.sqrt(dot(v, v)), F.lit(1e-12))
-    return F.transform(v, lambda x: x.cast("double") / norm)
+    return let(F.greatest(F.sqrt(dot(v, v)), F.lit(1e-12)), lambda norm: F.transform(v, lambda x: x.cast("double") / norm))
 
 
 def cosine(a: Column, b: Column) -> Column:
@@ -61,10 +61,11 @@ def top_languages(docs: DataFrame, labels: DataFrame, k: int = 1, wanted: list[s
 def nearest(left: DataFrame, right: DataFrame, k: int, left_id: str, right_id: str, vector: str = "embedding") -> DataFrame:
     """The k rows of ``right`` nearest to each row of ``left`` by cosine, by brute force: (left_id, rank, right_id, cosine).
 
-    ``left_id`` and ``right_id`` must be different names.
+    ``left_id`` and ``right_id`` must be different names.  ``left`` is broadcast, as a set of queries that fits in memory; each task
+    keeps the best k of its part of ``right`` before they are shuffled.
     """
     a = left.select(left_id, l2_normalize(F.col(vector)).alias("__a"))
     b = right.select(right_id, l2_normalize(F.col(vector)).alias("__b"))
-    scored = a.crossJoin(b).select(left_id, right_id, dot(F.col("__a"), F.col("__b")).alias("cosine"))
+    scored = b.crossJoin(F.broadcast(a)).select(left_id, right_id, dot(F.col("__a"), F.col("__b")).alias("cosine"))
     order = Window.partitionBy(left_id).orderBy(F.desc("cosine"), right_id)
     return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select(left_id, "rank", right_id, "cosine")

@@ -81,3 +81,12 @@ def test_forms_are_counted_without_a_window(spark, docs):
     each = w.groupBy(upos()).agg(F.count("*"))
     same(M.counted_forms(docs).withColumn("form", T.lookup_form(F.col("text"))).groupBy(upos(F.col("form"))).agg(F.sum("n")), each)
     assert "Window" not in plan(spark, "unknown_fallback")
+
+
+def test_nearest_is_no_product_of_partitions(spark):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        text = plan(spark, "cosine_topk")
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "CartesianProduct" not in text and "BroadcastNestedLoopJoin" in text
