@@ -327,7 +327,7 @@ def _rules(spark: SparkSession) -> DataFrame:
     SELECT doc_id, sent_id, CAST(row_number() OVER (PARTITION BY doc_id, sent_id ORDER BY id, k) AS INTEGER) AS id, text FROM e"""
 )
 def mwt_expand(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return S.words(_expanded(spark, sf_dir), "doc_id").select("doc_id", "sent_id", "id", "text")
+    return S.expanded_words(_docs(spark, sf_dir), _rules(spark), "doc_id").select("doc_id", "sent_id", "id", "text")
 
 
 @_query(f"WITH {_WORDS}, {_RULES_SQL} SELECT surface, array_to_string(pieces, '+') AS pieces, count(*) AS n FROM w JOIN r ON text = surface GROUP BY ALL")
