@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import let
+from . import batches as B
 from .segment import running
 
 
@@ -71,6 +77,28 @@ def span_rows(docs: DataFrame, *keep: str, sentences: str, tag: str = "tag") ->
     return docs.select(*keep, F.inline(F.flatten(F.transform(sentences, numbered))))
 
 
+def tagged_spans(docs: DataFrame, tags: Callable[[B.Words], pa.Array], *keep: str, text: str = "text") -> DataFrame:
+    """The rows of :func:`span_rows` for texts whose words ``tags`` gives tags (BIO or BIOES), a batch at a time, but with word_ids joined by spaces."""
+
+    def rows(texts: pa.Array) -> tuple[np.ndarray, list[pa.Array]]:
+        w = B.words(texts)
+        forms = pc.fill_null(tags(w), "O").dictionary_encode()
+        known = forms.dictionary.to_pylist()
+        code = np.array([(1 if x[0] in "BS" else 2) if x[:1] in set("BISE") and x[1:2] == "-" else 0 for x in known], np.int64)
+        indices = np.asarray(forms.indices)
+        begin, end, number = B.bio(code[indices] if len(indices) else indices, w)
+        n = end - begin
+        first = np.concatenate(([0], np.cumsum(n)))
+        inside = np.repeat(begin, n) + B.ranks(first[:-1], int(first[-1]))
+        label = pa.array([x[2:] for x in known], pa.string()).take(pa.array(indices[begin]))
+        last = w.start[end - 1] + w.length[end - 1]
+        sent = w.sent[begin]
+        ids = B.int32(w.id[inside]).cast(pa.string())
+        return w.doc[sent], [B.int32(w.number[sent]), B.int32(number), label, B.joined(w.text.take(pa.array(inside)), first, " "), B.int32(w.start[begin]), B.int32(last), B.joined(ids, first, " ")]
+
+    return B.mapped(docs, keep, text, "sent_id int, span int, type string, text string, start_char int, end_char int, word_ids string", rows)
+
+
 def entities(docs: DataFrame, *keep: str, sentences: str = "sentences") -> DataFrame:
     """The entities of annotated documents: the spans of the BIO tags in ``ner`` of their words."""
     tagged = F.transform(sentences, lambda s: F.transform(s["words"], lambda w: F.struct(w["id"].alias("id"), w["text"].alias("text"), w["start_char"].alias("start_char"), w["end_char"].alias("end_char"), w["ner"].alias("tag"))))

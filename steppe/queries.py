@@ -461,12 +461,11 @@ def unknown_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def bio_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Spans of a capitalised word and the long words after it, tagged as a BIOES tagger would."""
-    tag = lambda w: F.when(w["punct"], F.lit("O")).when(w["text"].rlike("^[A-Z]"), F.lit("S-CAP")).when(F.length(w["text"]) > 8, F.lit("E-CAP")).otherwise(F.lit("O"))
-    word = lambda w: F.struct(w["id"].alias("id"), w["text"].alias("text"), w["start_char"].alias("start_char"), (w["start_char"] + F.length(w["text"])).alias("end_char"), P.bioes_to_bio(tag(w)).alias("tag"))
-    docs = _docs(spark, sf_dir).select("doc_id", S.split_sentences(F.col("text")).alias("s"))
-    placed = F.transform(F.arrays_zip(F.col("s"), S.running(F.transform("s", lambda s: F.length(s) + 1)).alias("at")), lambda z: F.transform(S.placed_texts(z["s"], z["at"]), word))
-    found = P.span_rows(docs.select("doc_id", placed.alias("sentences")), "doc_id", sentences="sentences")
-    return found.withColumn("word_ids", F.array_join(F.transform("word_ids", lambda i: i.cast("string")), " "))
+
+    def tags(w: B.Words) -> pa.Array:
+        return pc.if_else(pa.array(w.punct), "O", pc.if_else(pa.array((w.code >= ord("A")) & (w.code <= ord("Z"))), "S-CAP", pc.if_else(pa.array(w.length > 8), "E-CAP", "O")))
+
+    return P.tagged_spans(_docs(spark, sf_dir), tags, "doc_id")
 
 
 _EDITS = [(0, "Geldim", "-3+mek", "gelmek"), (1, "EV", "0", "ev"), (2, "kitap", "-0+lar", "kitaplar"), (3, "ab", "<unk>", "ab"), (4, "abc", "-9+x", "x"), (5, "evler", "-3", "ev")]

@@ -30,7 +30,7 @@ def plan(spark, name):
     return Q.QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
 
 
-@pytest.mark.parametrize("name", ["conllu_parse", "unknown_fallback", "mwt_mine", "conllu_lines", "doc_json", "mwt_expand"])
+@pytest.mark.parametrize("name", ["conllu_parse", "unknown_fallback", "mwt_mine", "conllu_lines", "doc_json", "mwt_expand", "bio_spans"])
 def test_words_are_made_by_the_batch(spark, name):
     """Not an expression within lambdas for each word, whose running totals copy what they have so far."""
     text = plan(spark, name)
@@ -70,6 +70,20 @@ def test_conllu_texts_without_words_are_carried_on(spark):
     assert [(r.doc_id, r.text, len(r.sentences)) for r in C.parse_conllu(df).orderBy("doc_id").collect()] == [(1, "a = b\n\nx\n\nd", 3), (2, "x", 1), (3, "", 0)]
 
 
+def test_spans_as_found_by_expressions(spark, docs):
+    import pyarrow as pa
+
+    # S and E on odd and even lengths: spans of all kinds, within their sentence.
+    tags = lambda w: pa.array([("S-A", "E-B", "O", "I-C", None)[n % 5] for n in w.length.tolist()], pa.string())
+    n = lambda w: F.length(w["text"]) % 5
+    tag = lambda w: F.when(n(w) == 0, "S-A").when(n(w) == 1, "E-B").when(n(w) == 2, "O").when(n(w) == 3, "I-C")
+    word = lambda w: F.struct(*[w[f].alias(f) for f in ("id", "text", "start_char", "end_char")], P.bioes_to_bio(tag(w)).alias("tag"))
+    nested = S.tokenize(docs).select("doc_id", F.transform("sentences", lambda s: F.transform(s["words"], word)).alias("s"))
+    want = P.span_rows(nested, "doc_id", sentences="s").withColumn("word_ids", F.array_join(F.col("word_ids").cast("array<string>"), " "))
+    assert want.count() > 2
+    same(P.tagged_spans(docs, tags, "doc_id"), want)
+
+
 def test_forms_are_counted_without_a_window(spark, docs):
     from steppe.functions import text as T
 
