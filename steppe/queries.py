@@ -303,9 +303,12 @@ def _nested(spark: SparkSession, sf_dir: str, word) -> DataFrame:
 )
 def dependency_triples(spark: SparkSession, sf_dir: str) -> DataFrame:
     # The head of a word is the word before it.
-    deprel = lambda x, i: F.when(i > 0, F.lit("dep")).when(~x["punct"], F.lit("root"))
-    docs = _nested(spark, sf_dir, lambda x, i: F.struct((i + 1).alias("id"), x["text"].alias("text"), i.alias("head"), deprel(x, i).alias("deprel")))
-    return C.dependency_rows(docs.select("doc_id", F.transform("sentences", lambda ws: F.struct(ws.alias("words"))).alias("sentences")), "doc_id")
+    def rows(texts: pa.Array) -> tuple[np.ndarray, list[pa.Array]]:
+        w = B.words(texts)
+        head = w.id - 1
+        return B.dependencies(w, head, pc.if_else(pa.array(head > 0), "dep", pc.if_else(pa.array(w.punct), pa.scalar(None, pa.string()), "root")))
+
+    return B.mapped(_docs(spark, sf_dir), ("doc_id",), "text", "sent_id int, id int, text string, deprel string, head int, head_text string", rows)
 
 
 _RULES = [("the", ["th", "e"]), ("der", ["d", "e", "r"]), ("Que", ["Q", "ue"])]

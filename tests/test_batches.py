@@ -30,7 +30,7 @@ def plan(spark, name):
     return Q.QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
 
 
-@pytest.mark.parametrize("name", ["conllu_parse", "unknown_fallback", "mwt_mine", "conllu_lines", "doc_json", "mwt_expand", "bio_spans"])
+@pytest.mark.parametrize("name", ["conllu_parse", "unknown_fallback", "mwt_mine", "conllu_lines", "doc_json", "mwt_expand", "bio_spans", "dependency_triples"])
 def test_words_are_made_by_the_batch(spark, name):
     """Not an expression within lambdas for each word, whose running totals copy what they have so far."""
     text = plan(spark, name)
@@ -84,6 +84,23 @@ def test_spans_as_found_by_expressions(spark, docs):
     same(P.tagged_spans(docs, tags, "doc_id"), want)
 
 
+def test_dependencies_of_a_batch(spark, docs):
+    import numpy as np
+    import pyarrow as pa
+
+    from steppe.operators import batches as B
+
+    def rows(texts):
+        w = B.words(texts)
+        head = (w.id * 7) % 5 - 1
+        return B.dependencies(w, head, pa.array(np.where(w.id % 3 == 0, None, "d"), pa.string()))
+
+    made = B.mapped(docs, ("doc_id",), "text", "sent_id int, id int, text string, deprel string, head int, head_text string", rows)
+    word = lambda w: w.withField("head", (w["id"] * 7) % 5 - 1).withField("deprel", F.when(w["id"] % 3 != 0, "d"))
+    nested = S.tokenize(docs).withColumn("sentences", F.transform("sentences", lambda s: s.withField("words", F.transform(s["words"], word))))
+    same(made, C.dependency_rows(nested, "doc_id"))
+
+
 def test_forms_are_counted_without_a_window(spark, docs):
     from steppe.functions import text as T
 
