@@ -76,32 +76,6 @@ def token_texts(sentence: Column) -> Column:
     return F.flatten(F.transform(F.regexp_extract_all(sentence, F.lit(f"(?U)({_NOT_S}+)"), F.lit(1)), _pieces))
 
 
-def placed_texts(sentence: Column, offset: Column) -> Column:
-    """Words of a sentence with their offsets: array<struct<id,text,punct,start_char>>, for when nothing else of a word is needed."""
-    one = lambda text, punct, at: F.struct(text.alias("text"), F.lit(punct).alias("punct"), at.alias("start_char"))
-
-    def pieces(token: Column, at: Column) -> Column:
-        """As :func:`_pieces`, with offsets."""
-
-        def split(stem: Column) -> Column:
-            marks = F.split(F.substring(token, F.length(stem) + 1, F.length(token)), "(?!$)")
-            return F.when(stem != "", F.concat(F.array(one(stem, False, at)), F.transform(marks, lambda c, k: one(c, True, at + F.length(stem) + k)))).otherwise(F.array(one(token, False, at)))
-
-        return F.when(F.substring(token, -1, 1).isin(*_MARKS), let(F.regexp_extract(token, _TRAILING, 1), split)).otherwise(F.array(one(token, False, at)))
-
-    def regular(tokens: Column) -> Column:
-        """One character of white space stands between any two tokens, as nearly everywhere."""
-        return F.flatten(F.zip_with(tokens, running(F.transform(tokens, lambda t: F.length(t) + 1)), lambda t, at: pieces(t, offset + at)))
-
-    def any_gaps(runs: Column) -> Column:
-        starts = running(F.transform(runs, F.length))
-        return F.flatten(F.zip_with(runs, starts, lambda r, at: F.when(~r.rlike(f"(?U)^{_S}"), pieces(r, offset + at)).otherwise(F.array())))
-
-    wide = sentence.rlike(f"(?U){_S}{{2}}")
-    placed = F.when(wide, let(F.regexp_extract_all(sentence, F.lit(f"(?U)({_S}+|{_NOT_S}+)"), F.lit(1)), any_gaps)).otherwise(let(F.split(sentence, f"(?U){_S}"), regular))
-    return F.transform(placed, lambda w, i: F.struct((i + 1).alias("id"), w["text"].alias("text"), w["punct"].alias("punct"), w["start_char"].alias("start_char")))
-
-
 def word_offsets(docs: DataFrame, *keep: str, text: str = "text") -> DataFrame:
     """A row for each word: the kept columns, sent_id from 0, id, text, punct and start_char, as :func:`tokenize` and :func:`words` have them."""
 

@@ -291,12 +291,6 @@ def doc_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.json_counts(docs, "doc_id")
 
 
-def _nested(spark: SparkSession, sf_dir: str, word) -> DataFrame:
-    """(doc_id, sentences): arrays of what ``word`` makes of each word (struct<text,punct>) and its place."""
-    docs = _docs(spark, sf_dir).select("doc_id", S.split_sentences(F.col("text")).alias("s"))
-    return docs.select("doc_id", F.transform("s", lambda s: F.transform(S.token_texts(s), word)).alias("sentences"))
-
-
 @_query(
     f"""WITH {_WORDS} SELECT doc_id, sent_id, id, text, CASE WHEN id > 1 THEN 'dep' ELSE 'root' END AS deprel, CAST(id - 1 AS INTEGER) AS head,
     lag(text) OVER (PARTITION BY doc_id, sent_id ORDER BY id) AS head_text FROM w QUALIFY id > 1 OR NOT punct"""
@@ -315,11 +309,6 @@ _RULES = [("the", ["th", "e"]), ("der", ["d", "e", "r"]), ("Que", ["Q", "ue"])]
 _RULES_SQL = "r AS (SELECT * FROM (VALUES ('the', ['th', 'e']), ('der', ['d', 'e', 'r']), ('Que', ['Q', 'ue'])) AS t(surface, pieces))"
 
 
-def _expanded(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return S.expand_multiword(S.tokenize(_docs(spark, sf_dir)), spark.createDataFrame(_RULES, "surface string, pieces array<string>"))
-
-
-
 def _rules(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(_RULES, "surface string, pieces array<string>")
 

@@ -30,13 +30,17 @@ def plan(spark, name):
     return Q.QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
 
 
-@pytest.mark.parametrize("name", ["conllu_parse", "unknown_fallback", "mwt_mine", "conllu_lines", "doc_json", "mwt_expand", "bio_spans", "dependency_triples"])
+@pytest.mark.parametrize("name", ["conllu_parse", "unknown_fallback", "mwt_mine", "conllu_lines", "doc_json", "mwt_expand", "bio_spans", "dependency_triples", "word_offsets"])
 def test_words_are_made_by_the_batch(spark, name):
     """Not an expression within lambdas for each word, whose running totals copy what they have so far."""
     text = plan(spark, name)
     assert "MapInArrow" in text and "array_append" not in text and "regexp_extract_all" not in text
 
 
+def test_word_offsets_as_tokenized(spark, docs):
+    same(S.word_offsets(docs, "doc_id"), S.words(S.tokenize(docs), "doc_id").select("doc_id", "sent_id", "id", "text", F.coalesce(F.col("upos") == "PUNCT", F.lit(False)), "start_char"))
+
+
 def test_documents_as_written_by_expressions(spark, docs):
     nested = S.tokenize(docs)
     same(C.conllu_documents(docs, "doc_id", lang="en", script="Latn"), nested.select("doc_id", C.to_conllu(F.col("sentences"), F.lit("en"), F.lit("Latn"))))
