@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType, _parse_datatype_string
 
 #: Bytes of text handled at once in a Python worker; a single longer text is handled whole.
-CHUNK = 1 << 20
+CHUNK = 1 << 18
 _SPACE, _MARK, _ENDER = 1, 2, 3
 _LIMIT = 0x3001  # white space ends before
 _KIND = np.zeros(_LIMIT + 1, np.uint8)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -50,33 +52,39 @@ def to_json(sentences: Column) -> Column:
     return F.to_json(F.transform(sentences, lambda s: F.transform(s["words"], word)), {"ignoreNullFields": "false"})
 
 
-def _documents(docs: DataFrame, keep: tuple[str, ...], text: str, out: str, made, empty: bool) -> DataFrame:
-    def rows(texts: pa.Array) -> tuple[np.ndarray | None, list[pa.Array]]:
-        w = B.words(texts)
-        at = None if empty else np.unique(w.doc)
-        whole = made(texts, w)
-        return at, [whole if empty else whole.take(pa.array(at))]
+#: What makes the texts that a function reads from those of the column it is given, a batch at a time.
+Source = Callable[[pa.Array], pa.Array]
+
+
+def conllu_source(lang: str = "", script: str = "", rules: dict[str, list[str]] | None = None) -> Source:
+    """Texts to CoNLL-U, as :func:`conllu_documents` has it: what is written is read in the same worker, and no batch of it is held."""
+    return lambda texts: (lambda w: B.written(texts, *(B.expanded(w, rules) if rules else (w, None)), lang, script))(B.words(texts))
+
 
-    return B.mapped(docs, keep, text, f"{out} string", rows)
+def json_source() -> Source:
+    """Texts to JSON, as :func:`json_documents` has it."""
+    return lambda texts: B.as_json(texts, B.words(texts))
 
 
-def conllu_documents(docs: DataFrame, *keep: str, text: str = "text", lang: str = "", script: str = "", rules: dict[str, list[str]] | None = None, empty: bool = True) -> DataFrame:
-    """The kept columns and ``content``: :func:`to_conllu` of texts as :func:`segment.tokenize` and, with rules, :func:`segment.expand_multiword` have them, without nested columns; ``empty`` keeps texts without words."""
-    made = lambda texts, w: B.written(texts, *(B.expanded(w, rules) if rules else (w, None)), lang, script)
-    return _documents(docs, keep, text, "content", made, empty)
+def conllu_documents(docs: DataFrame, *keep: str, text: str = "text", lang: str = "", script: str = "", rules: dict[str, list[str]] | None = None) -> DataFrame:
+    """The kept columns and ``content``: :func:`to_conllu` of texts as :func:`segment.tokenize` and, with rules, :func:`segment.expand_multiword` have them, without nested columns."""
+    made = conllu_source(lang, script, rules)
+    return B.mapped(docs, keep, text, "content string", lambda texts: (None, [made(texts)]))
 
 
-def json_documents(docs: DataFrame, *keep: str, text: str = "text", empty: bool = True) -> DataFrame:
+def json_documents(docs: DataFrame, *keep: str, text: str = "text") -> DataFrame:
     """The kept columns and ``json``: :func:`to_json` of texts as :func:`segment.tokenize` has them, without nested columns."""
-    return _documents(docs, keep, text, "json", B.as_json, empty)
+    made = json_source()
+    return B.mapped(docs, keep, text, "json string", lambda texts: (None, [made(texts)]))
 
 
-def json_counts(docs: DataFrame, *keep: str, json: str = "json") -> DataFrame:
+def json_counts(docs: DataFrame, *keep: str, json: str = "json", source: Source | None = None) -> DataFrame:
     """The kept columns and the sentences, words and words with the part of speech PUNCT that are read in JSON of :func:`to_json`; nulls for null."""
 
     kind = pa.schema([("s", pa.list_(pa.list_(pa.struct([("id", pa.int32()), ("text", pa.string()), ("upos", pa.string())]))))])
 
     def rows(texts: pa.Array) -> tuple[None, list[pa.Array]]:
+        texts = source(texts) if source else texts
         lines = [b'{"s":' + (b"null" if x is None else x.replace(b"\n", b" ")) + b"}\n" for x in texts.cast(pa.binary()).to_pylist()]
         options = ReadOptions(use_threads=False, block_size=max(map(len, lines)) + (1 << 20))
         s = read_json(pa.BufferReader(b"".join(lines)), options, ParseOptions(explicit_schema=kind, unexpected_field_behavior="ignore"))["s"].combine_chunks()
@@ -100,7 +108,7 @@ _FIELDS = ("sent_id", "line", "id", *_NAMES, "mwt_start", "mwt_end", "mwt_text",
 _TYPES = {n: "string" for n in _FIELDS} | dict.fromkeys(("sent_id", "id", "head", "mwt_start", "mwt_end"), "int") | {"line": "bigint"}
 
 
-def conllu_lines(docs: DataFrame, content: str = "content", *, keep: tuple[str, ...] = ("doc_id",), fields: tuple[str, ...] = _FIELDS) -> DataFrame:
+def conllu_lines(docs: DataFrame, content: str = "content", *, keep: tuple[str, ...] = ("doc_id",), fields: tuple[str, ...] = _FIELDS, source: Source | None = None) -> DataFrame:
     """The word lines of CoNLL-U texts: keep, sent_id, line, and the columns of a word, or those of them named in ``fields``.
 
     Lines without ten fields, ids of empty nodes and other ids that aren't numbers are skipped.
@@ -108,18 +116,18 @@ def conllu_lines(docs: DataFrame, content: str = "content", *, keep: tuple[str,
     An underscore is null; a head that isn't a number is null.  ``Script=`` is read from misc, which keeps it.
     A sentence is what lies between blank lines, and is counted from 0 if it has words; its text is that of the last
     comment in it, or of blocks without words before it.  ``line`` orders the lines of a text.
-    Each text is read within its row: nothing is shuffled.
+    Each text is read within its row: nothing is shuffled.  With a source, what it makes of the column is read.
     """
 
     def rows(texts: pa.Array) -> tuple[np.ndarray, list[pa.Array]]:
-        r = B.read(texts)
+        r = B.read(source(texts) if source else texts)
         own = r.names()
         return r.at, [own[n]() for n in fields]
 
     return B.mapped(docs, keep, content, ", ".join(f"{n} {_TYPES[n]}" for n in fields), rows)
 
 
-def parse_conllu(docs: DataFrame, content: str = "content", *, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+def parse_conllu(docs: DataFrame, content: str = "content", *, keep: tuple[str, ...] = ("doc_id",), source: Source | None = None) -> DataFrame:
     """Documents of CoNLL-U texts: keep, sentences (as of the tokenizers, without offsets), text, lang and script.
 
     A sentence's text is its comment's, or else its words joined by spaces; a document's text is
@@ -127,7 +135,7 @@ def parse_conllu(docs: DataFrame, content: str = "content", *, keep: tuple[str,
     """
 
     def rows(texts: pa.Array) -> tuple[None, list[pa.Array]]:
-        r = B.read(texts)
+        r = B.read(source(texts) if source else texts)
         f = {n: make() for n, make in r.names().items()}
         m = len(r.sent)
         null = {n: pa.nulls(m, pa.int32()) for n in ("start_char", "end_char")}

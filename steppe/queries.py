@@ -49,6 +49,11 @@ def _docs(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
     return docs.repartition(spark.sparkContext.defaultParallelism) if local else docs
 
 
+def _worded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents that have words."""
+    return _docs(spark, sf_dir).where(F.col("text").rlike(r"(?U)[^\s\x1C-\x1F]"))
+
+
 def _quoted(x: object) -> str:
     return "NULL" if x is None else "'" + x.replace("'", "''") + "'" if isinstance(x, str) else str(x)
 
@@ -274,21 +279,18 @@ def translit_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query(f"WITH {_WORDS} SELECT doc_id, sent_id, id, text AS form, CASE WHEN punct THEN 'PUNCT' END AS upos FROM w")
 def conllu_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents written as CoNLL-U and read again."""
-    docs = C.conllu_documents(_docs(spark, sf_dir), "doc_id", lang="en", script="Latn")
-    return C.conllu_lines(docs, fields=("sent_id", "id", "form", "upos"))
+    return C.conllu_lines(_docs(spark, sf_dir), "text", source=C.conllu_source("en", "Latn"), fields=("sent_id", "id", "form", "upos"))
 
 
 @_query(f"WITH {_SENTENCES} SELECT doc_id, string_agg(regexp_replace(s, '[\\r\\n]+', ' ', 'g'), chr(10) || chr(10) ORDER BY sent_id) AS text, 'en' AS lang, 'Latn' AS script, count(*) AS sentences FROM s GROUP BY doc_id")
 def conllu_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = C.conllu_documents(_docs(spark, sf_dir), "doc_id", lang="en", script="Latn", empty=False)
-    return C.parse_conllu(docs).select("doc_id", "text", "lang", "script", F.size("sentences").cast("long").alias("sentences"))
+    return C.parse_conllu(_worded(spark, sf_dir), "text", source=C.conllu_source("en", "Latn")).select("doc_id", "text", "lang", "script", F.size("sentences").cast("long").alias("sentences"))
 
 
 @_query(f"WITH {_WORDS} SELECT doc_id, count(DISTINCT sent_id) AS sentences, count(*) AS words, count(*) FILTER (punct) AS punct FROM w GROUP BY doc_id")
 def doc_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents written as JSON and read again."""
-    docs = C.json_documents(_docs(spark, sf_dir), "doc_id", empty=False)
-    return C.json_counts(docs, "doc_id")
+    return C.json_counts(_worded(spark, sf_dir), "doc_id", json="text", source=C.json_source())
 
 
 @_query(
@@ -325,8 +327,8 @@ def mwt_expand(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query(f"WITH {_WORDS}, {_RULES_SQL} SELECT surface, array_to_string(pieces, '+') AS pieces, count(*) AS n FROM w JOIN r ON text = surface GROUP BY ALL")
 def mwt_mine(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rules recovered from a treebank that was written with them."""
-    docs = C.conllu_documents(_docs(spark, sf_dir), "doc_id", rules=S.rules_of(_rules(spark)))
-    found = C.mine_multiword_rules(C.conllu_lines(docs, fields=("sent_id", "line", "id", "form", "mwt_start", "mwt_end", "mwt_text")), "doc_id")
+    source = C.conllu_source(rules=S.rules_of(_rules(spark)))
+    found = C.mine_multiword_rules(C.conllu_lines(_docs(spark, sf_dir), "text", source=source, fields=("sent_id", "line", "id", "form", "mwt_start", "mwt_end", "mwt_text")), "doc_id")
     return found.select("surface", F.array_join("pieces", "+").alias("pieces"), F.col("count").alias("n"))
 
 

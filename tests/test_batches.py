@@ -44,7 +44,9 @@ def test_word_offsets_as_tokenized(spark, docs):
 def test_documents_as_written_by_expressions(spark, docs):
     nested = S.tokenize(docs)
     same(C.conllu_documents(docs, "doc_id", lang="en", script="Latn"), nested.select("doc_id", C.to_conllu(F.col("sentences"), F.lit("en"), F.lit("Latn"))))
-    same(C.conllu_documents(docs, "doc_id", empty=False), nested.where(F.size("sentences") > 0).select("doc_id", C.to_conllu(F.col("sentences"))))
+    read = C.parse_conllu(C.conllu_documents(docs, "doc_id"))
+    same(C.parse_conllu(docs, "text", source=C.conllu_source()), read)
+    same(C.conllu_lines(docs, "text", source=C.conllu_source()), C.conllu_lines(C.conllu_documents(docs, "doc_id")))
 
 
 def test_json_as_written_by_expressions(spark, docs):
